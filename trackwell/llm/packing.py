@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, final_id: int = 1)
         enc = encoder(path)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"].astype("Int64").array, b["text"]):
-                ids = enc.encode(text) + end
+            for doc_id, own in zip(b["doc_id"].astype("Int64").array, enc.encode_many(list(b["text"]), splice=False)):
+                ids = own + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -10,6 +10,8 @@ The vocabulary path is a parameter. Null texts count as empty: no tokens."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The vocabulary's split pattern; Latin-1 letters with ASCII marks (no apostrophe) after them.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _SPACES = " \t\n\r"
 _OTHER_SPACES = str.maketrans({c: " " for c in _SPACES})
 _loaded: dict = {}
@@ -29,38 +34,90 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """A vocabulary file with a memo of the ids of space-free pieces. The memo is emptied at `memo` pieces."""
+    """A vocabulary file with a memo of the ids of space-free pieces, in two generations of at most `memo` pieces."""
 
-    def __init__(self, path: str, memo: int = 300_000, chunk: int = 32_768, overlap: int = 512):
+    def __init__(self, path: str, memo: int = 600_000, chunk: int = 32_768, overlap: int = 512):
         from tokenizers import Tokenizer
 
-        self.tok, self.memo, self.chunk, self.overlap, self.ids = Tokenizer.from_file(path), memo, chunk, overlap, {"": b""}
+        self.tok, self.memo, self.chunk, self.overlap = Tokenizer.from_file(path), memo, chunk, overlap
+        self.ids, self.old = {"": b""}, {}
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.stems, self.bare = {}, self._bare()
+        self.mark = next(((i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special), None)
+
+    def _bare(self):
+        """The vocabulary's model alone, for words of Latin letters, where normalising is lower-casing and the split
+        pattern takes the letters whole; None for files that normalise or split otherwise."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.tok.to_str())
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        pattern = split[0].get("pattern", {}).get("Regex", "")
+        if normal != ["NFC", "Replace", "Lowercase"] or pattern != SPLIT or [x.get("type") for x in split] != ["Split", "ByteLevel"] or len(self.tok.encode(",", add_special_tokens=False).ids) != 1:
+            return None
+        bare = Tokenizer(self.tok.model)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return bare
+
+    def _encode_groups(self, tok, words: list[str], by: str, mark: int) -> Iterator[tuple[str, bytes]]:
+        """Each word's ids; words go many to a call, parted by `by`, a word that is the one token `mark`."""
+        for i in range(0, len(words), 12_800):
+            part = [words[j : j + 128] for j in range(i, min(len(words), i + 12_800), 128)]
+            for own, e in zip(part, tok.encode_batch_fast([by.join(w) for w in part], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(own, [*np.flatnonzero(ids == mark).tolist(), len(ids)]):
+                    yield w, raw[4 * at : 4 * end]
+                    at = end + 1
+
+    def _one(self, piece: str) -> bytes:
+        return np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
+        """Take pieces into the memo. They are encoded many to a call, parted by a special token."""
         if len(self.ids) + len(pieces) > self.memo:
-            self.ids = {"": b""}
-        new = list(pieces)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.ids[p] = np.array(e.ids, "<u4").tobytes()
-
-    def pieces(self, text: str) -> list[bytes]:
-        """The ids of a text's space-free pieces, in order, each as little-endian 32-bit numbers."""
-        cut = text.translate(_OTHER_SPACES).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
-        get = self.ids.get
-        out = list(map(get, cut))
-        if None in out:
-            self._learn({p for p, i in zip(cut, out) if i is None})
-            known = {p: self.ids[p] for p in cut if p in self.ids}
-            lost = {p for p in cut if p not in known}  # emptied in between
-            if lost:
-                self._learn(lost)
-                known.update((p, self.ids[p]) for p in lost)
-            out = [known[p] for p in cut]
-        return out
+            self.old, self.ids = self.ids, {"": b""}
+        new = []
+        for p in pieces:
+            if (known := self.old.get(p)) is None:
+                new.append(p)
+            else:
+                self.ids[p] = known
+        rest = new
+        if self.bare:
+            parts = {p: (m[1].lower(), m[2]) for p in new if (m := LATIN.fullmatch(p))}
+            if len(self.stems) > self.memo:
+                self.stems = {}
+            unknown = list({stem for stem, _ in parts.values()}.difference(self.stems))
+            self.stems.update(self._encode_groups(self.bare, unknown, " , ", self.tok.encode(",", add_special_tokens=False).ids[0]))
+            for p, (stem, tail) in parts.items():
+                if tail and tail not in self.ids:
+                    self.ids[tail] = self._one(tail)
+                self.ids[p] = self.stems[stem] + self.ids[tail]
+            rest = [p for p in new if p not in parts]
+        plain = [p for p in rest if self.mark and self.mark[1] not in p]
+        if plain:
+            self.ids.update(self._encode_groups(self.tok, plain, f" {self.mark[1]} ", self.mark[0]))
+        for p in set(rest).difference(plain):
+            self.ids[p] = self._one(p)
+
+    def encode_many(self, texts: list[str | None], splice: bool = True, group: int = 256) -> Iterator[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers. Spaces and line ends part a text into pieces; with
+        splice, texts over a chunk are encoded in overlapping chunks instead."""
+        for i in range(0, len(texts), group):
+            part = [t or "" for t in texts[i : i + group]]
+            cut = [None if splice and len(t) > self.chunk else t.translate(_OTHER_SPACES).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in part]
+            unknown = set().union(*(c for c in cut if c)).difference(self.ids)
+            if unknown:
+                before = len(self.ids)
+                self._learn(unknown)
+                if len(self.ids) < before + len(unknown):  # a new generation began: take over what this group needs
+                    self._learn(set().union(*(c for c in cut if c)).difference(self.ids))
+            get = self.ids.__getitem__
+            for t, c in zip(part, cut):
+                yield b"".join(x.tobytes() for x in self.spliced(t)) if c is None else b"".join(map(get, c))
 
     def spliced(self, text: str) -> Iterator[np.ndarray]:
         """The ids of a huge text, chunk by chunk, spliced where neighbouring encodings agree."""
@@ -100,21 +157,6 @@ class Encoder:
         mine = [i for i, (a, _) in zip(left.ids, left.offsets) if start + a >= at]
         return mine == [i for i, (a, _) in zip(right.ids, right.offsets) if low + a >= at]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(text) > self.chunk:
-            return b"".join(x.tobytes() for x in self.spliced(text))
-        return b"".join(self.pieces(text))
-
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if len(text) > self.chunk:
-            return sum(map(len, self.spliced(text)))
-        return sum(map(len, self.pieces(text))) // 4
-
-
 def encoder(path: str) -> Encoder:
     """One per worker process."""
     import os
@@ -133,7 +175,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": b["n_bytes"], "n_tokens": np.array([enc.count(t) for t in b["text"]], "int64")})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": b["n_bytes"], "n_tokens": np.fromiter((len(i) // 4 for i in enc.encode_many(list(b["text"]))), "int64", len(b))})
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
