@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from trackwell.plans import queries as plans
+
 
 def queries() -> dict:
-    return {}
+    return dict(plans._all)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans._sql)
