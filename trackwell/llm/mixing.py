@@ -106,6 +106,6 @@ def mixed(docs: DataFrame, budget: float | None = None, entropy: float | None =
     dealt = on_source(blocked.select("doc_id", "source", "tokens", "h", "block"), used, "block")
     own = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64("h", "epoch", F.lit(seed)), "h", "doc_id")
     dealt = dealt.withColumn("start", F.coalesce(F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("block_start")).withColumn("place", F.row_number().over(own) - 1)
-    picks = dealt.where(F.col("start") < F.col("mark")).select("h", "epoch", "block_rank", "place", F.col("tokens").alias("mix_tokens"))
-    chosen = text.withColumn("_h", F.xxhash64("doc_id", "source", "text")).join(picks, F.col("_h") == F.col("h")).drop("_h", "h")
+    picks = dealt.where(F.col("start") < F.col("mark")).select(F.col("h").alias("_pick"), "epoch", "block_rank", "place", F.col("tokens").alias("mix_tokens"))
+    chosen = text.withColumn("_h", F.xxhash64("doc_id", "source", "text")).join(picks, F.col("_h") == F.col("_pick")).drop("_h", "_pick")
     return chosen, weights

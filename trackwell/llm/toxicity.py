@@ -5,9 +5,9 @@ on the windows of ordinary texts. A window is a word with its borders, lower cas
 fixed bytes so that zstd's whole-byte lengths are fine enough for a word. A window's distance is what the toxic
 dictionary saves against the ordinary one, as a share of the most that it could save (down to the length of a
 window that a dictionary holds whole). Words of under four letters are no windows. Windows of ordinary learning texts that still look
-toxic go into the ordinary dictionary (one round). The threshold on the distance is the one that best separates the
-learning texts, and a document's score is the share of toxic learning texts among those with as many windows beyond
-the threshold (0, 1, 2, 3 or more), smoothed.
+toxic go into the ordinary dictionary (one round). The threshold on the distance is the one that, with a least number of
+windows beyond it, best separates the learning texts; a document's score is the share of toxic learning texts among
+those with as many windows beyond the threshold (0, 1, 2, 3, 4 or more), smoothed and never falling.
 
 The model is fitted on a bounded sample: at most `sample` labelled documents a class, by hash of doc_id, copies
 counted once. Whole texts are scored. Null and empty texts have no window and get the lowest score. Without learning
@@ -31,6 +31,7 @@ from trackwell.llm.language_id import held_out
 WORD = re.compile(r"[^\W\d_]{4,}")
 GRID = tuple(round(0.05 * i, 2) for i in range(6, 20))
 LEVEL = 9
+MOST = 4  # windows beyond the threshold; as many or more count alike
 FLOOR = 15  # bytes of a window that is one match
 
 
@@ -70,7 +71,7 @@ class Model:
     toxic: str = ""
     ordinary: str = ""
     threshold: float = 1.0
-    posterior: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+    posterior: tuple[float, ...] = (0.0,) * (MOST + 1)
     _made: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -103,7 +104,7 @@ class Model:
             most = max(most, d)
             if d >= self.threshold:
                 beyond += n
-        p = self.posterior[min(beyond, 3)]
+        p = self.posterior[min(beyond, MOST)]
         return p if beyond else p * (0.5 + 0.5 * min(1.0, most))
 
 
@@ -164,13 +165,13 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int =
     rows.unpersist()
     bad_rows = found["toxic"] == 1
 
-    def f1(i: int) -> float:
-        hit = found[f"t{i}"] > 0
+    def f1(i: int, least: int) -> float:
+        hit = found[f"t{i}"] >= least
         return 2 * (hit & bad_rows).sum() / max(1, hit.sum() + bad_rows.sum())
 
-    best = max(range(len(GRID)), key=lambda i: (round(f1(i), 3), -abs(i - len(GRID) // 2)))
-    hits, last, post = found[f"t{best}"].clip(upper=3), 0.0, []
-    for c in range(4):
+    best = max(range(len(GRID)), key=lambda i: (round(max(f1(i, c) for c in range(1, MOST + 1)), 3), -abs(i - len(GRID) // 2)))
+    hits, last, post = found[f"t{best}"].clip(upper=MOST), 0.0, []
+    for c in range(MOST + 1):
         own = hits == c
         last = max(last, float(((own & bad_rows).sum() + 0.5) / (own.sum() + 1)))
         post.append(last)
