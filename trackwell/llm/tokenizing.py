@@ -36,7 +36,7 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """A vocabulary file with a memo of the ids of space-free pieces, in two generations of at most `memo` pieces."""
 
-    def __init__(self, path: str, memo: int = 600_000, chunk: int = 32_768, overlap: int = 512):
+    def __init__(self, path: str, memo: int = 150_000, chunk: int = 32_768, overlap: int = 512):
         from tokenizers import Tokenizer
 
         self.tok, self.memo, self.chunk, self.overlap = Tokenizer.from_file(path), memo, chunk, overlap
