@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from trackwell.functions import drafts, scores
+from trackwell.functions import choices, drafts, labels, scores
 from trackwell.functions import text as T
 
 AS_OF = "2026-03-10 12:00:00"
@@ -100,3 +100,44 @@ def test_model_answers(spark):
     got = {r["i"]: r for r in drafts.drafted(df, F.col("answer")).collect()}
     assert (got[0]["company"], got[0]["title"], got[0]["work_mode"], got[0]["tags"]) == ("Acme", "Dev", "Remote", "a, b")
     assert [got[i]["company"] for i in (1, 2, 3, 4)] == [None, "B", None, None]
+
+
+def test_components(spark):
+    assert values(spark, ["a b+c", "it's (so)!~*", "æ&=", None], T.component_encoded) == ["a%20b%2Bc", "it's%20(so)!~*", "%C3%A6%26%3D", None]
+
+
+def test_links_and_events(spark):
+    df = spark.createDataFrame([(1, "apply", "A & B", None, "2026-02-28"), (2, "party", "A", "T", "2026-02-28"), (3, "start", "A", "T", "soon"), (4, "apply", "A", "T", None)], "id long, kind string, company string, title string, date string")
+    cols = [F.col(c) for c in df.columns]
+    got = df.select(labels.calendar_event(*cols).alias("e"), labels.deadline_link(*cols[2:]).alias("l")).collect()
+    assert '"summary":"Application deadline: A & B — Role"' in got[0]["e"] and '"end":{"date":"2026-03-01"}' in got[0]["e"]
+    assert [r["e"] for r in got[1:]] == [None] * 3
+    assert got[0]["l"].endswith("text=Application%20Deadline%3A%20A%20%26%20B&dates=20260228/20260228&details=Job%20application") and got[3]["l"] is None
+
+
+def test_answers_and_errors(spark):
+    responses = ['{"candidates": [{"content": {"parts": [{"text": " x "}]}}]}', '{"choices": [{"message": {"content": "y"}}]}', '{"choices": [{"message": {"content": 3}}]}', '{"choices": []}', "no", None]
+    assert values(spark, responses, labels.answer_text) == [" x ", "y", None, None, None, None]
+    bodies = ['{"error": {"message": "quota"}}', '{"message": "m"}', '{"detail": "d"}', '{"message": 3}', "<html>", " ", None, "z" * 500]
+    assert values(spark, bodies, lambda c: labels.http_error(F.lit(500), c)) == ["HTTP 500: quota", "HTTP 500: m", "HTTP 500: d", 'HTTP 500: {"message": 3}', "HTTP 500: <html>", "HTTP 500", "HTTP 500", "HTTP 500: " + "z" * 400]
+
+
+def test_labels(spark):
+    assert values(spark, ["cv", "cover_letter", "x", None], labels.document_label) == ["CV", "Cover Letter", "x", None]
+    assert values(spark, ["-3", "0", "2"], lambda c: labels.due_label(c.cast("int"))) == ["Overdue by 3d", "Due in 0d", "Due in 2d"]
+    assert values(spark, ["0", "1", "2"], lambda c: labels.counted(c.cast("int"), "result")) == ["0 results", "1 result", "2 results"]
+    assert values(spark, ["https://b.x/?capture_url=https%3A%2F%2Fa.b%2F", "https://b.x/?capture_url=", "https://b.x/", None], labels.handed_url) == ["https://a.b/", None, None, None]
+
+
+def test_choices():
+    assert choices.requested_platforms([]) == list(T.PLATFORM_DOMAINS) and choices.requested_platforms(["thehub", "other"]) == ["thehub"]
+    assert choices.effective_statuses([]) == choices.STATUSES and choices.effective_statuses(["a"]) == ["a"]
+    assert choices.with_planned_status(["Interesting", "x", "Application Sent"]) == ["Interesting", "x", "Plan to Apply", "Application Sent"]
+    assert choices.with_planned_status(["Interesting"]) == ["Interesting"]
+    assert choices.renamed_status(["a", "b"], 1, "c") == ["a", "c"] and choices.renamed_status(["a", "b"], 1, "") == ["a", "b"]
+    assert choices.moved_status(["a", "b"], 0, 1) == ["b", "a"] and choices.moved_status(["a", "b"], 0, -1) == ["a", "b"]
+    assert choices.hidden_statuses(["b", "z", "a"], ["a", "b"]) == ["a", "b"] and choices.hidden_statuses("a", ["a"]) == []
+    assert choices.toggled_status(["a"], "b", ["b", "a"]) == ["b", "a"] and choices.toggled_status(["a"], "a", ["a"]) == []
+    assert choices.visible_columns(["deadline", "company", "x"]) == ["company", "deadline"] and choices.visible_columns(None) == choices.COLUMNS[:6] == choices.visible_columns([])
+    assert choices.toggled_column(["title"], "title") == ["title"] and choices.toggled_column(["title"], "company") == ["company", "title"]
+    assert choices.clicked_sort("a", True, "a") == ("a", False) and choices.clicked_sort("a", False, "b") == ("b", True)

@@ -28,6 +28,14 @@ def test_csv_round_trip(spark, tmp_path):
     assert got == [("Line\nCo", None, "2026-01-01"), ('Quote "Co"', "a,b", None)]
 
 
+def test_legacy_csv(spark, tmp_path):
+    (tmp_path / "old.csv").write_text('"id","company","title","status"\r\n"1","A ""x""","T","S"\r\n2,,B,C\n"3","","T","S"\n')
+    got = sorted((r["company"], r["title"], r["status"]) for r in records.read_legacy_csv(spark, str(tmp_path / "old.csv")).collect())
+    assert got == [('A "x"', "T", "S"), ("B", "C", "Interesting")]  # the empty cell of line 2 is passed over
+    (tmp_path / "none.csv").write_text("")
+    assert records.read_legacy_csv(spark, str(tmp_path / "none.csv")).count() == 0
+
+
 def test_provider_payloads(spark):
     long = "d" * 500
     payloads = [(1, "indeed", "x", json.dumps({"organic_results": [{"link": "u", "title": "Dev - Acme", "snippet": long}, {}]})), (2, "indeed", "x", "{}")]

@@ -13,6 +13,9 @@ SEARCH_PAGES = {"jobindex": ("https://www.jobindex.dk/jobsoeg", "q", "where"), "
 # Entities in the order in which they are replaced.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"))
 
+# What a form's encoding gives otherwise than a URL component's.
+PLAIN_IN_COMPONENTS = (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"))
+
 
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -83,7 +86,11 @@ def form_encoded(c: Column) -> Column:
 
 
 def component_encoded(c: Column) -> Column:
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    """Percent-encoded, but for letters, digits and - _ . ! ~ * ' ( )."""
+    out = F.url_encode(c)
+    for code, plain in PLAIN_IN_COMPONENTS:
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
 
 
 def search_url(platform: Column, keywords: Column, location: Column, region: Column) -> Column:

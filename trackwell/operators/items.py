@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackwell.functions import scores, text as T
+from trackwell.functions.choices import STATUSES
 
 DATES = {"apply": "deadline", "interview": "interview_date", "start": "start_date"}
-# The default statuses in order.
-STATUSES = ["Interesting", "Plan to Apply", "Application Sent", "Feedback", "Done"]
 
 
 def search(items: DataFrame, query: str = "", hidden: list[str] | None = None) -> DataFrame:
@@ -245,3 +244,41 @@ def enqueued(queue: DataFrame, new: DataFrame) -> DataFrame:
     live = queue.where("status != 'dismissed'").select(F.col("url").alias("_u")).distinct()
     once = new.groupBy("url").agg(F.min_by(F.struct(*[c for c in new.columns if c != "url"]), "id").alias("x")).select("url", "x.*")
     return queue.unionByName(once.join(live, F.col("url") == F.col("_u"), "left_anti"), allowMissingColumns=True)
+
+
+def queue_parts(queue: DataFrame) -> DataFrame:
+    """queue with part: `history` for accepted and dismissed entries, else `active`."""
+    return queue.withColumn("part", F.when(F.col("status").isin("accepted", "dismissed"), "history").otherwise("active"))
+
+
+def patched(rows: DataFrame, patch: DataFrame, now: str) -> DataFrame:
+    """rows with the fields of patch (id and fields, one row an id) taken over, nulls too, and updated_at set."""
+    fields = [c for c in patch.columns if c != "id"]
+    p = patch.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in fields])
+    both = rows.join(p, rows["id"] == p["_id"], "left")
+    hit = F.col("_id").isNotNull()
+    new = both.withColumns({c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in fields} | {"updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
+    return new.select(*rows.columns)
+
+
+def checked(items: DataFrame, found: DataFrame, now: str) -> DataFrame:
+    """items with the listing_status that was found (id, listing_status) and when; updated_at stays as it is."""
+    old = {c: (F.col(c) if c in items.columns else F.lit(None).cast("string")) for c in ("listing_status", "listing_checked_at")}
+    f = found.select(F.col("id").alias("_id"), F.col("listing_status").alias("_state"))
+    both, hit = items.join(f, items["id"] == f["_id"], "left"), F.col("_id").isNotNull()
+    new = {"listing_status": F.when(hit, F.col("_state")).otherwise(old["listing_status"]), "listing_checked_at": F.when(hit, now).otherwise(old["listing_checked_at"])}
+    return both.withColumns(new).drop("_id", "_state")
+
+
+def with_custom_keyword(stats: DataFrame, word: str) -> DataFrame:
+    """stats and the trimmed word in lower case with a count of 0, unless it is blank or there already."""
+    word = word.strip().lower()
+    if not word:
+        return stats
+    own = stats.sparkSession.createDataFrame([(word, 0)], "keyword string, count long")
+    return stats.unionByName(own).groupBy("keyword").agg(F.max("count").alias("count"))
+
+
+def without_custom_keyword(stats: DataFrame, word: str) -> DataFrame:
+    """stats without the word if nothing counts for it; counted words stay."""
+    return stats.where((F.col("keyword") != word) | (F.col("count") > 0))

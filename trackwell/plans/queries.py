@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.functions import drafts, scores, text as T
+from trackwell.functions import drafts, labels, scores, text as T
 from trackwell.operators import items as I
 from trackwell.plans import views as V
 from trackwell.plans.views import AS_OF, DOCUMENTS, ITEMS, LOG, RESULTS
@@ -300,11 +300,10 @@ def provider_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return I.preferred_provider(r).select("pos", "platform")
 
 
-@query(f"with {ITEMS} select id, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=' || replace(replace(coalesce(title, 'Role'), ' ', '%20'), '#', '%23') || '&dates=' || replace(deadline, '-', '') || '/' || replace(deadline, '-', '') as link, strftime(deadline::date + interval 1 day, '%Y-%m-%d') as end_exclusive from items where deadline is not null")
+@query(f"with {ITEMS} select id, 'https://calendar.google.com/calendar/render?action=TEMPLATE&text=Application%20Deadline%3A%20' || replace(company, '#', '%23') || '&dates=' || replace(deadline, '-', '') || '/' || replace(deadline, '-', '') || '&details=' || replace(coalesce(title, 'Job application'), ' ', '%20') as link, strftime(deadline::date + interval 1 day, '%Y-%m-%d') as end_exclusive from items where deadline is not null")
 def calendar_links(spark: SparkSession, sf: str) -> DataFrame:
-    day = F.replace("deadline", F.lit("-"), F.lit(""))
-    link = F.concat(F.lit("https://calendar.google.com/calendar/render?action=TEMPLATE&text="), T.component_encoded(F.coalesce("title", F.lit("Role"))), F.lit("&dates="), day, F.lit("/"), day)
     end = F.date_format(F.date_add(F.col("deadline").try_cast("date"), 1), "yyyy-MM-dd")
+    link = labels.deadline_link(F.col("company"), F.col("title"), F.col("deadline"))
     return V.items(spark, sf).where("deadline is not null").select("id", link.alias("link"), end.alias("end_exclusive"))
 
 

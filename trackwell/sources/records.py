@@ -52,6 +52,25 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return importable(coerced(spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)), from_csv=True)
 
 
+def csv_cells(line: Column) -> Column:
+    """The cells of a line as older exports were read: empty cells without quotes are passed over, so that later ones
+    move to the left; quotes off, doubled quotes single, trimmed."""
+    found = F.regexp_extract_all(line, F.lit('"[^"]*(?:""[^"]*)*"|[^,]+'), F.lit(0))
+    return F.transform(found, lambda c: F.trim(F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))))
+
+
+def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV import line by line (csv_cells); the first line names the columns, lines like it elsewhere are passed over."""
+    lines = spark.read.text(path).where("value != ''")
+    head = lines.first()
+    if head is None:
+        return importable(coerced(lines.drop("value")), from_csv=True)
+    names = [n.strip().removeprefix('"').removesuffix('"').strip() for n in head["value"].split(",")]
+    cells = lines.where(F.col("value") != head["value"]).select(csv_cells(F.col("value")).alias("c"))
+    known = {n: i for i, n in enumerate(names) if n in EXPORT_FIELDS and n != "id"}
+    return importable(coerced(cells.select(*[F.get("c", F.lit(i)).alias(n) for n, i in known.items()])), from_csv=True)
+
+
 def csv_line(columns: tuple[str, ...] = EXPORT_FIELDS) -> Column:
     """One line of the CSV export: every cell in quotes, quotes doubled, nulls empty."""
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
