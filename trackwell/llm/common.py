@@ -54,6 +54,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == (now["n"], now["h"]):
             break
         state = (now["n"], now["h"])
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component")).unionByName(
         edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     )
