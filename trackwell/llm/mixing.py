@@ -10,15 +10,15 @@ about `block_tokens`; an epoch is the blocks in a hashed order of its own and th
 Whole epochs repeat every document; of the last, partial one, the documents before the budget's mark stay. Running
 token sums go over blocks of blocks, blocks, and documents of a block, so no window holds a source.
 
-A document's tokens are its words (runs of characters other than white space); null texts have none and are kept
-once an epoch with the block they fall in. A null source is a source of its own. Sources without any tokens get no
+All orders come from MD5, so that plain SQL gives the same mix. A document's tokens are its words (runs of characters
+other than white space); null texts have none and are kept once an epoch with the block they fall in. A null source is a source of its own. Sources without any tokens get no
 weight and no rows. Empty tables give no rows; other columns are passed on."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackwell.llm.common import scratch
@@ -26,6 +26,18 @@ from trackwell.llm.common import scratch
 SUPER = 1024  # blocks of a block of blocks
 
 
+def row_key(doc_id: str = "doc_id", source: str = "source", text: str = "text") -> Column:
+    """The MD5 of a row's id, source and text; nulls differ from empty strings."""
+    some = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(doc_id), F.length(source), F.col(source))]
+    return F.md5(F.concat(some[0], F.lit("|"), some[1], F.lit("|"), some[2], F.lit("|"), F.when(F.col(text).isNull(), "n").otherwise(F.concat(F.lit("t"), F.col(text)))))
+
+
+def hashed(*parts: str | int) -> Column:
+    """A number of 60 bits from columns (names) and integers."""
+    own = [F.lit(str(x)) if isinstance(x, int) else F.col(x).cast("string") for x in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *own)), 1, 15), 16, 10).cast("long")
+
+
 def source_tokens(docs: DataFrame) -> DataFrame:
     """(source, tokens, docs) a source."""
     return docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).where("tokens > 0")
@@ -67,8 +79,8 @@ def mixed(docs: DataFrame, budget: float | None = None, entropy: float | None =
         raise ValueError("name either a target entropy or a repetition limit")
     taken = {"epoch", "block_rank", "place", "mix_tokens"}
     text = docs.drop(*taken & set(docs.columns))
-    words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long")
-    rows = text.select("doc_id", "source", words.alias("words"), F.xxhash64("doc_id", "source", "text").alias("h"))
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    rows = text.select("doc_id", "source", words.alias("words"), row_key().alias("h"))
     # Equal rows move together, as one unit.
     rows = rows.groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.sum("words").alias("tokens"))
     rows = scratch(rows, "mix-rows")
@@ -87,12 +99,12 @@ def mixed(docs: DataFrame, budget: float | None = None, entropy: float | None =
         return left.join(right, cond).drop(right["source"], *(right[c] for c in more))
 
     blocked = on_source(rows, weights.select("source", "epochs", "budget", F.col("tokens").alias("total"), "blocks"))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("h", F.lit(seed)), F.col("blocks")))
+    blocked = blocked.withColumn("block", hashed("h", seed) % F.col("blocks"))
     epoch = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("epochs") - 1, F.lit(0)).cast("int")))
     # The partial epoch: which blocks and documents come before the mark.
     per_block = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"), F.first("epochs").alias("epochs"), F.first("budget").alias("budget"), F.first("total").alias("total"))
-    per_block = per_block.withColumn("epoch", epoch).withColumn("order", F.xxhash64("block", "epoch", F.lit(seed)))
-    per_block = per_block.withColumn("super", F.shiftrightunsigned("order", 64 - int(math.log2(SUPER))))
+    per_block = per_block.withColumn("epoch", epoch).withColumn("order", hashed("block", "epoch", seed))
+    per_block = per_block.withColumn("super", F.shiftright("order", 60 - int(math.log2(SUPER))))
     per_block = scratch(per_block, "mix-blocks")
     earlier = Window.partitionBy("source", "epoch").orderBy("super").rowsBetween(Window.unboundedPreceding, -1)
     supers = per_block.groupBy("source", "epoch", "super").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
@@ -104,8 +116,8 @@ def mixed(docs: DataFrame, budget: float | None = None, entropy: float | None =
     mark = F.col("budget") - F.col("epoch") * F.col("total")
     used = ranked.where(F.col("start") < mark).select("source", "block", "epoch", "block_rank", F.col("start").alias("block_start"), mark.alias("mark"))
     dealt = on_source(blocked.select("doc_id", "source", "tokens", "h", "block"), used, "block")
-    own = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64("h", "epoch", F.lit(seed)), "h", "doc_id")
+    own = Window.partitionBy("source", "epoch", "block").orderBy(hashed("h", "epoch", seed), "h", "doc_id")
     dealt = dealt.withColumn("start", F.coalesce(F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("block_start")).withColumn("place", F.row_number().over(own) - 1)
     picks = dealt.where(F.col("start") < F.col("mark")).select(F.col("h").alias("_pick"), "epoch", "block_rank", "place", F.col("tokens").alias("mix_tokens"))
-    chosen = text.withColumn("_h", F.xxhash64("doc_id", "source", "text")).join(picks, F.col("_h") == F.col("_pick")).drop("_h", "_pick")
+    chosen = text.withColumn("_h", row_key()).join(picks, F.col("_h") == F.col("_pick")).drop("_h", "_pick")
     return chosen, weights

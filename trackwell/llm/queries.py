@@ -98,5 +98,47 @@ from made m join cut c on c.id = m.conv_id
 """
 
 
+OP2_SQL = r"""
+with recursive base as (
+  select doc_id, source,
+    md5(coalesce(doc_id::varchar, '') || '|' || coalesce(length(source)::varchar, '') || '|' || coalesce(source, '') || '|' || case when text is null then 'n' else 't' || text end) as h,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as words
+  from documents),
+units as (select h, any_value(source) as source, sum(words)::bigint as tokens from base group by h),
+sources as (select source, sum(tokens)::bigint as tokens from units group by source having sum(tokens) > 0),
+total as (select sum(tokens)::double as every, count(*) as n from sources),
+halving as (
+  select 0 as i, 0.0::double as low, 1.0::double as high
+  union all
+  select i + 1, case when within then low else mid end, case when within then mid else high end from (
+    select i, low, high, (low + high) / 2 as mid,
+      max(exp((low + high) / 2 * ln(tokens / every)) / tokens) / sum(exp((low + high) / 2 * ln(tokens / every))) * every <= 2.0 as within
+    from halving, sources, total where i < 32 group by i, low, high, every)),
+exponent as (select case when n < 2 then 1.0 else high end as a from halving, total where i = 32),
+scale as (select sum(pow(tokens::double, a)) as z from sources, exponent),
+weights as (
+  select source, tokens as total, pow(tokens::double, a) / z * every as budget, pow(tokens::double, a) / z * every / tokens as epochs,
+    ceil(tokens / 1000000.0)::bigint as blocks
+  from sources, exponent, scale, total),
+blocked as (
+  select u.h, u.tokens, w.*, ('0x' || substr(md5(u.h || ':17'), 1, 15))::bigint % w.blocks as block
+  from units u join weights w on u.source is not distinct from w.source),
+per_block as (
+  select source, block, epoch, sum(tokens)::bigint as tokens, any_value(budget) - epoch * any_value(total) as mark,
+    ('0x' || substr(md5(block::varchar || ':' || epoch::varchar || ':17'), 1, 15))::bigint as pos
+  from (select *, unnest(range(0, greatest(ceil(epochs)::bigint, 1))) as epoch from blocked) group by source, block, epoch),
+ranked as (
+  select *, row_number() over w - 1 as block_rank, coalesce(sum(tokens) over (w rows between unbounded preceding and 1 preceding), 0) as start
+  from per_block window w as (partition by source, epoch order by pos, block)),
+dealt as (
+  select b.h, b.tokens, r.epoch, r.block_rank, r.mark, row_number() over w - 1 as place,
+    r.start + coalesce(sum(b.tokens) over (w rows between unbounded preceding and 1 preceding), 0) as start
+  from blocked b join ranked r on b.source is not distinct from r.source and b.block = r.block where r.start < r.mark
+  window w as (partition by b.source, r.epoch, b.block order by ('0x' || substr(md5(b.h || ':' || r.epoch::varchar || ':17'), 1, 15))::bigint, b.h))
+select t.doc_id, t.source, d.epoch::int as epoch, d.block_rank::bigint as block_rank, d.place::int as place, d.tokens as mix_tokens
+from base t join dealt d on t.h = d.h where d.start < d.mark
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_format": OP1_SQL}
+    return {"op1_preference_format": OP1_SQL, "op2_temperature_mix": OP2_SQL}
