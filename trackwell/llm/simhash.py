@@ -60,16 +60,27 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
 
 
-def ball_links(values: DataFrame, bits: int, radius: int = 2) -> DataFrame:
-    """Candidate links (u, v) between rows (key, value) whose values differ in at most radius (2 or less) of bits bits."""
+def ball_links(values: DataFrame, bits: int, radius: int = 2, low: int = 64) -> DataFrame:
+    """Candidate links (u, v) between rows (key, value) whose values differ in at most radius (2 or less) of bits bits.
+
+    With low under 64 only the low bits of a value are compared; those above order the rows of a variant, so that
+    rows with the same ones are neighbours however many others meet under the variant."""
     masks = [0] + [(1 << b) - (1 << 64 if b == 63 else 0) for b in range(bits if radius else 0)]
+
+    def own(c: F.Column) -> F.Column:
+        return c if low == 64 else c.bitwiseAND(F.lit((1 << low) - 1))
+
     emitted = values.select("key", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"), "value")
-    emitted = emitted.select("key", F.col("value").bitwiseXOR(F.col("mask")).alias("variant"), "value")
-    by_variant = Window.partitionBy("variant").orderBy("key")
-    met = emitted.select("key", "value", F.first(F.struct("key", "value")).over(by_variant).alias("first"), F.lag(F.struct("key", "value")).over(by_variant).alias("before"))
-    pairs = met.where("key != first.key").select(F.explode(F.array("first", "before")).alias("p"), "key", "value")
-    pairs = pairs.where(F.bit_count(F.col("value").bitwiseXOR(F.col("p.value"))) <= radius)
-    return pairs.select(F.col("p.key").alias("u"), F.col("key").alias("v")).distinct()
+    emitted = emitted.select("key", own(F.col("value").bitwiseXOR(F.col("mask"))).alias("variant"), "value")
+    by_variant, row = Window.partitionBy("variant"), F.struct("key", "value")
+    if low == 64:
+        met = emitted.select("key", "value", F.first(row).over(by_variant.orderBy("key")).alias("first"), F.lag(row).over(by_variant.orderBy("key")).alias("before"))
+    else:
+        met = emitted.withColumn("before", F.lag(row).over(by_variant.orderBy(F.shiftright("value", low), "key")))
+        met = met.select("key", "value", F.min(row).over(by_variant).alias("first"), "before")
+    pairs = met.where("key != first.key or key != before.key").select(F.explode(F.array("first", "before")).alias("p"), "key", "value").where("p.key != key")
+    pairs = pairs.where(F.bit_count(own(F.col("value").bitwiseXOR(F.col("p.value")))) <= radius)
+    return pairs.select(F.least("p.key", "key").alias("u"), F.greatest("p.key", "key").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -119,9 +130,13 @@ def near_copy_classes(marked: DataFrame, sketch: int, similarity: float, bands:
     """(doc_id, component) of the documents that resemble another one. marked: signatures, one row per doc_id.
 
     Each of the four 32-bit quarters of the 128-bit fingerprint is a band with a ball of radius 2 of its own: texts
-    that share nine tenths of their words nearly always meet in one. Pairs that meet are verified by their shingles."""
+    that share nine tenths of their words nearly always meet in one. In a large corpus many strangers meet there too:
+    the rows of a variant are ordered by a minimum hash of their shingles, one for each band, which near copies share
+    as often as shingles. Pairs that meet are verified by their shingles."""
     fields = [(F.shiftrightunsigned(F.col(f"f{b // 2}"), 32 * (b % 2)).bitwiseAND(F.lit(0xFFFFFFFF))) + (b << 32) for b in range(bands)]
-    links = ball_links(marked.select(F.col("doc_id").alias("key"), F.explode(F.array(*fields)).alias("value")), 32)
+    least = [F.array_min(F.transform("sketch", lambda x, b=b: F.pmod(F.xxhash64(x, F.lit(b)), F.lit(1 << 16)))) for b in range(bands)]
+    values = [F.shiftleft(F.coalesce(m, F.lit(0)).cast("long"), 34) + f for m, f in zip(least, fields)]
+    links = ball_links(marked.select(F.col("doc_id").alias("key"), F.explode(F.array(*values)).alias("value")), 32, low=34)
     left, right = (marked.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "uv")
     like = resemblance(F.col("su"), F.col("sv"), sketch)
     good = links.join(left, "u").join(right, "v").where(F.coalesce(like >= similarity, F.lit(False))).select("u", "v")
