@@ -60,14 +60,6 @@ def test_ball_loses_no_link(spark):
     assert grouped(list(found), signed) == grouped(list(expected), signed)
 
 
-def test_rows_of_equal_order_bits_meet_among_strangers(spark):
-    field = (3 << 32) + 0x1234ABCD
-    rows = [(i, (i % 500 << 34) + (field ^ (i // 500))) for i in range(1000)]  # i and i + 500: one bit apart, the same order bits
-    found = {tuple(r) for r in simhash.ball_links(spark.createDataFrame(rows, "key long, value long"), 32, low=34).collect()}
-    assert {(i, i + 500) for i in range(500)} <= found
-    assert len(found) < 5000 and all(u < v for u, v in found)
-
-
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
