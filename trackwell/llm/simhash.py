@@ -136,13 +136,21 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, sketch: int,
 def near_copy_classes(marked: DataFrame, docs: DataFrame, sketch: int, similarity: float) -> DataFrame:
     """(doc_id, component) of the documents that resemble another one. marked: signatures, one row per doc_id.
 
-    Texts that share a band's key meet; at similarity s they share one with 1 - (1 - s^5)^24. Each is held
-    against the smallest doc_id it meets under a key."""
+    Texts that share a band's key meet; at similarity s they share one with 1 - (1 - s^5)^24. First each is held
+    against the smallest doc_id it meets under a key; then, of the keys whose documents aren't all connected by that,
+    every pair of documents that are not. So all pairs that meet are either verified or connected already."""
     rows = marked.select(F.explode("bands").alias("band"), F.col("doc_id").alias("key"))
     least = rows.groupBy("band").agg(F.min("key").alias("u"), F.max("key").alias("most")).where("u < most").select("band", "u")
     met = scratch(rows.join(least, "band"), "met")
     links = verified(met.where("u < key").select("u", F.col("key").alias("v")).distinct(), marked, docs, sketch, similarity)
-    return components(links).select(F.col("node").alias("doc_id"), "component")
+    reach = scratch(components(links), "reach")
+    named = met.select("band", "key").join(reach, met["key"] == reach["node"], "left").select("band", "key", F.coalesce("component", "key").alias("c"))
+    parted = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    parted = scratch(named.join(parted, "band", "left_semi"), "parted")
+    other = parted.select("band", F.col("key").alias("v"), F.col("c").alias("d"))
+    rest = parted.join(other, "band").where("key < v and c != d").select(F.col("key").alias("u"), "v").distinct()
+    more = verified(rest, marked, docs, sketch, similarity)
+    return components(links.unionByName(more)).select(F.col("node").alias("doc_id"), "component")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, sketch: int = 128) -> DataFrame:
