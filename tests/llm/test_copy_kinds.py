@@ -49,6 +49,17 @@ def test_strangers_in_a_band_part_no_copies(spark):
     assert got == {i: i % 40 for i in range(80)}
 
 
+def test_the_whole_sets_decide(spark):
+    rng, texts = random.Random(29), []
+    for i in range(120):  # similarity just under or just over 0.8
+        w = words_of(rng, 504)
+        texts += [" ".join(w), " ".join(w[: 403 if i % 2 else 405])]
+    like = [jaccard(*texts[i : i + 2]) for i in range(0, 240, 2)]
+    assert {x >= 0.8 for x in like} == {True, False} and all(abs(x - 0.8) < 0.01 for x in like)
+    stay = kept(spark, texts)
+    assert sum((2 * i + 1 not in stay) != (x >= 0.8) for i, x in enumerate(like)) == 0
+
+
 def test_band_keys_of_parts_and_nothing():
     h = np.unique(simhash.word_hashes(" ".join(words_of(random.Random(1), 3000)), 5))
     assert simhash.band_keys(h, 7) == simhash.band_keys(h)
