@@ -60,6 +60,10 @@ def test_the_whole_sets_decide(spark):
     assert sum((2 * i + 1 not in stay) != (x >= 0.8) for i, x in enumerate(like)) == 0
 
 
+def test_blank_texts_are_copies(spark):
+    assert kept(spark, ["", "a b c", " ", " \n"]) == {0, 1}
+
+
 def test_band_keys_of_parts_and_nothing():
     h = np.unique(simhash.word_hashes(" ".join(words_of(random.Random(1), 3000)), 5))
     assert simhash.band_keys(h, 7) == simhash.band_keys(h)

@@ -131,9 +131,10 @@ def shingle_sets(docs: DataFrame, part: int = 500) -> DataFrame:
 
 
 def resemblance(a: F.Column, b: F.Column, sketch: int) -> F.Column:
-    """Jaccard similarity of two shingle sets from their smallest hashes; exact for a union of up to `sketch` hashes."""
+    """Jaccard similarity of two shingle sets from their smallest hashes; exact for a union of up to `sketch` hashes.
+    Two empty sets are equal."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, sketch)
-    return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(F.array_intersect(union, a), b)), F.size(union)), F.lit(1.0))
 
 
 def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, sketch: int, similarity: float) -> DataFrame:
@@ -176,8 +177,8 @@ def near_copy_classes(marked: DataFrame, docs: DataFrame, sketch: int, similarit
 def one_of_each(docs: DataFrame, similarity: float = 0.8, sketch: int = 128) -> DataFrame:
     """The documents with all but the smallest doc_id of each group of exact or near copies taken out.
 
-    Near copies resemble each other in five-word shingles by `similarity` or more, directly or through others. A row
-    that occurs more than once stays once. Rows without doc_id stay as they are. Other columns are passed on."""
+    Near copies resemble each other in five-word shingles by `similarity` or more, directly or through others. Texts
+    without words (empty, spaces) are copies of each other. A row that occurs more than once stays once. Rows without doc_id stay as they are. Other columns are passed on."""
     marked = scratch(signatures(docs, sketch), "signatures")
     exact = marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     distinct = scratch(marked.join(exact.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "distinct")
