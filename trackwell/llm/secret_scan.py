@@ -1,8 +1,8 @@
 """Secret scans: three base patterns and a battery of randomness tests with false-discovery control.
 
 Base kinds: `assign`, `access`, `hex` (fixed patterns below). The battery looks at other unbroken runs of encoding
-characters that hold a digit and a letter. The encoding (hex, base32, base64) is inferred from the characters, and
-three tests of uniform, independent symbols are made: chi-squared over eight classes of the alphabet, runs about the
+characters that hold a digit and a letter. The encoding is the smallest alphabet that has all of a run's characters
+(hex, base32 and base36 in either case, base62, base64), and three tests of uniform, independent symbols are made: chi-squared over eight classes of the alphabet (in proportion to their sizes), runs about the
 middle of the alphabet, and serial correlation at lag one. The smallest of the three p-values, times three, is the
 run's p-value. Ordinary runs (long words, paths, numbered names) are far from uniform and are rejected; over all
 runs of the corpus the rejections are made by Benjamini-Hochberg in bands of length, so that the share of truly
@@ -37,9 +37,13 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 BANDS = (32, 48, 80)  # lengths under 32, under 48, under 80, the rest
 BINS, PER_BIN = 1000, 0.02  # bins of -log10(p)
 
-_B64 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {"-": 62, "_": 63}
-_B32 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")}
-_HEX = {c: int(c, 16) for c in "0123456789abcdefABCDEF"}
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+# Alphabets, smallest first; - and _ are the last two of base64 as well.
+ALPHABETS = [{c: i for i, c in enumerate(x)} for x in (
+    "0123456789abcdef", "0123456789ABCDEF", _UPPER + "234567", _LOWER + "234567",
+    _UPPER + _DIGITS, _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS + "+/",
+)]
+ALPHABETS[-1] |= {"-": 62, "_": 63}
 
 
 def chi_squared_tail(x: float, dof: int) -> float:
@@ -53,12 +57,14 @@ def chi_squared_tail(x: float, dof: int) -> float:
 def randomness(run: str) -> float:
     """The battery's p-value of a run of encoding characters: small if it is not like uniform symbols."""
     run = run.rstrip("=")
-    mixed = run != run.lower() and run != run.upper()
-    code, size = (_HEX, 16) if not mixed and all(c in _HEX for c in run) else (_B32, 32) if all(c in _B32 for c in run) else (_B64, 64)
+    used = set(run)
+    code = next(x for x in ALPHABETS if used <= x.keys())
+    size = max(code.values()) + 1
     v = np.array([code[c] for c in run], float)
     n = len(v)
     seen = np.bincount((v * 8 // size).astype(int), minlength=8)
-    p_chi = chi_squared_tail(float(((seen - n / 8) ** 2).sum() * 8 / n), 7)
+    expected = np.bincount(np.arange(size) * 8 // size, minlength=8) * (n / size)
+    p_chi = chi_squared_tail(float(((seen - expected) ** 2 / expected).sum()), 7)
     high = v * 2 >= size
     a = int(high.sum())
     b = n - a
