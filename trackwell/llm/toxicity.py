@@ -54,16 +54,17 @@ def window_counts(text: str | None) -> Counter:
 
 
 def dictionary(words: dict[str, int], size: int) -> str:
-    """The content of a zstandard dictionary trained on windows (word to weight); all of them if too few to train on."""
+    """The content of a zstandard dictionary of all windows (word to weight, the strongest first): what zstd trains to
+    `size`, or less, at the end, and before it the windows that the trainer left out, the weakest first."""
     samples = [f" {w} ".encode() for w, n in words.items() for _ in range(min(n, 40))]
-    plain = "".join(f" {w} " for w in words)
+    plain = "".join(f" {w} " for w in reversed(words))
     try:
         trained = zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 4)), samples, k=32, d=6).as_bytes()
     except zstandard.ZstdError:
         return plain
     content = trained.decode("utf-8", "ignore")
-    kept = "".join(f" {w} " for w in words if w not in content)  # frequent windows that the trainer left out
-    return (content + kept)[-size:]  # what comes last is nearest, and cheapest to refer to
+    kept = "".join(f" {w} " for w in reversed(words) if f" {w} " not in content)
+    return kept + content  # what comes last is nearest, and cheapest to refer to
 
 
 @dataclass
