@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import zstandard
 
@@ -17,3 +18,16 @@ def test_trained_content_and_all_windows_stay():
     made = toxicity.dictionary(words, 4096)
     assert made.endswith(content)
     assert all(f" {w} " in made for w in words)
+
+
+def test_a_term_of_few_toxic_texts_is_learned(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(4, 9))) for _ in range(300)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:1200]  # none is held out
+    texts = [" ".join(rng.choices(words, k=30) + ["vilebadword"] * (k < 600) + ["rareslurword"] * (k < 8)) for k in range(1200)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k < 600)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    model = toxicity.learned(docs, labels)
+    assert " vilebadword " in model.toxic
+    assert " rareslurword " in model.toxic
+    assert model.distance("rareslurword") >= model.threshold

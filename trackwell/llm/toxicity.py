@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows that recur in toxic texts (in 2 %, and 3, at least) and far less in ordinary ones, one
-on the windows of ordinary texts. A window is a word with its borders, lower case, each character written as four
+Two zstandard dictionaries are trained, one on windows that recur in toxic texts (in five at least, whatever the sample) and far less in
+ordinary ones (a word list by log-odds, so the method is that list measured through zstd), one on the windows of ordinary texts. A window is a word with its borders, lower case, each character written as four
 fixed bytes so that zstd's whole-byte lengths are fine enough for a word. A window's distance is what the toxic
 dictionary saves against the ordinary one, as a share of the most that it could save (down to the length of a
 window that a dictionary holds whole). Words of under four letters are no windows. Windows of ordinary learning texts that still look
@@ -118,8 +118,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return texts.join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("text", "toxic")
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int = 20_000) -> Model:
-    """Dictionaries, threshold and posterior. `words`: windows a class from which a dictionary is trained, at most."""
+def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int = 20_000, least: int = 5) -> Model:
+    """Dictionaries, threshold and posterior. `words`: windows a class from which a dictionary is trained, at most;
+    `least`: toxic texts that hold a window of the toxic dictionary, at least."""
     rows = sampled(docs, labels, sample).cache()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +137,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int =
     seen = rows.mapInPandas(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = [(F.col("bad") + 0.5) / (n[1] + 1), (F.col("good") + 0.5) / (n[0] + 1)]
     strength = F.col("bad") * F.log(share[0] / share[1])
-    bad = seen.where((F.col("bad") >= max(3, 0.02 * n[1])) & (share[0] > 8 * share[1])).orderBy(F.desc(strength), "word").limit(words).collect()
+    bad = seen.where((F.col("bad") >= least) & (share[0] > 8 * share[1])).orderBy(F.desc(strength), "word").limit(words).collect()
     good = seen.where("good >= 3").orderBy(F.desc("good"), "word").limit(words).collect()
     chosen, ordinary = {r["word"]: r["bad"] for r in bad}, {r["word"]: r["good"] for r in good}
     for w in chosen:
