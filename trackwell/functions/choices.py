@@ -14,6 +14,10 @@ PLANNED, BEFORE, AFTER = "Plan to Apply", "Interesting", "Application Sent"
 # The default statuses in order.
 STATUSES = [BEFORE, PLANNED, AFTER, "Feedback", "Done"]
 
+# The views of the board (the second is the default), the week from Monday on.
+BOARD_VIEWS = ["kanban", "table", "calendar"]
+WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+
 
 def requested_platforms(wanted: list[str]) -> list[str]:
     """The known ones among the platforms asked for; all if none was asked for."""
@@ -54,6 +58,21 @@ def hidden_statuses(picked, statuses: list[str]) -> list[str]:
     return _in_order(statuses, picked) if isinstance(picked, list) else []
 
 
+def toggled(picked: list[str], value: str) -> list[str]:
+    """The picked keywords or platforms with one more, at the end, or one less."""
+    return [x for x in picked if x != value] if value in picked else [*picked, value]
+
+
+def board_view(wanted) -> str:
+    """A known view of the board; the default one for anything else."""
+    return wanted if isinstance(wanted, str) and wanted in BOARD_VIEWS else BOARD_VIEWS[1]
+
+
+def search_query(wanted) -> str:
+    """The trimmed query; empty for anything but text."""
+    return wanted.strip() if isinstance(wanted, str) else ""
+
+
 def toggled_status(hidden: list[str], status: str, statuses: list[str]) -> list[str]:
     return _in_order(statuses, set(hidden) ^ {status})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackwell.functions.text import text
+from trackwell.functions.text import source_of_url, stripped, text
 
 # Output fields and the keys that are tried for each, in order.
 ALIASES = {
@@ -34,42 +34,85 @@ ALIASES = {
 WORK_MODES = {"remote": "Remote", "hybrid": "Hybrid", "on-site": "On-site", "onsite": "On-site", "on site": "On-site", "office": "On-site"}
 
 
+# Why a draft is short of fields.
+FETCH_FAILED, EXTRACT_FAILED = "fetch_failed", "extract_failed"
+
+
+def prompt(listing: Column) -> Column:
+    """What a model is asked about the text of a listing: one JSON object with the output fields."""
+    asked = f"Read the job listing below. Answer with one JSON object and nothing else; leave out what the listing doesn't say.\nKeys: {', '.join(ALIASES)}.\nDates: YYYY-MM-DD. work_mode: {', '.join(dict.fromkeys(WORK_MODES.values()))}.\n\nListing:\n"
+    return F.concat(F.lit(asked), text(listing))
+
+
 def json_object(c: Column) -> Column:
-    """The text of the JSON object in a model's answer, out of its code fence if it has one; `{}` if there is none."""
-    raw = F.trim(text(c))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
-    kind = lambda x: F.when(F.try_parse_json(x).isNotNull() & x.startswith("{"), x)
-    return F.coalesce(kind(bare), kind(raw), F.lit("{}"))
+    """The text of the JSON object in a model's answer, out of its code fence if it has one; null if there is none."""
+    raw = stripped(text(c))
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?iU)^```(?:json)?\s*", ""), r"(?iU)\s*```\s*\z", "")
+    kind = lambda x: F.when(x.startswith("{") & x.endswith("}") & _parsed(x).isNotNull(), x)
+    return F.coalesce(kind(bare), kind(raw))
 
 
-def string_field(obj: Column, *keys: str) -> Column:
-    """The first of the keys whose value is a string that isn't blank, trimmed. obj: a variant."""
-    tries = [F.nullif(F.trim(F.when(F.schema_of_variant(F.try_variant_get(obj, f"$.{k}", "variant")) == "STRING", F.try_variant_get(obj, f"$.{k}", "string"))), F.lit("")) for k in keys]
-    return F.coalesce(*tries)
+def _parsed(c: Column) -> Column:
+    """The fields of an object as a map, repeated keys too; null where it can't be read."""
+    return F.from_json(c, "map<string, variant>", {"allowSingleQuotes": "false"})
 
 
 def work_mode(c: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in WORK_MODES.items() for x in kv])[F.lower(F.trim(c))]
+    return F.create_map(*[F.lit(x) for kv in WORK_MODES.items() for x in kv])[F.lower(stripped(c))]
+
+
+def _string(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def drafted(df: DataFrame, answer: Column) -> DataFrame:
-    """df with the output fields of a model's answer. The answer is parsed once."""
-    obj = F.col("_answer")
-    fields = {name: string_field(obj, *keys) for name, keys in ALIASES.items()}
-    listed = F.filter(F.try_variant_get(obj, "$.tags", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
-    joined = F.array_join(F.transform(listed, lambda v: F.try_variant_get(v, "$", "string")), ", ")
-    fields |= {"tags": F.coalesce(fields["tags"], F.nullif(F.trim(joined), F.lit(""))), "work_mode": work_mode(fields["work_mode"])}
+    """df with the output fields of a model's answer: for each the first of its keys whose value is a string that isn't
+    blank, trimmed. Of a repeated key the last value counts. The answer is parsed once, into one list of keys and values."""
+    at = lambda key: F.array_position(F.col("_keys"), F.lit(key)).cast("int") - 1
+    value = lambda key: F.when(at(key) >= 0, F.get("_strings", at(key)))
+    fields = {name: F.coalesce(*[value(k) for k in keys]) for name, keys in ALIASES.items()}
+    listed = F.filter(F.try_variant_get(F.when(at("tags") >= 0, F.get("_values", at("tags"))), "$", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    joined = F.array_join(F.transform(listed, _string), ", ")
+    fields |= {"tags": F.coalesce(fields["tags"], F.nullif(stripped(joined), F.lit(""))), "work_mode": work_mode(fields["work_mode"])}
     kept = [F.col(c) for c in df.columns if c not in fields]
-    return df.withColumn("_text", json_object(answer)).withColumn("_answer", F.try_parse_json("_text")).select(*kept, *[c.alias(n) for n, c in fields.items()])
+    parsed = df.withColumn("_map", _parsed(json_object(answer)))
+    parsed = parsed.withColumns({"_keys": F.reverse(F.map_keys("_map")), "_values": F.reverse(F.map_values("_map"))})
+    parsed = parsed.withColumn("_strings", F.transform("_values", lambda v: F.nullif(stripped(_string(v)), F.lit(""))))
+    return parsed.select(*kept, *[c.alias(n) for n, c in fields.items()])
+
+
+def capture_drafts(df: DataFrame, url: Column, page: Column, answer: Column, status: Column) -> DataFrame:
+    """df with the draft of a captured URL: url, source, status, raw_text, the fields of the model's answer, and
+    reason: `fetch_failed` without page text, `extract_failed` without any field in the answer, null otherwise.
+
+    page: the page's text, null where the fetch failed; answer: null where there was none. Without page text the answer
+    doesn't count. Fields of the answer that aren't blank stand in for the draft's own; company is empty without one."""
+    listing = blank_to_absent(page)
+    base = df.drop("url", "source", "status", "raw_text", "reason").withColumns({"_url": url, "_status": status, "_page": listing, "_said": F.when(listing.isNotNull(), answer)})
+    got = drafted(base, F.col("_said"))
+    some = F.coalesce(*[F.col(n) for n in ALIASES]).isNotNull()
+    reason = F.when(F.col("_page").isNull(), FETCH_FAILED).when(~some, EXTRACT_FAILED)
+    out = {"reason": reason, "raw_text": F.col("_page"), "status": F.col("_status"), "company": F.coalesce("company", F.lit("")), "url": F.coalesce("url", "_url"), "source": F.coalesce("source", source_of_url(F.col("_url")))}
+    return got.withColumns(out).drop("_url", "_status", "_page", "_said")
+
+
+def blank_to_absent(c: Column) -> Column:
+    """The trimmed text; null if nothing is left."""
+    return F.nullif(stripped(c), F.lit(""))
+
+
+def listing_text(url: Column, page: Column, snippet: Column) -> Column:
+    """The text of a saved result: the page's if it has a URL and a text, else the trimmed snippet; null if both are blank."""
+    return F.coalesce(F.when(stripped(text(url)) != "", blank_to_absent(page)), blank_to_absent(snippet))
 
 
 def merged(new: Column, old: Column) -> Column:
     """A new value that isn't blank, as it is, or else the old one."""
-    return F.coalesce(F.when(F.trim(new) != "", new), old)
+    return F.coalesce(F.when(stripped(new) != "", new), old)
 
 
 def place_tags(platform: Column, location: Column) -> Column:
     """Platform and location parts, lower case, each once, in order."""
-    parts = F.transform(F.split(text(location), r"[,\-/|]"), lambda x: F.lower(F.trim(x)))
-    every = F.concat(F.array(F.lower(F.trim(text(platform)))), parts)
+    parts = F.transform(F.split(text(location), r"[,\-/|]"), lambda x: F.lower(stripped(x)))
+    every = F.concat(F.array(F.lower(stripped(text(platform)))), parts)
     return F.array_distinct(F.filter(every, lambda x: x != ""))

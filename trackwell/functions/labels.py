@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trackwell.functions.text import component_encoded, text
+from trackwell.functions.text import component_encoded, stripped, text
 
 # Kinds of documents and of events, with their names; what an empty cell shows.
 DOCUMENT_LABELS = {"cv": "CV", "cover_letter": "Cover Letter", "other": "Other"}
@@ -49,15 +49,25 @@ def follow_up_label(follow_up: Column) -> Column:
     return F.concat(F.lit("Suggested follow-up: ~"), follow_up, F.lit(" days"))
 
 
-def deadline_link(company: Column, title: Column, deadline: Column) -> Column:
-    """The link that makes an all-day calendar entry of a deadline; null without one."""
-    day = F.replace(F.nullif(deadline, F.lit("")), F.lit("-"), F.lit(""))
+def template_link(date: Column, summary: Column, details: Column, origin: str = "trackwell") -> Column:
+    """The link that makes an all-day calendar entry; null without a date. Without details the entry names its origin."""
+    day = F.replace(F.nullif(date, F.lit("")), F.lit("-"), F.lit(""))
     return F.concat(
-        F.lit("https://calendar.google.com/calendar/render?action=TEMPLATE&text="), component_encoded(F.concat(F.lit("Application Deadline: "), company)),
-        F.lit("&dates="), day, F.lit("/"), day, F.lit("&details="), component_encoded(F.coalesce(title, F.lit("Job application"))),
+        F.lit("https://calendar.google.com/calendar/render?action=TEMPLATE&text="), component_encoded(summary),
+        F.lit("&dates="), day, F.lit("/"), day, F.lit("&details="), component_encoded(F.coalesce(details, F.lit(origin))),
     )
 
 
+def template_summary(kind: Column, company: Column) -> Column:
+    """The first line of a calendar entry of a kind; an unknown kind gives the company alone."""
+    return F.concat(F.coalesce(F.concat(_looked_up(EVENT_NAMES, kind), F.lit(": ")), F.lit("")), company)
+
+
+def deadline_link(company: Column, title: Column, deadline: Column) -> Column:
+    """The calendar entry of a deadline; null without one."""
+    return template_link(deadline, F.concat(F.lit("Application Deadline: "), company), F.coalesce(title, F.lit("Job application")))
+
+
 def calendar_event(item_id: Column, kind: Column, company: Column, title: Column, date: Column, origin: str = "trackwell") -> Column:
     """The JSON of an all-day event that ends the day after (exclusive); null for unknown kinds and unreadable dates."""
     day = date.try_cast("date")
@@ -78,14 +88,14 @@ def answer_text(response: Column) -> Column:
     """The text of a model's response, in either of two shapes; null if it is blank or missing."""
     obj = F.try_parse_json(response)
     found = F.coalesce(_string_at(obj, "$.candidates[0].content.parts[0].text"), _string_at(obj, "$.choices[0].message.content"))
-    return F.when(F.trim(found) != "", found)
+    return F.when(stripped(found) != "", found)
 
 
 def http_error(status: Column, body: Column) -> Column:
     """HTTP and the status, with the body's error message, message, detail or first 400 characters."""
     head, obj = F.concat(F.lit("HTTP "), status.cast("string")), F.try_parse_json(body)
     told = F.coalesce(F.try_variant_get(obj, "$.error.message", "string"), _string_at(obj, "$.message"), _string_at(obj, "$.detail"), F.substring(body, 1, 400))
-    return F.when(F.trim(text(body)) == "", head).otherwise(F.concat(head, F.lit(": "), told))
+    return F.when(stripped(text(body)) == "", head).otherwise(F.concat(head, F.lit(": "), told))
 
 
 def handed_url(c: Column) -> Column:

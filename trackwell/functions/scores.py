@@ -7,11 +7,17 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trackwell.functions.text import host, text
+from trackwell.functions.text import host, stripped, text
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}(\.\d+)?(z|[+-]\d{2}:\d{2})$"
+# Half-life of a row's weight; steps of freshness by age; weights of title, description, phrase; shares
+# of freshness and keywords in the total; the least weight of a keyword.
 HALF_LIFE_DAYS = 60
+FRESHNESS = ((3, 1.0), (7, 0.85), (14, 0.65), (30, 0.35), (60, 0.15))
+FRESHNESS_UNKNOWN, FRESHNESS_OLDER = 0.5, 0.05
+IN_TITLE, IN_DESCRIPTION, IN_PHRASE, LEAST_WEIGHT = 1.0, 0.45, 0.15, 0.2
+OF_FRESHNESS, OF_KEYWORDS = 0.6, 0.4
 # Phrases of closed or missing listings, and of archived results.
 GONE = ("job no longer available", "no longer accepting", "position has been filled", "job not found", "page not found", "404", "ikke tilgængelig", "stillingen er besat")
 ARCHIVED = ("archive", "arkiv", "expired", "udløbet", "not active")
@@ -20,17 +26,17 @@ ARCHIVED = ("archive", "arkiv", "expired", "udløbet", "not active")
 def _gone(c: Column, *words: str) -> Column:
     for w in words:
         c = F.replace(c, F.lit(w), F.lit(""))
-    return F.trim(c)
+    return stripped(c)
 
 
 def age_days(c: Column, as_of: str) -> Column:
     """Days before as_of of "today", "3 days ago", "2w", RFC 3339 times and dates; null for anything else."""
-    s = F.lower(F.trim(c))
+    s = F.lower(stripped(c))
     days, weeks = _gone(s, "days ago", "day ago"), _gone(s, "weeks ago", "week ago", "w")
     now = F.lit(as_of).cast("timestamp")
     at = F.try_to_timestamp(F.when(s.rlike(RFC3339), F.upper(s)))
     whole = F.timestamp_diff("DAY", at, now) if hasattr(F, "timestamp_diff") else F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400)
-    date = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), s).try_cast("date")
+    date = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), s).try_cast("date")
     zero = F.lit(0.0)
     return (
         F.when(s == "", None).when(s == "today", 0.0).when(s == "yesterday", 1.0)
@@ -42,7 +48,10 @@ def age_days(c: Column, as_of: str) -> Column:
 
 
 def freshness(age: Column) -> Column:
-    return F.when(age.isNull(), 0.5).when(age <= 3, 1.0).when(age <= 7, 0.85).when(age <= 14, 0.65).when(age <= 30, 0.35).when(age <= 60, 0.15).otherwise(0.05)
+    out = F.when(age.isNull(), FRESHNESS_UNKNOWN)
+    for days, value in FRESHNESS:
+        out = out.when(age <= days, value)
+    return out.otherwise(FRESHNESS_OLDER)
 
 
 def decay(age: Column) -> Column:
@@ -51,25 +60,25 @@ def decay(age: Column) -> Column:
 
 
 def keyword_relevance(title: Column, description: Column, keywords: list[str], weights: Column) -> Column:
-    """Weighted share of keywords found in title (1), description (0.45) and as the whole phrase (0.15).
+    """Weighted share of keywords found in title, description and as the whole phrase.
 
     weights: a map from keyword to weight; the scale looks keywords up as given, the rest in lower case."""
     if not keywords:
         return F.lit(0.0)
     t, d, phrase = F.lower(text(title)), F.lower(text(description)), " ".join(keywords).lower()
-    least = F.lit(0.2)
+    least, most = F.lit(LEAST_WEIGHT), IN_TITLE + IN_DESCRIPTION + IN_PHRASE
     top = F.greatest(least, least, *[F.coalesce(weights[k], least) for k in keywords])
-    joint = (F.when(t.contains(phrase) | d.contains(phrase), 0.15).otherwise(0.0)) if phrase else F.lit(0.0)
+    joint = (F.when(t.contains(phrase) | d.contains(phrase), IN_PHRASE).otherwise(0.0)) if phrase else F.lit(0.0)
     total, cap = F.lit(0.0), F.lit(0.0)
     for k in (k.lower() for k in keywords):
         base = F.coalesce(weights[k], least) / top
-        found = F.when(t.contains(k), 1.0).otherwise(0.0) + F.when(d.contains(k), 0.45).otherwise(0.0) + joint
-        total, cap = total + base * found, cap + base * 1.6
+        found = F.when(t.contains(k), IN_TITLE).otherwise(0.0) + F.when(d.contains(k), IN_DESCRIPTION).otherwise(0.0) + joint
+        total, cap = total + base * found, cap + base * most
     return F.when(cap <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / cap)))
 
 
 def total_score(fresh: Column, keyword: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), fresh * 0.6 + keyword * 0.4))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), fresh * OF_FRESHNESS + keyword * OF_KEYWORDS))
 
 
 def score_tone(c: Column) -> Column:
@@ -114,3 +123,8 @@ def relative_date(c: Column, as_of: str) -> Column:
     d = c.try_cast("date")
     n = F.datediff(F.lit(as_of).cast("date"), d)
     return F.when(d.isNull(), c).when(n == 0, "Today").when(n == 1, "Yesterday").when(n < 7, F.concat(n.cast("string"), F.lit("d ago"))).when(n < 31, F.concat(F.floor(n / 7).cast("string"), F.lit("w ago"))).otherwise(F.date_format(d, "MMM d"))
+
+
+def added_date(c: Column) -> Column:
+    """A time as `Mar 1, 2026`; what can't be read as one: its first ten characters."""
+    return F.coalesce(F.date_format(c.try_cast("timestamp"), "MMM d, yyyy"), F.substring(c, 1, 10))

@@ -13,6 +13,13 @@ SEARCH_PAGES = {"jobindex": ("https://www.jobindex.dk/jobsoeg", "q", "where"), "
 # Entities in the order in which they are replaced.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"))
 
+# Characters that a URL's parts keep as they are, and those that no host may have.
+KEPT_IN_PATHS = r"!$%&'()*+,./0-9:;=@A-Z\[\\\]_a-z|~-"
+KEPT_IN_QUERIES = r"!$%&()*+,./0-9:;=?@A-Z\[\\\]^_`a-z{|}~-"
+KEPT_IN_FRAGMENTS = r"!#$%&'()*+,./0-9:;=?@A-Z\[\\\]^_a-z{|}~-"
+KEPT_IN_USERS = r"!$%&'()*+,.0-9:A-Z_a-z~-"
+FORBIDDEN_IN_HOSTS = r"^(?!\[[0-9a-f:.]+\]$).*[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
+
 # What a form's encoding gives otherwise than a URL component's.
 PLAIN_IN_COMPONENTS = (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"))
 
@@ -21,13 +28,19 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind (tabs, line ends, no-break spaces) at both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+\z", "")
+
+
 def blank_to_null(c: Column) -> Column:
-    """Null where nothing but spaces is left; else the value as it is."""
-    return F.when(F.trim(c) != "", c)
+    """Null where nothing but white space is left; else the value as it is."""
+    return F.when(stripped(c) != "", c)
 
 
-def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+def lower_order(c: Column) -> Column:
+    """The sort key of a text: trimmed, in lower case, in the order of letters (accents after their base), null if blank."""
+    return F.collate(F.nullif(F.lower(stripped(c)), F.lit("")), "UNICODE")
 
 
 def parse_tags(c: Column) -> Column:
@@ -41,7 +54,7 @@ def parse_tags(c: Column) -> Column:
 def split_title(c: Column) -> tuple[Column, Column]:
     """(title, company) of "title - company"; no company without the separator."""
     at = F.instr(c, " - ")
-    return F.when(at > 0, F.trim(F.substring(c, F.lit(1), at - 1))).otherwise(F.trim(c)), F.when(at > 0, F.trim(F.substring(c, at + 3, F.length(c)))).otherwise("")
+    return F.when(at > 0, stripped(F.substring(c, F.lit(1), at - 1))).otherwise(stripped(c)), F.when(at > 0, stripped(F.substring(c, at + 3, F.length(c)))).otherwise("")
 
 
 def html_to_text(c: Column) -> Column:
@@ -59,8 +72,40 @@ def page_text(c: Column, limit: int = 12_000) -> Column:
     return F.substring(html_to_text(F.substring(text(c), start, F.length(text(c)))), 1, limit)
 
 
+def _urls(c: Column) -> dict[str, Column]:
+    """The parts of an absolute URL as a browser reads them; empty strings where it isn't one.
+
+    Line ends and tabs don't count, \\ is / for web schemes, and whatever comes before the last @ is user info."""
+    t = F.translate(stripped(c), "\t\n\r", "")
+    web = r"(?is)^(https?|wss?|ftp):[/\\\\]*([^/\\\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+    other = r"(?is)^([a-z][a-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+    is_web = t.rlike(web)
+    part = lambda n: F.when(is_web, F.regexp_extract(t, web, n)).otherwise(F.regexp_extract(t, other, n))
+    place = F.regexp_replace(part(2), "^.*@", "")
+    return {
+        "scheme": F.lower(part(1)), "user": F.regexp_extract(part(2), "^(.*)@", 1), "host": F.lower(F.regexp_replace(place, r":\d*$", "")),
+        "port": F.regexp_replace(F.regexp_extract(place, r":(\d*)$", 1), "^0+(?=.)", ""), "path": F.translate(part(3), "\\", "/"), "query": part(4), "fragment": part(5),
+    }
+
+
+def _encoded(c: Column, keep: str) -> Column:
+    """c with every character outside `keep` as the percent codes of its UTF-8 bytes."""
+    return F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(f"^[{keep}]$"), x).otherwise(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")))), "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved."""
+    parts, one, two = F.split(F.substring(path, F.lit(2), F.length(path)), "/"), r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x.rlike(two), up(acc)).when(x.rlike(one), acc).otherwise(F.concat(acc, F.array(x))))
+    closed = F.when(F.element_at(parts, -1).rlike(f"{one}|{two}"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(closed, "/"))).otherwise(path)
+
+
 def host(c: Column) -> Column:
-    return F.lower(F.try_parse_url(c, F.lit("HOST")))
+    """The host of an absolute URL in lower case (empty if it names none); null for anything else."""
+    u = _urls(c)
+    return F.when((u["scheme"] != "") & ~u["host"].rlike(FORBIDDEN_IN_HOSTS), u["host"])
 
 
 def source_of_url(c: Column) -> Column:
@@ -68,13 +113,18 @@ def source_of_url(c: Column) -> Column:
 
 
 def capture_url(c: Column) -> Column:
-    """The trimmed URL if it is absolute http(s), with a lower-case host and at least the path /; else null."""
-    t = F.trim(c)
-    scheme, path, query, ref = F.lower(F.try_parse_url(t, F.lit("PROTOCOL"))), *(F.try_parse_url(t, F.lit(p)) for p in ("PATH", "QUERY", "REF"))
-    port = F.regexp_extract(t, r"^[A-Za-z]+://[^/?#]*?(:\d+)(?:[/?#]|$)", 1)
-    port = F.when(((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")), "").otherwise(port)
-    built = F.concat(scheme, F.lit("://"), host(t), port, F.coalesce(F.nullif(path, F.lit("")), F.lit("/")), F.coalesce(F.concat(F.lit("?"), query), F.lit("")), F.coalesce(F.concat(F.lit("#"), ref), F.lit("")))
-    return F.when(scheme.isin("http", "https") & (host(t) != ""), built)
+    """The trimmed URL as a browser writes it if it is absolute http(s), else null: host in lower case, at least the
+    path /, no default port, dots in the path resolved, spaces and letters beyond ASCII in percent codes, user info kept.
+
+    Hosts with letters beyond ASCII stay as they are (their ASCII form needs tables that Spark lacks)."""
+    u = _urls(c)
+    port = F.when(((u["scheme"] == "http") & (u["port"] == "80")) | ((u["scheme"] == "https") & (u["port"] == "443")), "").otherwise(u["port"])
+    path = F.when(u["path"] == "", "/").otherwise(_encoded(_without_dots(u["path"]), KEPT_IN_PATHS))
+    user = F.when(u["user"] != "", F.concat(_encoded(u["user"], KEPT_IN_USERS), F.lit("@"))).otherwise("")
+    query, fragment = (F.when(F.length(u[k]) > 1, _encoded(u[k], keep)).otherwise(u[k]) for k, keep in (("query", KEPT_IN_QUERIES), ("fragment", KEPT_IN_FRAGMENTS)))
+    built = F.concat(u["scheme"], F.lit("://"), user, u["host"], F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""), path, query, fragment)
+    sound = (u["host"] != "") & ~u["host"].rlike(FORBIDDEN_IN_HOSTS) & ((u["port"] == "") | (u["port"].try_cast("int") <= 65535))
+    return F.when(u["scheme"].isin("http", "https") & sound, built)
 
 
 def job_key(c: Column) -> Column:
@@ -110,7 +160,7 @@ def search_url(platform: Column, keywords: Column, location: Column, region: Col
 
 def provider_query(platform: Column, keywords: Column, location: Column) -> Column:
     domain = F.create_map(*[F.lit(x) for kv in PLATFORM_DOMAINS.items() for x in kv])[platform]
-    return F.concat_ws(" ", F.array_join(keywords, " "), F.nullif(F.trim(text(location)), F.lit("")), F.when(domain.isNotNull(), F.concat(F.lit("site:"), domain)))
+    return F.concat_ws(" ", F.array_join(keywords, " "), F.nullif(stripped(text(location)), F.lit("")), F.when(domain.isNotNull(), F.concat(F.lit("site:"), domain)))
 
 
 def safe_file_name(c: Column) -> Column:

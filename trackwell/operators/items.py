@@ -23,7 +23,9 @@ def search(items: DataFrame, query: str = "", hidden: list[str] | None = None) -
 
 
 def sort_keys(key: str, descending: bool, statuses: list[str]) -> list[Column]:
-    """The order of one key: blanks last upwards and first downwards; no priority counts as -1; unknown statuses last."""
+    """The order of one key: blanks last upwards and first downwards; no priority counts as -1; unknown statuses last.
+
+    Texts are ordered as a reader would: trimmed, whatever their case, accents beside their base letters."""
     if key == "priority":
         c = F.coalesce("priority", F.lit(-1))
         return [c.desc() if descending else c.asc()]
@@ -32,7 +34,7 @@ def sort_keys(key: str, descending: bool, statuses: list[str]) -> list[Column]:
         c = F.when(at > 0, at).otherwise(len(statuses) + 1)
         return [c.desc() if descending else c.asc()]
     dates = key in ("created_at", "deadline", "interview_date", "start_date")
-    c = F.nullif(F.col(key), F.lit("")) if dates else F.nullif(F.lower(F.trim(key)), F.lit(""))
+    c = F.nullif(F.col(key), F.lit("")) if dates else T.lower_order(F.col(key))
     return [c.desc_nulls_first() if descending else c.asc_nulls_last()]
 
 
@@ -49,17 +51,34 @@ def ranked_in_lanes(items: DataFrame, lane: str, order: list[Column]) -> DataFra
     return items.withColumn("position", F.row_number().over(Window.partitionBy(lane).orderBy(*order)).cast("long"))
 
 
+def placed(rows: DataFrame, head: Column, descending: bool, rest: list[Column], name: str = "position") -> DataFrame:
+    """rows with their place in a global order, from 1: by head, then by rest.
+
+    Places are dealt head by head: rows of a head are ranked in a window of their own and start after all rows of the
+    heads before, so that no window holds all rows. A head is a day, a number of days or the like: the table of heads,
+    which one task adds up, is as long as the calendar."""
+    own = rows.withColumn("_head", head)
+    sizes = own.groupBy("_head").agg(F.count("*").alias("_n"))
+    order = F.col("_head").desc() if descending else F.col("_head").asc()
+    start = F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("_head").alias("_of"), F.coalesce(start, F.lit(0)).alias("_before"))
+    ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy("_head").orderBy(*rest)))
+    joined = ranked.join(starts, F.col("_head").eqNullSafe(F.col("_of")))
+    return joined.withColumn(name, F.col("_before") + F.col("_rank")).drop("_head", "_of", "_before", "_rank")
+
+
 def first_duplicates(items: DataFrame) -> DataFrame:
     """(id, duplicate_id): for each item with a duplicate the smallest other id with the same URL, or with the same
     company and title in lower case (no title counts as an empty one).
 
-    A group gives its two smallest ids, by aggregates that combine before the shuffle, never its pairs."""
-    url = items.where("url != ''").select("id", F.concat(F.lit("u"), F.col("url")).alias("key"))
-    name = items.select("id", F.concat_ws("\x01", F.lit("n"), F.lower("company"), F.lower(T.text("title"))).alias("key"))
-    keyed = url.unionByName(name)
-    least = keyed.groupBy("key").agg(F.min("id").alias("a"))
-    second = keyed.join(least, "key").where("id != a").groupBy("key").agg(F.min("id").alias("b"))
-    pairs = keyed.join(least.join(second, "key"), "key")
+    Both keys of an item come from one pass. A key gives its two smallest ids, ranks that are cut to two before the
+    shuffle, never its pairs."""
+    url = F.when(F.col("url") != "", F.concat(F.lit("u"), F.col("url")))
+    name = F.concat_ws("\x01", F.lit("n"), F.lower("company"), F.lower(T.text("title")))
+    keyed = items.select("id", F.explode(F.array_compact(F.array(url, name))).alias("key"))
+    least = keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where("n <= 2")
+    two = least.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    pairs = keyed.join(two, "key")
     return pairs.groupBy("id").agg(F.min(F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a"))).alias("duplicate_id"))
 
 
@@ -70,12 +89,13 @@ def duplicate_groups(items: DataFrame) -> DataFrame:
 
 
 def deduplicated(results: DataFrame) -> DataFrame:
-    """The first result by pos of each platform and URL in lower case (without URL: platform, title and company)."""
-    blank = F.trim(T.text("url")) == ""
-    key = F.when(blank, F.concat_ws("|", "platform", T.text("title"), T.text("company"))).otherwise(F.concat_ws("|", F.lower("platform"), F.lower("url")))
-    keyed = results.withColumn("_key", key)
-    best = keyed.groupBy("_key").agg(F.min("pos").alias("_pos"))
-    return keyed.join(best, (keyed["_key"] == best["_key"]) & (keyed["pos"] == best["_pos"])).select(*results.columns)
+    """The first result by pos of each platform and URL in lower case (without URL: platform, title and company, in
+    lower case too). A null field counts as an empty one. One aggregation, combined before its shuffle."""
+    blank = T.stripped(T.text("url")) == ""
+    fields = [F.lower(T.text(c)) for c in ("platform", "url", "title", "company")]
+    key = F.when(blank, F.concat_ws("|", fields[0], *fields[2:])).otherwise(F.concat_ws("|", *fields[:2]))
+    best = results.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*results.columns), "pos").alias("_best"))
+    return best.select("_best.*")
 
 
 def keyword_stats(items: DataFrame) -> DataFrame:
@@ -138,6 +158,15 @@ def lanes(items: DataFrame, statuses: list[str]) -> DataFrame:
     return order.join(counts, "status", "left").select("status", "position", F.coalesce("n", F.lit(0)).alias("items"))
 
 
+def items_in_lanes(items: DataFrame, statuses: list[str], order: list[Column]) -> DataFrame:
+    """Every lane with its items: (lane, lane_position, place, and the items' columns); an empty lane has one row
+    without an item. Items of other statuses are in none. Within a lane the given order holds."""
+    spark = items.sparkSession
+    lanes = spark.createDataFrame(list(enumerate(statuses)), "lane_position long, lane string")
+    ranked = items.withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy(*order)).cast("long"))
+    return lanes.join(ranked, lanes["lane"] == ranked["status"], "left")
+
+
 def next_status(status: Column, statuses: list[str]) -> Column:
     order = F.array(*[F.lit(s) for s in statuses])
     return F.when(F.array_contains(order, status), F.try_element_at(order, F.array_position(order, status).cast("int") + 1))
@@ -145,10 +174,21 @@ def next_status(status: Column, statuses: list[str]) -> Column:
 
 def occurrences(items: DataFrame) -> DataFrame:
     """A row for each date of an item that isn't blank: id, company, title, kind, date."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.trim(F.col(c)).alias("date")) for k, c in DATES.items()])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), T.stripped(F.col(c)).alias("date")) for k, c in DATES.items()])
     return items.select("id", "company", "title", F.explode(kinds).alias("o")).where("o.date != ''").select("id", "company", "title", "o.kind", "o.date")
 
 
+def ordered_occurrences(items: DataFrame) -> DataFrame:
+    """occurrences with their position by date, then company as a reader orders it, then id and kind."""
+    return placed(occurrences(items), F.col("date"), False, [F.collate("company", "UNICODE"), F.col("id"), F.col("kind")])
+
+
+def items_of_occurrences(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Each occurrence with its item's other columns, null where the item is gone."""
+    own = [F.col(c) for c in items.columns if c not in found.columns]
+    return found.join(items.select(F.col("id").alias("_id"), *own), F.col("id") == F.col("_id"), "left").drop("_id")
+
+
 def month_grid(spark, year: int, month: int) -> DataFrame:
     """42 cells, Monday first: cell, week, weekday, day (null outside the month), date_key."""
     first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
@@ -159,14 +199,28 @@ def month_grid(spark, year: int, month: int) -> DataFrame:
     return cells.select("cell", F.floor(F.col("cell") / 7).alias("week"), (F.col("cell") % 7).alias("weekday"), F.when(inside, day.cast("long")).alias("day"), key.alias("date_key"))
 
 
+def _in_month(found: DataFrame, year: int, month: int) -> DataFrame:
+    return found.where(F.col("date").startswith(f"{year:04d}-{month:02d}-") & F.col("date").try_cast("date").isNotNull())
+
+
 def calendar_month(items: DataFrame, year: int, month: int) -> DataFrame:
-    """The month's cells with how many occurrences each day has, and the first by company."""
-    o = occurrences(items).where(F.col("date").startswith(f"{year:04d}-{month:02d}-") & F.col("date").try_cast("date").isNotNull())
+    """The month's days with how many occurrences each has, and the first by company."""
+    o = _in_month(occurrences(items), year, month)
     days = o.groupBy("date").agg(F.count("*").alias("n"), F.min("company").alias("first_company"))
     grid = month_grid(items.sparkSession, year, month).where("day is not null")
     return grid.join(days, grid["date_key"] == days["date"], "left").select("date_key", "week", "weekday", F.coalesce("n", F.lit(0)).alias("occurrences"), "first_company")
 
 
+def calendar_cells(items: DataFrame, year: int, month: int) -> DataFrame:
+    """All 42 cells of a month with their occurrences: (cell, day, date_key, place, id, company, title, kind), a row
+    for each occurrence, in each day by company as a reader orders it; a cell without any has one row."""
+    o = _in_month(occurrences(items), year, month)
+    by_company = Window.partitionBy("date").orderBy(F.collate("company", "UNICODE"), "id", "kind")
+    o = o.withColumn("place", F.row_number().over(by_company).cast("long"))
+    grid = month_grid(items.sparkSession, year, month).select("cell", "day", "date_key")
+    return grid.join(o, grid["date_key"] == o["date"], "left").drop("date")
+
+
 def reminders(items: DataFrame, as_of: str, within: int = 14) -> DataFrame:
     """Items that aren't done with a deadline at most `within` days away; overdue ones stay, however old."""
     days = scores.days_left(F.col("deadline"), as_of)
@@ -174,6 +228,16 @@ def reminders(items: DataFrame, as_of: str, within: int = 14) -> DataFrame:
     return out.withColumn("urgency", scores.urgency(F.col("days"))).withColumn("follow_up", scores.follow_up(F.col("days")))
 
 
+def ordered_reminders(items: DataFrame, as_of: str, within: int = 14) -> DataFrame:
+    """reminders with their position: the most urgent first, items as they are listed (latest change first) within a day."""
+    return placed(reminders(items, as_of, within), F.col("days"), False, [F.desc("updated_at"), F.desc("id")])
+
+
+def documents_of(documents: DataFrame, item: int) -> DataFrame:
+    """The documents of one item, oldest first."""
+    return documents.where(F.col("job_id") == item).orderBy("created_at", "id")
+
+
 def latest_status(history: DataFrame) -> DataFrame:
     last = F.max(F.struct("changed_at", "id", "to_status", "from_status")).alias("x")
     return history.groupBy("job_id").agg(last).select("job_id", "x.to_status", "x.from_status", "x.changed_at")
@@ -196,10 +260,23 @@ def moved(items: DataFrame, moves: DataFrame, now: str) -> tuple[DataFrame, Data
     return new.withColumn("status", F.when(hit, F.col("_to")).otherwise(F.col("status"))).select(*items.columns), log
 
 
+def _checked(rows: DataFrame, sound: Column, message: str) -> DataFrame:
+    """rows as they are; the query fails with the message if any of them isn't sound."""
+    return rows.where(F.when(sound, True).otherwise(F.raise_error(F.lit(message))))
+
+
+def present(ids: DataFrame, items: DataFrame) -> DataFrame:
+    """ids (id) as they are; the query fails if items lack one of them."""
+    have = items.select(F.col("id").alias("_have")).distinct()
+    both = ids.join(have, ids["id"] == have["_have"], "left")
+    return _checked(both, F.col("_have").isNotNull(), "Item not found.").drop("_have")
+
+
 def updated(items: DataFrame, patch: DataFrame, fields: list[str], now: str) -> tuple[DataFrame, DataFrame]:
     """(items, history rows) after overwriting `fields` from patch (id and fields); a row only where status changed.
-    Patches with a blank company are left out."""
-    p = patch.where(F.trim(T.text("company")) != "").select(F.col("id").alias("_id"), *[(F.trim(c) if c == "company" else F.col(c)).alias(f"_{c}") for c in fields])
+    A patch with a blank company fails the query. company is trimmed."""
+    company = T.stripped(T.text("company"))
+    p = _checked(patch, company != "", "Company is required.").select(F.col("id").alias("_id"), *[(company if c == "company" else F.col(c)).alias(f"_{c}") for c in fields])
     both = items.join(p, items["id"] == p["_id"], "left")
     hit = F.col("_id").isNotNull()
     log = both.where(hit & ~F.col("status").eqNullSafe(F.col("_status"))).select(F.col("id").alias("job_id"), F.col("status").alias("from_status"), F.col("_status").alias("to_status"), F.lit(now).alias("changed_at"))
@@ -207,16 +284,29 @@ def updated(items: DataFrame, patch: DataFrame, fields: list[str], now: str) ->
     return new.select(*items.columns), log
 
 
-def appended(items: DataFrame, new: DataFrame, now: str) -> DataFrame:
-    """items and the new rows with a company, with ids after the largest one, in order of pos.
+def _ranges(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """rows with _range: parts of about equal size in the order of a number, by its approximate quantiles (one job)."""
+    from pyspark.ml.feature import Bucketizer
+
+    cuts = rows.select(F.percentile_approx(F.col(key).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
+    dealt = Bucketizer(splits=splits, inputCol="_number", outputCol="_range").transform(rows.withColumn("_number", F.col(key).cast("double")))
+    return dealt.withColumn("_range", F.col("_range").cast("int")).drop("_number")
+
 
-    Ids are dealt in blocks of pos, so no window holds all rows."""
-    rows = new.where(F.trim(T.text("company")) != "").withColumn("_b", F.floor(F.col("pos") / 100_000))
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("n"))
-    before = sizes.select("_b", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+def appended(items: DataFrame, new: DataFrame, now: str, blank_companies: bool = False, parts: int = 256) -> DataFrame:
+    """items and the new rows, with ids after the largest one, in order of pos (a number, not null), and both times set.
+    An import leaves out rows with a blank company; what a caller creates (blank_companies) isn't checked.
+
+    Ids are dealt in `parts` ranges of pos, however its values are spread, so no window holds all rows; the ranges'
+    sizes are added up over a table of at most `parts` rows."""
+    rows = new if blank_companies else new.where(T.stripped(T.text("company")) != "")
+    rows = _ranges(rows, "pos", parts)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy("pos"))
-    numbered = rows.withColumn("_n", own).join(F.broadcast(before), "_b").crossJoin(F.broadcast(top))  # N / 100,000 rows; one row
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("pos"))
+    numbered = rows.withColumn("_n", own).join(F.broadcast(before), "_range").crossJoin(F.broadcast(top))  # `parts` rows; one row
     made = numbered.withColumn("id", F.col("_top") + F.col("_before") + F.col("_n")).withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now))
     return items.unionByName(made.select(*[c for c in items.columns if c in made.columns]), allowMissingColumns=True)
 
@@ -246,6 +336,11 @@ def enqueued(queue: DataFrame, new: DataFrame) -> DataFrame:
     return queue.unionByName(once.join(live, F.col("url") == F.col("_u"), "left_anti"), allowMissingColumns=True)
 
 
+def ordered_queue(queue: DataFrame) -> DataFrame:
+    """queue with the position of each entry, newest first; entries of one time by id."""
+    return placed(queue, F.substring("created_at", 1, 10), True, [F.desc("created_at"), F.col("id")])
+
+
 def queue_parts(queue: DataFrame) -> DataFrame:
     """queue with part: `history` for accepted and dismissed entries, else `active`."""
     return queue.withColumn("part", F.when(F.col("status").isin("accepted", "dismissed"), "history").otherwise("active"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackwell.functions import drafts, labels as L
 from trackwell.operators import items as I
 from trackwell.plans import views as V
-from trackwell.plans.queries import DAYS, NOW, OCCURRENCES, TAGS, query
+from trackwell.plans.queries import DAYS, NOW, OCCURRENCES, TAGS, query, strip_sql
 from trackwell.plans.views import DOCUMENTS, ITEMS, LOG, RESULTS
 from trackwell.sources import records as R
 
@@ -164,7 +164,7 @@ def custom_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return I.without_custom_keyword(I.without_custom_keyword(I.with_custom_keyword(stats, "gone"), "gone"), "machinery")
 
 
-@query(f"with {RESULTS} select pos as payload_id, url, case when instr(title, ' - ') > 0 then trim(substr(title, 1, instr(title, ' - ') - 1), ' ') else trim(title, ' ') end as title, description, published_date from results where pos % 2 = 0")
+@query(f"with {RESULTS} select pos as payload_id, url, case when instr(title, ' - ') > 0 then {strip_sql("substr(title, 1, instr(title, ' - ') - 1)")} else {strip_sql('title')} end as title, description, published_date from results where pos % 2 = 0")
 def provider_results_second(spark: SparkSession, sf: str) -> DataFrame:
     one = F.struct("url", "title", "description", F.col("published_date").alias("page_age"))
     full = F.to_json(F.struct(F.struct(F.array(one).alias("results")).alias("web")))

@@ -29,13 +29,20 @@ def query(sql: str | None = None):
 
 
 TAGS = "list_filter(list_transform(regexp_split_to_array(tags, '[,;|\\n\\t]'), lambda x: lower(trim(trim(trim(x), '\"'), ''''))), lambda x: x != '')"
+WHITE = "[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WHITE}|{WHITE}$', '', 'g')"
+
+
 AGE = f"""case when s = '' then null when s = 'today' then 0.0::double when s = 'yesterday' then 1.0::double
   when regexp_full_match(trim(replace(replace(s, 'days ago', ''), 'day ago', '')), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') then greatest(0.0::double, trim(replace(replace(s, 'days ago', ''), 'day ago', ''))::double)
   when regexp_full_match(trim(replace(replace(replace(s, 'weeks ago', ''), 'week ago', ''), 'w', '')), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') then greatest(0.0::double, trim(replace(replace(replace(s, 'weeks ago', ''), 'week ago', ''), 'w', ''))::double * 7)
   when regexp_full_match(s, '\\d{{4}}-\\d{{2}}-\\d{{2}}t\\d{{2}}:\\d{{2}}:\\d{{2}}z') then greatest(0.0::double, floor((epoch(timestamp '{AS_OF}') - epoch(replace(replace(s, 't', ' '), 'z', '')::timestamp)) / 86400))
   when regexp_full_match(s, '\\d{{4}}-\\d{{2}}-\\d{{2}}') then greatest(0.0::double, (date '{AS_OF[:10]}' - s::date)::double) end"""
 WEIGHTS = f"weights as (select keyword, sum(exp(age * (-ln(2::double) / 60))) as weight from (select unnest({TAGS}) as keyword, greatest(0, date '{AS_OF[:10]}' - created_at::date)::double as age from items) group by keyword)"
-DEDUPED = "deduped as (select * from results qualify row_number() over (partition by case when trim(url) = '' then platform || '|' || title || '|' || company else lower(platform) || '|' || lower(url) end order by pos) = 1)"
+DEDUPED = "deduped as (select * from results qualify row_number() over (partition by case when trim(url) = '' then lower(platform) || '|' || lower(title) || '|' || lower(company) else lower(platform) || '|' || lower(url) end order by pos) = 1)"
 SCORED = f"""aged as (select *, {AGE} as age from (select *, lower(trim(published_date)) as s from deduped)),
 fresh as (select *, case when age is null then 0.5 when age <= 3 then 1.0 when age <= 7 then 0.85 when age <= 14 then 0.65 when age <= 30 then 0.35 when age <= 60 then 0.15 else 0.05 end::double as freshness_score,
   (case when contains(lower(title), 'the of') or contains(lower(description), 'the of') then 0.15 else 0.0 end)::double as joint from aged),
@@ -278,7 +285,7 @@ def saved_payload(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("pos", F.coalesce(some("company"), F.lit("Unknown company")).alias("company"), some("title").alias("title"), some("url").alias("url"), F.lit("Interesting").alias("status"), tags.alias("tags"), some("platform").alias("source"), some("location").alias("workplace_city"))
 
 
-@query(f"with {RESULTS} select pos as payload_id, 0::bigint as place, url, case when instr(title, ' - ') > 0 then trim(substr(title, 1, instr(title, ' - ') - 1), ' ') else trim(title, ' ') end as title, case when instr(title, ' - ') > 0 then trim(substr(title, instr(title, ' - ') + 3), ' ') else '' end as company, description, published_date from results")
+@query(f"with {RESULTS} select pos as payload_id, 0::bigint as place, url, case when instr(title, ' - ') > 0 then {strip_sql("substr(title, 1, instr(title, ' - ') - 1)")} else {strip_sql('title')} end as title, case when instr(title, ' - ') > 0 then {strip_sql("substr(title, instr(title, ' - ') + 3)")} else '' end as company, description, published_date from results")
 def provider_results(spark: SparkSession, sf: str) -> DataFrame:
     r = V.results(spark, sf)
     one = F.struct(F.col("url").alias("link"), "title", F.col("description").alias("snippet"), F.col("published_date").alias("date"))

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from trackwell.functions import text as T
 
+# The fields that an import takes, those that an export writes, and the 29 columns of an item in order.
 IMPORT_FIELDS = ("company", "title", "url", "raw_text", "status", "deadline", "interview_date", "start_date", "tags", "detected_language", "notes")
 EXPORT_FIELDS = ("id", "company", "title", "status", "deadline", "interview_date", "start_date", "url", "tags", "detected_language")
+ITEM_FIELDS = (
+    "id", "company", "title", "url", "raw_text", "status", "deadline", "interview_date", "start_date", "tags", "detected_language", "notes",
+    "contact_name", "contact_email", "contact_phone", "workplace_street", "workplace_city", "workplace_postal_code", "work_mode", "salary_range",
+    "contract_type", "priority", "reference_number", "source", "pdf_path", "listing_status", "listing_checked_at", "created_at", "updated_at",
+)
+SYSTEM_FIELDS = ("id", "pdf_path", "listing_status", "listing_checked_at", "created_at", "updated_at")
+_REQUIRED = ("id", "company", "status", "created_at", "updated_at")
+ITEM_SCHEMA = StructType([StructField(c, LongType() if c in ("id", "priority") else StringType(), c not in _REQUIRED) for c in ITEM_FIELDS])
+HISTORY_SCHEMA = StructType([StructField("id", LongType(), False), StructField("job_id", LongType(), False), StructField("from_status", StringType()), StructField("to_status", StringType(), False), StructField("changed_at", StringType(), False)])
+DOCUMENT_SCHEMA = StructType([StructField("id", LongType(), False), StructField("job_id", LongType(), False), *[StructField(c, StringType(), False) for c in ("doc_type", "original_name", "file_path", "created_at")]])
 # Where each provider's payload has its rows, and the fields.
 PROVIDERS = {
     "serp": ("organic_results array<struct<link:string,title:string,snippet:string,date:string>>", "p.organic_results", ("link", "title", "snippet", "date")),
@@ -26,19 +38,23 @@ def provider_results(payloads: DataFrame, provider: str, limit: int = 400) -> Da
     return each.select("payload_id", "platform", "location", "place", T.text(f"r.{url}").alias("url"), name.alias("title"), company.alias("company"), F.substring(T.text(f"r.{description}"), 1, limit).alias("description"), T.text(f"r.{date}").alias("published_date"))
 
 
-def coerced(rows: DataFrame) -> DataFrame:
-    """The import fields of any rows: blanks are absent, company trimmed or "Unknown", status "Interesting" by default."""
-    col = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
-    out = {c: col(c) for c in IMPORT_FIELDS}
-    out["company"] = F.coalesce(F.nullif(F.trim(out["company"]), F.lit("")), F.lit("Unknown"))
+def import_columns(field) -> dict[str, Column]:
+    """The import fields from field(name): blanks are absent, company trimmed or "Unknown", status "Interesting" by default."""
+    out = {c: F.nullif(field(c).cast("string"), F.lit("")) for c in IMPORT_FIELDS}
+    out["company"] = F.coalesce(F.nullif(T.stripped(out["company"]), F.lit("")), F.lit("Unknown"))
     out["status"] = F.coalesce(out["status"], F.lit("Interesting"))
-    rest = [c for c in ("id", "pos") if c in rows.columns]
-    return rows.select(*rest, *[c.alias(n) for n, c in out.items()])
+    return out
+
+
+def coerced(rows: DataFrame) -> DataFrame:
+    """The import fields of any rows, with id and pos if there are any."""
+    out = import_columns(lambda c: F.col(c) if c in rows.columns else F.lit(None))
+    return rows.select(*[c for c in ("id", "pos") if c in rows.columns], *[c.alias(n) for n, c in out.items()])
 
 
 def importable(rows: DataFrame, from_csv: bool = False) -> DataFrame:
     """Rows with a company; a CSV import also leaves out the literal Unknown."""
-    out = rows.where(F.trim("company") != "")
+    out = rows.where(T.stripped(F.col("company")) != "")
     return out.where("company != 'Unknown'") if from_csv else out
 
 
@@ -48,6 +64,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return coerced(spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST"))
 
 
+def imported(rows: DataFrame, payload: Column) -> DataFrame:
+    """rows with a row for each object of a JSON array of objects, with the import fields. A payload that isn't an array fails."""
+    schema = "array<struct<" + ",".join(f"{c}:string" for c in IMPORT_FIELDS) + ">>"
+    each = rows.drop(*IMPORT_FIELDS).withColumn("_row", F.explode(F.from_json(payload, schema, {"mode": "FAILFAST"})))
+    return each.select(*[c for c in each.columns if c != "_row"], *[c.alias(n) for n, c in import_columns(lambda n: F.col(f"_row.{n}")).items()]).drop("_row")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return importable(coerced(spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)), from_csv=True)
 
@@ -56,7 +79,8 @@ def csv_cells(line: Column) -> Column:
     """The cells of a line as older exports were read: empty cells without quotes are passed over, so that later ones
     move to the left; quotes off, doubled quotes single, trimmed."""
     found = F.regexp_extract_all(line, F.lit('"[^"]*(?:""[^"]*)*"|[^,]+'), F.lit(0))
-    return F.transform(found, lambda c: F.trim(F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))))
+    # The pattern is unrolled: Java's regular expressions would recurse over each character of a quoted cell.
+    return F.transform(found, lambda c: T.stripped(F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))))
 
 
 def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +105,11 @@ def write_csv(items: DataFrame, path: str) -> None:
     items.select(*EXPORT_FIELDS).fillna("").write.csv(path, header=True, quoteAll=True, escape='"', nullValue="")
 
 
+def json_line(columns: tuple[str, ...] = EXPORT_FIELDS) -> Column:
+    """One object of the JSON export; nulls are written."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def write_json(items: DataFrame, path: str) -> None:
     items.write.json(path, ignoreNullFields=False)
 
@@ -90,6 +119,14 @@ def backup(frames: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def missing_fields() -> Column:
-    """The mandatory fields that are absent."""
-    return F.array_compact(F.array(*[F.when(F.trim(T.text(c)) == "", F.lit(c)) for c in ("company", "status")]))
+def missing_fields(*names: str) -> Column:
+    """The mandatory fields that are absent: company and status by default, company and url for a captured page.
+
+    A status counts as absent if it is empty, others also if they are blank."""
+    absent = lambda c: (T.text(c) == "") if c == "status" else (T.stripped(T.text(c)) == "")
+    return F.array_compact(F.array(*[F.when(absent(c), F.lit(c)) for c in names or ("company", "status")]))
+
+
+def editable(items: DataFrame) -> DataFrame:
+    """The fields of items that a caller may send back: all but id, file, listing state and times."""
+    return items.select(*[c for c in ITEM_FIELDS if c not in SYSTEM_FIELDS and c in items.columns])
