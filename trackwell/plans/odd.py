@@ -13,7 +13,7 @@ from trackwell.plans.queries import query
 from trackwell.plans.views import AS_OF, ITEMS, RESULTS
 from trackwell.sources import records as R
 
-TAB, LINE, HARD = "\t", "\n", " "
+TAB, LINE, HARD = "\t", "\n", "\xa0"
 
 
 def _cases(key: str, by: int, values: dict[int, Column], other: Column) -> Column:
@@ -126,7 +126,7 @@ def odd_links(spark: SparkSession, sf: str) -> DataFrame:
 
 # Model answers, with the company and the tags that they hold.
 ANSWERS = (
-    ('\n{"company": "\tAcme "}', "Acme", None), ('\n ```json\n{"Company": "X", "tags": ["a", 1, "b"]}\n```\n', "X", "a, b"), ('{"company": "a", "company": "b"}', "b", None),
+    ('\n{"company": "\\tAcme\xa0"}', "Acme", None), ('{"company": "raw\ttab"}', None, None), ('\n ```json\n{"Company": "X", "tags": ["a", 1, "b"]}\n```\n', "X", "a, b"), ('{"company": "a", "company": "b"}', "b", None),
     ('{"company": "a", "company": 5, "employer": "e"}', "e", None), ('{"company": 5, "employer": "E", "tags": " t, u "}', "E", "t, u"), ("[1]", None, None), ("not json", None, None),
     ('{"company": "a"} and more', None, None), ('{"deep": {"company": "no"}, "organization": "Org"}', "Org", None), (None, None, None), ('{"tags": [1, 2], "keywords": " "}', None, None),
 )
@@ -145,11 +145,12 @@ def odd_merge(spark: SparkSession, sf: str) -> DataFrame:
     return V.items(spark, sf).select("id", kept.alias("title"))
 
 
-@query(f"with {ITEMS} select id, case id % 3 when 0 then 'company,url' when 1 then 'url' else '' end as missing from items")
+@query(f"with {ITEMS} select id, case id % 3 when 0 then 'company' when 1 then 'url' end as missing, case when id % 3 = 0 then 'company' when id % 2 = 0 then 'status' end as form from items")
 def capture_problems(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("id") % 3
     i = V.items(spark, sf).select("id", F.when(k == 0, TAB).otherwise(F.col("company")).alias("company"), F.when(k == 2, "https://a.b/").when(k == 1, f" {LINE}").alias("url"))
-    return i.select("id", F.array_join(R.missing_fields("company", "url"), ",").alias("missing"))
+    i = i.withColumn("status", F.when(F.col("id") % 2 == 0, "").otherwise(" "))
+    return i.select("id", R.save_problem("company", "url").alias("missing"), R.save_problem("company", "status").alias("form"))
 
 
 @query(f"with {ITEMS} select id, case when id % 2 = 0 then company end as answer from items")

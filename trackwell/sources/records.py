@@ -119,12 +119,15 @@ def backup(frames: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def missing_fields(*names: str) -> Column:
-    """The mandatory fields that are absent: company and status by default, company and url for a captured page.
+def missing_fields() -> Column:
+    """The mandatory fields that are blank."""
+    return F.array_compact(F.array(*[F.when(T.stripped(T.text(c)) == "", F.lit(c)) for c in ("company", "status")]))
 
-    A status counts as absent if it is empty, others also if they are blank."""
+
+def save_problem(*names: str) -> Column:
+    """The first of the fields that keeps a row from being saved; null if none does. A status may be blank, not empty."""
     absent = lambda c: (T.text(c) == "") if c == "status" else (T.stripped(T.text(c)) == "")
-    return F.array_compact(F.array(*[F.when(absent(c), F.lit(c)) for c in names or ("company", "status")]))
+    return F.coalesce(*[F.when(absent(c), F.lit(c)) for c in names])
 
 
 def editable(items: DataFrame) -> DataFrame:
