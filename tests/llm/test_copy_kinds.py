@@ -43,7 +43,7 @@ def test_strangers_in_a_band_part_no_copies(spark):
     texts = [" ".join(words_of(rng, 60)) for _ in range(40)]
     texts += [t + " more" for t in texts]
     marked = simhash.signatures(spark.createDataFrame(pd.DataFrame({"doc_id": range(80), "text": texts})), 128)
-    crowded = spark.createDataFrame([(r["doc_id"], r["digest"], [1], r["sketch"]) for r in marked.collect()], marked.schema)
+    crowded = spark.createDataFrame([(r["doc_id"], r["digest"], r["fp"], [1], r["sketch"]) for r in marked.collect()], marked.schema)
     docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(80), "text": texts}))
     got = {r["doc_id"]: r["component"] for r in simhash.near_copy_classes(crowded, docs, 128, 0.8).collect()}
     assert got == {i: i % 40 for i in range(80)}

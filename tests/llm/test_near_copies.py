@@ -54,7 +54,7 @@ def test_ball_loses_no_link(spark):
             values.add(x ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, 4))}))
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
     expected = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
-    rows = spark.createDataFrame([(v, v) for v in signed], "key long, value long")
+    rows = spark.createDataFrame([(v,) for v in signed], "value long")
     found = {tuple(sorted(r)) for r in simhash.ball_links(rows, 64).collect()}
     assert found <= expected
     assert grouped(list(found), signed) == grouped(list(expected), signed)

@@ -1,12 +1,14 @@
-"""Helpers that the training-data operators share: table reading, lineage cuts, connected components."""
+"""Helpers that the training-data operators share: table reading, lineage cuts, functions over texts, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a
+    temporary folder, and a cluster an error, because its executors couldn't see the driver's own folders."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.trackwell.scratch", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="trackwell-")
         spark.conf.set("spark.trackwell.scratch", named)
     return named.rstrip("/")
@@ -25,13 +30,54 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a lineage cut that survives lost executors.
 
-    The files go when the driver's JVM ends."""
+    The files go when the driver's JVM ends, or by discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what scratch() wrote for df; nothing may read it any more."""
+    if df is not None and getattr(df, "_scratch", None):
+        where, files = _place(df.sparkSession, df._scratch)
+        files.delete(where, True)
+
+
+def mapped(rows: DataFrame, text: str, keep: list[str], added: str, function: Callable, group: int = 512) -> DataFrame:
+    """The columns `keep` of rows with the columns `added` (DDL), which function makes of the texts.
+
+    function takes a list of texts and gives a list for each added column; if it makes several rows of a text, or
+    none, it gives one list more, first: each row's place among the texts. What is kept goes by in Arrow as it is, so
+    no id, null or large number changes on its way through Python. Texts come `group` at a time."""
+    more = StructType.fromDDL(added)
+    schema = StructType([rows.schema[c] for c in keep] + more.fields)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(more)
+        for b in batches:
+            for i in range(0, b.num_rows, group):
+                part = b.slice(i, group)
+                made = list(function(part.column(text).to_pylist()))
+                own = [part.column(c) for c in keep]
+                if len(made) > len(kinds):
+                    at = pa.array(made.pop(0), pa.int64())
+                    own = [c.take(at) for c in own]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(v, f.type) for v, f in zip(made, kinds)], names=[*keep, *kinds.names])
+
+    return rows.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -49,7 +95,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("m").alias("u")), F.struct(F.col("b").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.u", "e.v")
-        edges = scratch(small.where("u != v").distinct(), "edges")
+        old, edges = edges, scratch(small.where("u != v").distinct(), "edges")
+        discard(old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if state == (now["n"], now["h"]):
             break

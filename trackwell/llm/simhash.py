@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing.
+"""SimHash near-duplicates by meet-in-the-middle ball hashing, and near copies by whole shingle sets.
 
 Every distinct fingerprint emits itself and its variants within half the radius (radius 2: the 64 one-bit flips).
 Two fingerprints within the radius share a variant, so a shuffle on variants brings them together; each row of a
@@ -9,19 +9,19 @@ two of each other: at most 65 distinct ones, and the ties lose no link. Exact co
 before anything is emitted, so a group of copies of any size costs one set of variants.
 
 Null texts count as empty. A text without words has fingerprint zero. Null doc_ids keep their own rows and take
-part in links; they never become a component id unless all ids of the component are null."""
+part in links; they never become a component id unless all ids of the component are null. Repeated rows are rows of
+their own with the same result. Texts of any length are read whole, in blocks of hashes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackwell.llm.common import components, scratch
+from trackwell.llm.common import components, discard, mapped, scratch
 
 SEED = 42
 
@@ -52,40 +52,41 @@ def majority(hashes: np.ndarray, block: int = 65536) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long): the 64-bit SimHash of every whole text."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return mapped(rows, "text", ["doc_id"], "fp long", lambda texts: [[majority(word_hashes(t, words)) for t in texts]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": np.array([majority(word_hashes(t, words)) for t in b["text"]], "int64")})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
-
-
-def ball_links(values: DataFrame, bits: int, radius: int = 2) -> DataFrame:
-    """Candidate links (u, v) between rows (key, value) whose values differ in at most radius (2 or less) of bits bits."""
+def ball_links(values: DataFrame, bits: int, radius: int = 2, task_rows: int = 1_000_000) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (value) that differ in at most radius (2 or less) of bits bits, or in
+    one bit with a third that links them. Each task emits about `task_rows` variants."""
     masks = [0] + [(1 << b) - (1 << 64 if b == 63 else 0) for b in range(bits if radius else 0)]
-    emitted = values.select("key", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"), "value")
-    emitted = emitted.select("key", F.col("value").bitwiseXOR(F.col("mask")).alias("variant"), "value")
-    by_variant = Window.partitionBy("variant").orderBy("key")
-    met = emitted.select("key", "value", F.first(F.struct("key", "value")).over(by_variant).alias("first"), F.lag(F.struct("key", "value")).over(by_variant).alias("before"))
-    pairs = met.where("key != first.key").select(F.explode(F.array("first", "before")).alias("p"), "key", "value")
-    pairs = pairs.where(F.bit_count(F.col("value").bitwiseXOR(F.col("p.value"))) <= radius)
-    return pairs.select(F.col("p.key").alias("u"), F.col("key").alias("v")).distinct()
+    values = values.repartition(max(1, math.ceil(values.count() * len(masks) / task_rows)))
+    emitted = values.select("value", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
+    emitted = emitted.select(F.col("value").bitwiseXOR(F.col("mask")).alias("variant"), "value")
+    by_variant = Window.partitionBy("variant").orderBy("value")
+    met = emitted.select("value", F.first("value").over(by_variant).alias("first"), F.lag("value").over(by_variant).alias("before"))
+    pairs = met.where("value != first").select(F.explode(F.array("first", "before")).alias("u"), F.col("value").alias("v"))
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
+
+
+def ball_classes(marked: DataFrame, radius: int = 2) -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint of marked (doc_id, fp): the smallest doc_id that links reach."""
+    distinct = scratch(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    reach = components(ball_links(distinct.select(F.col("fp").alias("value")), 64, radius))
+    least = distinct.join(reach, distinct.fp == reach.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    least = scratch(least, "simhash-classes")
+    root = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    return least.join(root, "component").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     marked = scratch(fingerprints(docs, words), "simhash")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = ball_links(distinct.select(F.col("fp").alias("key"), F.col("fp").alias("value")), 64, radius)
-    reach = components(links)
-    least = distinct.join(reach, distinct.fp == reach.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
-    least = scratch(least, "simhash-classes")
-    root = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = least.join(root, "component").select("fp", "component_id")
+    named = ball_classes(marked, radius)
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _bottom(hashes: np.ndarray, k: int) -> np.ndarray:
+def _bottom(hashes: np.ndarray, k: int | None) -> np.ndarray:
     return np.unique(hashes.view("<i8"))[:k]
 
 
@@ -102,15 +103,15 @@ def band_keys(shingles: np.ndarray, block: int = 1024) -> list[int]:
 
 
 def signatures(docs: DataFrame, sketch: int) -> DataFrame:
-    """(doc_id, digest, bands, sketch): a text's MD5, its band keys and the `sketch` smallest hashes of its five-word
-    shingles. All texts without words have the same bands and an empty sketch."""
+    """(doc_id, digest, fp, bands, sketch): a text's MD5, the SimHash and the band keys of its five-word shingles, and
+    the `sketch` smallest of their hashes. All texts without words have the same bands and an empty sketch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(band_keys(h), _bottom(h, sketch)) for h in (np.unique(word_hashes(t, 5)) for t in b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": b["digest"], "bands": [r[0] for r in rows], "sketch": [r[1] for r in rows]})
+    def run(texts: list[str]) -> tuple:
+        every = [word_hashes(t, 5) for t in texts]
+        sets = [np.unique(h) for h in every]
+        return [majority(h) for h in every], [band_keys(h) for h in sets], [_bottom(h, sketch) for h in sets]
 
-    return _readable(docs).mapInPandas(run, "doc_id long, digest string, bands array<long>, sketch array<long>")
+    return mapped(_readable(docs), "text", ["doc_id", "digest"], "fp long, bands array<long>, sketch array<long>", run)
 
 
 def _readable(docs: DataFrame) -> DataFrame:
@@ -118,19 +119,13 @@ def _readable(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.md5(text).alias("digest"))
 
 
-def shingle_sets(docs: DataFrame, part: int = 500) -> DataFrame:
-    """(doc_id, shingles): the whole set of hashes of a text's five-word shingles."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), part):
-                some = b[i : i + part]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "shingles": [_bottom(word_hashes(t, 5), None) for t in some["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, shingles array<long>")
+def shingle_sets(marked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the whole set of hashes of the five-word shingles of each text that marked (doc_id, digest) names."""
+    texts = _readable(docs).join(marked.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    return mapped(texts, "text", ["doc_id"], "shingles array<long>", lambda t: [[_bottom(word_hashes(x, 5), None) for x in t]], group=128)
 
 
-def resemblance(a: F.Column, b: F.Column, sketch: int) -> F.Column:
+def resemblance(a: Column, b: Column, sketch: int) -> Column:
     """Jaccard similarity of two shingle sets from their smallest hashes; exact for a union of up to `sketch` hashes.
     Two empty sets are equal."""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, sketch)
@@ -145,32 +140,65 @@ def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, sketch: int,
     left, right = (marked.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "uv")
     near = pairs.join(left, "u").join(right, "v").where(resemblance(F.col("su"), F.col("sv"), sketch) >= clear)
     near = scratch(near.select("u", "v"), "near")
-    asked = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().join(marked, "doc_id").select("doc_id", "digest")
-    texts = _readable(docs).join(asked, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch(shingle_sets(texts), "shingles")
+    asked = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().join(marked, "doc_id")
+    sets = scratch(shingle_sets(asked, docs), "shingles")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
     both = near.join(left, "u").join(right, "v")
     both = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("shared"), (F.size("su") + F.size("sv")).alias("sum"))
-    return scratch(both.where(F.col("shared") >= similarity * (F.col("sum") - F.col("shared"))).select("u", "v"), "links")
+    out = scratch(both.where(F.col("shared") >= similarity * (F.col("sum") - F.col("shared"))).select("u", "v"), "links")
+    discard(near)
+    discard(sets)
+    return out
+
+
+def similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (u, v) of different classes with Jaccard similarity of `similarity` or more, and few others, each once.
+    sets: (doc_id, shingles, c), c the document's class.
+
+    A prefix join: shingles are ordered from the rarest on (among these documents), and only a document's first ones
+    are shuffled, so many that two similar sets must share one of them. Pairs that meet are kept if their sizes and
+    what is left after the shared shingle allow the similarity: text that very many otherwise different documents
+    share, or copies that each have enough of their own, part before anything is compared."""
+    tokens = scratch(sets.select("doc_id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
+    spread = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = tokens.join(spread, "token").withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")) - 1)
+    prefix = ranked.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6)))
+    prefix = scratch(prefix.select("token", "doc_id", "c", "n", "at"), "prefix")
+    left, right = (prefix.select("token", *[F.col(k).alias(f"{k}_{x}") for k in ("doc_id", "c", "n", "at")]) for x in "uv")
+    rest = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v"))
+    fits = (rest * (1 + similarity) >= similarity * (F.col("n_u") + F.col("n_v")) - 1e-6) & (F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-6)
+    met = left.join(right, (left["token"] == right["token"]) & (F.col("doc_id_u") < F.col("doc_id_v")) & (F.col("c_u") != F.col("c_v")) & fits)
+    out = scratch(met.select(F.col("doc_id_u").alias("u"), F.col("doc_id_v").alias("v")).distinct(), "similar")
+    discard(tokens)
+    discard(prefix)
+    return out
 
 
 def near_copy_classes(marked: DataFrame, docs: DataFrame, sketch: int, similarity: float) -> DataFrame:
     """(doc_id, component) of the documents that resemble another one. marked: signatures, one row per doc_id.
 
-    Texts that share a band's key meet; at similarity s they share one with 1 - (1 - s^5)^24. First each is held
-    against the smallest doc_id it meets under a key; then, of the keys whose documents aren't all connected by that,
-    every pair of documents that are not. So all pairs that meet are either verified or connected already."""
+    First links: each document with the smallest one of its SimHash class (fingerprints within two bits, by ball
+    hashing), and with the most central document of each band's key that it shares; at similarity s two share a key
+    with 1 - (1 - s^5)^24. The most central one meets the most others over all its keys: in a group of copies that is
+    the one that the others were made from. Then the documents whose keys hold several classes yet go through a prefix
+    join over all of them. So every pair that meets under a key is verified, connected already or ruled out."""
+    classes = ball_classes(marked.select("doc_id", "fp"))
+    alike = marked.join(classes, "fp").where("component_id < doc_id").select(F.col("component_id").alias("u"), F.col("doc_id").alias("v"))
     rows = marked.select(F.explode("bands").alias("band"), F.col("doc_id").alias("key"))
-    least = rows.groupBy("band").agg(F.min("key").alias("u"), F.max("key").alias("most")).where("u < most").select("band", "u")
-    met = scratch(rows.join(least, "band"), "met")
-    links = verified(met.where("u < key").select("u", F.col("key").alias("v")).distinct(), marked, docs, sketch, similarity)
+    crowds = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = scratch(rows.join(crowds, "band"), "met")
+    central = met.join(met.groupBy("key").agg(F.sum("n").alias("meets")), "key")
+    pivot = central.groupBy("band").agg(F.max(F.struct("meets", (-F.col("key")).alias("least"))).alias("m")).select("band", (-F.col("m.least")).alias("u"))
+    near = met.join(pivot, "band").where("u != key").select(F.least("u", "key").alias("u"), F.greatest("u", "key").alias("v"))
+    links = verified(near.unionByName(alike).distinct(), marked, docs, sketch, similarity)
     reach = scratch(components(links), "reach")
     named = met.select("band", "key").join(reach, met["key"] == reach["node"], "left").select("band", "key", F.coalesce("component", "key").alias("c"))
     parted = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    parted = scratch(named.join(parted, "band", "left_semi"), "parted")
-    other = parted.select("band", F.col("key").alias("v"), F.col("c").alias("d"))
-    rest = parted.join(other, "band").where("key < v and c != d").select(F.col("key").alias("u"), "v").distinct()
-    more = verified(rest, marked, docs, sketch, similarity)
+    parted = named.join(parted, "band", "left_semi").groupBy("key").agg(F.first("c").alias("c"))
+    asked = scratch(marked.join(parted, marked["doc_id"] == parted["key"]).select("doc_id", "digest", "c"), "parted")
+    sets = shingle_sets(asked, docs).join(asked.select("doc_id", "c"), "doc_id")
+    more = verified(similar_pairs(sets, similarity), marked, docs, sketch, similarity)
+    discard(met)
     return components(links.unionByName(more)).select(F.col("node").alias("doc_id"), "component")
 
 
@@ -178,7 +206,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, sketch: int = 128) ->
     """The documents with all but the smallest doc_id of each group of exact or near copies taken out.
 
     Near copies resemble each other in five-word shingles by `similarity` or more, directly or through others. Texts
-    without words (empty, spaces) are copies of each other. A row that occurs more than once stays once. Rows without doc_id stay as they are. Other columns are passed on."""
+    without words (empty, spaces) are copies of each other. A row that occurs more than once stays once. Rows without
+    doc_id stay as they are. Other columns are passed on."""
     marked = scratch(signatures(docs, sketch), "signatures")
     exact = marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     distinct = scratch(marked.join(exact.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "distinct")
