@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import string
 
@@ -35,3 +36,48 @@ def test_keys_of_each_alphabet_are_found_and_redacted(spark):
     for a in range(0, len(planted), 20):
         assert sum(got[i] == "random:5:45" and red[i] == "text [SECRET] goes on" for i in range(a, a + 20)) >= 17
     assert all(red[1000 + i] == plain[i % 3] for i in range(300))
+
+
+def slow_battery(run: str) -> float:
+    """The battery as its docstring has it, symbol by symbol; the chi-squared tail by numerical integration."""
+    run = run.rstrip("=")
+    ordered = ["0123456789abcdef", "0123456789ABCDEF", UP + "234567", LOW + "234567", UP + DIG, LOW + DIG, UP + LOW + DIG, UP + LOW + DIG + "+/"]
+    code = next(a for a in ordered if set(run) <= set(a))
+    v, size, n = [code.index(c) for c in run], len(code), len(run)
+    classes = min(size, max(8, n // 3))
+    seen, expected = [0] * classes, [0.0] * classes
+    for x in v:
+        seen[x * classes // size] += 1
+    for x in range(size):
+        expected[x * classes // size] += n / size
+    chi, k = sum((a - b) ** 2 / b for a, b in zip(seen, expected)), classes - 1
+    steps = 20_000
+    p_chi = 1 - sum(((i + 0.5) * chi / steps) ** (k / 2 - 1) * math.exp(-(i + 0.5) * chi / steps / 2) for i in range(steps)) * chi / steps / (2 ** (k / 2) * math.gamma(k / 2))
+    high = [2 * x >= size for x in v]
+    a, b = sum(high), n - sum(high)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
+    mean, var = 1 + 2 * a * b / n, 2 * a * b * (2 * a * b - n) / n**2 / (n - 1)
+    p_runs = math.erfc(abs(runs - mean) / math.sqrt(2 * var))
+    m = sum(v) / n
+    r = sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / sum((x - m) ** 2 for x in v)
+    return min(1.0, 3 * min(p_chi, p_runs, math.erfc(abs(r * n + 1) / math.sqrt(2 * n))))
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_battery_against_a_plain_one(name):
+    for k in keys(name, 5, 40) + keys(name, 5, 90) + [x for x in ["abcabcabc1abcabcabc1"] if name == "base36 lower"]:
+        assert secret_scan.randomness(k) == pytest.approx(slow_battery(k), abs=0.02)
+
+
+def test_reports_hold_the_rate_and_find_keys(spark):
+    """300 keys among 3,000 ordinary long runs and as many texts without any."""
+    rng = random.Random(41)
+    words = ["".join(rng.choices("etaoinshrdlucmfw", weights=range(16, 0, -1), k=rng.randrange(2, 9))) for _ in range(4000)]
+    text = lambda: " ".join(rng.choices(words, k=30))
+    name = lambda: rng.choice("-_/").join([*rng.choices(words, k=8), str(rng.randrange(1000))])
+    rows = [(i, f"{text()} {k} {text()}") for i, k in enumerate(keys("base62", 300, 40))]
+    rows += [(1000 + i, f"{text()} {name()} {text()}") for i in range(3000)] + [(5000 + i, text()) for i in range(3000)]
+    got = {r["doc_id"]: r["n_random"] for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    true, false = sum(got[i] for i in range(300)), sum(n for i, n in got.items() if i >= 1000)
+    assert true >= 270
+    assert false <= 0.1 * (true + false)  # asked for: 0.05 on average

@@ -2,29 +2,34 @@
 
 Base kinds: `assign`, `access`, `hex` (fixed patterns below). The battery looks at other unbroken runs of encoding
 characters that hold a digit and a letter. The encoding is the smallest alphabet that has all of a run's characters
-(hex, base32 and base36 in either case, base62, base64), and three tests of uniform, independent symbols are made: chi-squared over eight classes of the alphabet (in proportion to their sizes), runs about the
-middle of the alphabet, and serial correlation at lag one. The smallest of the three p-values, times three, is the
-run's p-value. Ordinary runs (long words, paths, numbered names) are far from uniform and are rejected; over all
-runs of the corpus the rejections are made by Benjamini-Hochberg in bands of length, so that the share of truly
-random runs among those set aside stays under `rate`, and short runs, whose tests have less power, are judged
-among their like and need `least` characters at all. What isn't rejected is reported as kind `random`.
+(hex, base32 and base36 in either case, base62, base64), and three tests of uniform, independent symbols are made:
+chi-squared over the alphabet (neighbouring symbols in classes that expect three or more, eight classes at least), runs
+about the middle of the alphabet, and serial correlation at lag one. The smallest of the three p-values, times three,
+says how well a run passes for random.
 
-p-values are gathered as a histogram (bands times 1,000 bins), so what reaches the driver has a fixed size.
-Null texts count as empty: no spans. Very long texts are scanned whole."""
+What is reported is controlled, not what is passed over: a report is false if the run is an ordinary one (a name, a
+path, a numbered word). How random ordinary runs look is learned from the corpus: each document gives one for each band
+of length, its own words from a place set by its checksum, joined as names and paths are, with a number. A run's
+p-value is the share of ordinary runs of its band that look at least as random, and Benjamini-Hochberg reports the runs
+of a band of which at most `rate` are expected to be ordinary, if they pass the battery (at 3 in 100) at all. So short runs, whose tests have less power, need better
+evidence, and a band without random runs reports nothing. What is reported is kind `random`.
+
+Both kinds of runs are gathered as histograms (bands times 1,000 bins), so what reaches the driver has a fixed size.
+Null texts count as empty: no spans. Very long texts are scanned whole. Repeated rows are scanned like others."""
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
-from collections.abc import Iterator
+import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackwell.llm.common import scratch
+from trackwell.llm.common import mapped, scratch
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,9 +38,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 
+WORDS = re.compile(r"[A-Za-z0-9]+")
+JOINS = ("-", "_", "/", "")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 BANDS = (32, 48, 80)  # lengths under 32, under 48, under 80, the rest
 BINS, PER_BIN = 1000, 0.02  # bins of -log10(p)
+PASSES = 76  # the last bin in which a run still passes for random: 3 in 100 random ones don't
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 # Alphabets, smallest first; - and _ are the last two of base64 as well.
@@ -62,9 +70,10 @@ def randomness(run: str) -> float:
     size = max(code.values()) + 1
     v = np.array([code[c] for c in run], float)
     n = len(v)
-    seen = np.bincount((v * 8 // size).astype(int), minlength=8)
-    expected = np.bincount(np.arange(size) * 8 // size, minlength=8) * (n / size)
-    p_chi = chi_squared_tail(float(((seen - expected) ** 2 / expected).sum()), 7)
+    classes = min(size, max(8, n // 3))
+    seen = np.bincount((v * classes // size).astype(int), minlength=classes)
+    expected = np.bincount(np.arange(size) * classes // size, minlength=classes) * (n / size)
+    p_chi = chi_squared_tail(float(((seen - expected) ** 2 / expected).sum()), classes - 1)
     high = v * 2 >= size
     a = int(high.sum())
     b = n - a
@@ -91,16 +100,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def placed(run: str) -> tuple[int, int]:
+    """(band of length, bin of the battery's p-value) of a run."""
+    return sum(len(run) >= n for n in BANDS), min(BINS - 1, int(-math.log10(max(randomness(run), 1e-300)) / PER_BIN))
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, band, bin of the p-value) of the runs that meet no base span."""
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or any(s < m.end() and m.start() < e for s, _, e in spans):
-            continue
-        p = randomness(run)
-        band = sum(len(run) >= n for n in BANDS)
-        out.append((m.start(), m.end(), band, min(BINS - 1, int(-math.log10(max(p, 1e-300)) / PER_BIN))))
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < m.end() and m.start() < e for s, _, e in spans):
+            out.append((m.start(), m.end(), *placed(run)))
+    return out
+
+
+def ordinary_runs(text: str) -> list[str]:
+    """A run of a text's own words for each band of length: words from a place that the text's checksum sets, joined as
+    a name or a path is, up to the band's length, with a number at the end. Long unbroken runs, which may be keys, give
+    no words; a text without words gives none."""
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    rest = RUN.sub(" ", text)
+    at, out = seed % (len(rest) + 1), []
+    for band, least in enumerate((20, *BANDS)):
+        join, words = JOINS[(seed >> 8 * band) % len(JOINS)], []
+        for m in itertools.chain(WORDS.finditer(rest, at), WORDS.finditer(rest, 0, at)):  # to the end, then from the start
+            words.append(m[0] if join else m[0][:1].upper() + m[0][1:])
+            if sum(map(len, words)) + len(join) * (len(words) - 1) >= least:
+                break
+        run = join.join(words)
+        if run:
+            out.append((run + join) * max(1, -(-least // len(run))) + str(seed % 1000))
     return out
 
 
@@ -108,15 +138,14 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def thresholds(hist: dict[tuple[int, int], int], rate: float) -> list[int]:
-    """For each band the least bin that Benjamini-Hochberg rejects (BINS: none)."""
+def thresholds(runs: dict[tuple[int, int], int], ordinary: dict[tuple[int, int], int], rate: float) -> list[int]:
+    """For each band the largest bin that Benjamini-Hochberg reports (-1: none). Low bins look random."""
     out = []
     for band in range(len(BANDS) + 1):
-        n = np.array([hist.get((band, b), 0) for b in range(BINS)], float)
-        beyond, total = n[::-1].cumsum()[::-1], n.sum()
-        p = 10.0 ** (-np.arange(BINS) * PER_BIN)  # the largest p-value of a bin
-        good = np.flatnonzero((p * total <= rate * beyond) & (n > 0))
-        out.append(int(good[0]) if len(good) else BINS)
+        found, plain = (np.array([h.get((band, b), 0) for b in range(BINS)], float).cumsum() for h in (runs, ordinary))
+        p = (plain + 1) / (plain[-1] + 1)
+        good = np.flatnonzero((p * found[-1] <= rate * found) & (found > 0))
+        out.append(min(int(good[-1]), PASSES) if len(good) else -1)
     return out
 
 
@@ -125,34 +154,42 @@ def _found(text: str | None) -> tuple[list, list]:
     return spans, candidates(text or "", spans)
 
 
+FOUND = """n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>,
+    runs array<struct<start:int,end:int,band:int,bin:int>>, plain array<struct<band:int,bin:int>>"""
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, base counts and digest, base spans and the runs with their bands and bins."""
+    """Per document: doc_id, base counts and digest, base spans, its runs and its ordinary runs with their bands and bins."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"].astype("Int64").array, b["text"]):
-                spans, runs = _found(text)
-                n = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
-                rows.append((doc_id, *n, hashlib.sha256(joined(spans).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), s)) for s in spans], [dict(zip(("start", "end", "band", "bin"), r)) for r in runs]))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "runs"])
-            yield out.astype({"doc_id": "Int64"})
+    def run(texts: list[str]) -> list[list]:
+        rows = []
+        for text in texts:
+            spans, runs = _found(text)
+            n = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
+            plain = [dict(zip(("band", "bin"), placed(r))) for r in ordinary_runs(text)]
+            rows.append((*n, hashlib.sha256(joined(spans).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), s)) for s in spans], [dict(zip(("start", "end", "band", "bin"), r)) for r in runs], plain))
+        return [[r[i] for r in rows] for i in range(7)]
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, runs array<struct<start:int,end:int,band:int,bin:int>>"
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return mapped(rows, "text", ["doc_id"], FOUND, run)
 
 
 def fitted_thresholds(found: DataFrame, rate: float) -> list[int]:
-    hist = found.select(F.explode("runs").alias("r")).groupBy("r.band", "r.bin").count().collect()  # at most 4,000 rows
-    return thresholds({(r["band"], r["bin"]): r["count"] for r in hist}, rate)
+    """The bins up to which each band's runs are reported. found: what scanned() gives."""
+
+    def tagged(c: str) -> F.Column:
+        return F.transform(c, lambda r: F.struct(F.lit(c).alias("of"), r["band"].alias("band"), r["bin"].alias("bin")))
+
+    each = found.select(F.explode(F.concat(tagged("runs"), tagged("plain"))).alias("r"))
+    hist = each.groupBy("r.of", "r.band", "r.bin").count().collect()  # at most 8,000 rows
+    return thresholds(*({(r["band"], r["bin"]): r["count"] for r in hist if r["of"] == c} for c in ("runs", "plain")), rate)
 
 
 def secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans (kind:start:end, by start)."""
     found = scratch(scanned(docs), "secrets")
-    least = F.array(*[F.lit(t) for t in fitted_thresholds(found, rate)])
-    added = F.transform(F.filter("runs", lambda r: r["bin"] < F.element_at(least, r["band"] + 1)), lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
+    most = F.array(*[F.lit(t) for t in fitted_thresholds(found, rate)])
+    added = F.transform(F.filter("runs", lambda r: r["bin"] <= F.element_at(most, r["band"] + 1)), lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["end"].alias("end")))
     names = F.array(*[F.lit(k) for k in KINDS])
     every = F.array_sort(F.concat("base", added))
     spans = F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")))
@@ -161,11 +198,11 @@ def secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
 
 def redacted(docs: DataFrame, rate: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced by mark (overlapping spans by one), n_chars set anew."""
-    least = fitted_thresholds(scanned(docs), rate)
+    most = fitted_thresholds(scanned(docs), rate)
 
     def clean(text: str | None) -> str | None:
         spans, runs = _found(text)
-        cut = sorted([(s, e) for s, _, e in spans] + [(s, e) for s, e, band, b in runs if b < least[band]])
+        cut = sorted([(s, e) for s, _, e in spans] + [(s, e) for s, e, band, b in runs if b <= most[band]])
         if not cut:
             return text
         out, at = [], 0
@@ -175,9 +212,6 @@ def redacted(docs: DataFrame, rate: float = 0.05, mark: str = "[SECRET]") -> Dat
             at = max(at, e)
         return "".join([*out, text[at:]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(text=[clean(t) for t in b["text"]])
-
-    out = docs.mapInPandas(run, docs.schema)
+    others = [c for c in docs.columns if c != "text"]
+    out = mapped(docs.withColumn("text", F.col("text").cast("string")), "text", others, "text string", lambda texts: [[clean(t) for t in texts]]).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

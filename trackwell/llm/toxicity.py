@@ -1,17 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows that recur in toxic texts (in five at least, whatever the sample) and far less in
-ordinary ones (a word list by log-odds, so the method is that list measured through zstd), one on the windows of ordinary texts. A window is a word with its borders, lower case, each character written as four
-fixed bytes so that zstd's whole-byte lengths are fine enough for a word. A window's distance is what the toxic
-dictionary saves against the ordinary one, as a share of the most that it could save (down to the length of a
-window that a dictionary holds whole). Words of under four letters are no windows. Windows of ordinary learning texts that still look
-toxic go into the ordinary dictionary (one round). The threshold on the distance is the one that, with a least number of
-windows beyond it, best separates the learning texts; a document's score is the share of toxic learning texts among
-those with as many windows beyond the threshold (0, 1, 2, 3, 4 or more), smoothed and never falling.
+Two zstandard dictionaries are trained on the windows of labelled texts. A window is a word with its borders, lower
+case, each character written as four fixed bytes so that zstd's whole-byte lengths are fine enough for a word; words of
+under four letters are no windows. The ordinary dictionary comes first, from the windows that recur in ordinary texts.
+The toxic one is trained on what is left for it to say: windows that recur in toxic texts (in `least` texts, whatever
+the sample) and that the ordinary dictionary can't compress. Windows of ordinary texts that the toxic dictionary
+compresses better nonetheless then go into the ordinary one.
+
+A window's distance is what the toxic dictionary saves against the ordinary one, as a share of the most that it could
+save (down to the length of a window that a dictionary holds whole). The threshold on the distance is the one that,
+with a least number of windows beyond it, best separates the learning texts; a document's score is the share of toxic
+learning texts among those with as many windows beyond the threshold (0, 1, 2, 3, 4 or more), smoothed and never
+falling. (Wider windows were tried; the README has the figures.)
 
 The model is fitted on a bounded sample: at most `sample` labelled documents a class, by hash of doc_id, copies
-counted once. Whole texts are scored. Null and empty texts have no window and get the lowest score. Without learning
-documents of both classes every score is 0."""
+counted once; all of their windows count. Whole texts are scored, whatever their length; repeated rows get the same
+score. Null and empty texts have no window and get the lowest score. Without learning documents of both classes every
+score is 0. Two labels of one document count as the higher one."""
 
 from __future__ import annotations
 
@@ -20,19 +25,24 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackwell.llm.common import discard, mapped, scratch
 from trackwell.llm.language_id import held_out
 
 WORD = re.compile(r"[^\W\d_]{4,}")
-GRID = tuple(round(0.05 * i, 2) for i in range(6, 20))
-LEVEL = 9
+GRID = tuple(round(0.02 * i, 2) for i in range(15, 50))
+# A deep search of the whole dictionary: the usual levels give up after a few places that begin alike.
+SEARCH = zstandard.ZstdCompressionParameters(
+    format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=22, chain_log=20, hash_log=19, search_log=10,
+    min_match=6, strategy=zstandard.STRATEGY_BTLAZY2,
+)
 MOST = 4  # windows beyond the threshold; as many or more count alike
-FLOOR = 15  # bytes of a window that is one match
+FLOOR = 11  # bytes of a window that is one match
+NEW = 0.08  # share of a window that the ordinary dictionary must leave, beyond the floor, for the toxic one to learn it
 
 
 class _Wide(dict):
@@ -81,8 +91,8 @@ class Model:
     def _press(self, which: str) -> zstandard.ZstdCompressor:
         if which not in self._made:
             d = zstandard.ZstdCompressionDict(widened(getattr(self, which)) or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self._made[which] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            d.precompute_compress(compression_params=SEARCH)
+            self._made[which] = zstandard.ZstdCompressor(dict_data=d, compression_params=SEARCH)
         return self._made[which]
 
     def distance(self, word: str, memo: int = 300_000) -> float:
@@ -96,6 +106,11 @@ class Model:
             d = known[word] = min(1.0, (plain - bad) / max(1, plain - FLOOR))
         return d
 
+    def is_new(self, word: str) -> bool:
+        """Whether the ordinary dictionary leaves much of a window."""
+        w = widened(f" {word} ")
+        return len(self._press("ordinary").compress(w)) - FLOOR >= NEW * len(w)
+
     def distances(self, text: str | None) -> list[tuple[float, int]]:
         return [(self.distance(w), n) for w, n in window_counts(text).items()]
 
@@ -118,10 +133,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return texts.join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("text", "toxic")
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int = 20_000, least: int = 5) -> Model:
-    """Dictionaries, threshold and posterior. `words`: windows a class from which a dictionary is trained, at most;
-    `least`: toxic texts that hold a window of the toxic dictionary, at least."""
-    rows = sampled(docs, labels, sample).cache()
+def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, least: int = 5) -> Model:
+    """Dictionaries, threshold and posterior. `least`: toxic texts that hold a window of the toxic dictionary, at least."""
+    rows = scratch(sampled(docs, labels, sample), "toxic-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -132,17 +146,12 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int =
 
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
-        rows.unpersist()
         return Model()
     seen = rows.mapInPandas(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    share = [(F.col("bad") + 0.5) / (n[1] + 1), (F.col("good") + 0.5) / (n[0] + 1)]
-    strength = F.col("bad") * F.log(share[0] / share[1])
-    bad = seen.where((F.col("bad") >= least) & (share[0] > 8 * share[1])).orderBy(F.desc(strength), "word").limit(words).collect()
-    good = seen.where("good >= 3").orderBy(F.desc("good"), "word").limit(words).collect()
-    chosen, ordinary = {r["word"]: r["bad"] for r in bad}, {r["word"]: r["good"] for r in good}
-    for w in chosen:
-        ordinary.pop(w, None)
-    model = Model(dictionary(chosen, 8192), dictionary(ordinary, 48 * 1024))
+    kept = seen.where(f"bad >= {least} or good >= 3").orderBy("word").collect()  # windows of at most 2 x `sample` texts
+    plain = Model(ordinary=dictionary({r["word"]: r["good"] for r in sorted(kept, key=lambda r: (-r["good"], r["word"])) if r["good"] >= 3}, 48 * 1024))
+    chosen = {r["word"]: r["bad"] for r in sorted(kept, key=lambda r: (-r["bad"], r["word"])) if r["bad"] >= least and plain.is_new(r["word"])}
+    model = Model(dictionary(chosen, 8192), plain.ordinary)
 
     def judge(model: Model) -> pd.DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,14 +166,14 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int =
 
     def false_alarms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen = Counter(w for text in b["text"] for w in window_counts(text) if model.distance(w) >= GRID[0] and w not in chosen)
+            seen = Counter(w for text in b["text"] for w in window_counts(text) if model.distance(w) >= GRID[0])
             yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
 
     alarms = rows.where("toxic = 0").mapInPandas(false_alarms, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    worst = [r["word"] for r in alarms.orderBy(F.desc("n"), "word").limit(words).collect()]
+    worst = [r["word"] for r in alarms.where("n >= 3").orderBy("n", "word").collect()]  # windows of at most `sample` texts
     model = Model(model.toxic, model.ordinary + "".join(f" {w} " for w in worst))
     found = judge(model)
-    rows.unpersist()
+    discard(rows)
     bad_rows = found["toxic"] == 1
 
     def f1(i: int, least: int) -> float:
@@ -183,14 +192,9 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, words: int =
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": np.array([m.score(t) for t in b["text"]], float)})
-
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = mapped(rows, "text", ["doc_id"], "score double", lambda texts: [[shared.value.score(t) for t in texts]])
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> DataFrame:
