@@ -6,8 +6,13 @@ proportions from the trigram likelihoods. The set of languages starts with the l
 language with the steepest gain while the log-likelihood gained exceeds a penalty (BIC for one more proportion;
 overlapping trigrams count a third each). The prediction is the language with the largest proportion.
 
-The model that is broadcast has bins x languages numbers. Null texts, empty ones and texts without a letter give
-`und` with score 0; without any learning document everything does. Ties go to the language first in order."""
+A uniform background over all bins competes with the document's mixture: the share of trigrams that it explains
+better tells letters that are in no learned language at all.
+
+The model that is broadcast has bins x languages numbers, for at most `most` languages (more are an error: a column of
+languages with so many values isn't one). Null texts, empty ones and texts without a letter give `und` with score 0;
+without any learning document everything does. Ties go to the language first in order. Texts of any length count
+whole; repeated rows are learned from as often as they occur and all get the same prediction."""
 
 from __future__ import annotations
 
@@ -19,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackwell.llm.common import mapped
+
 BINS = 1 << 15
 COUPLING = 3.0  # a letter is in three trigrams
 _alpha = None
@@ -27,7 +34,7 @@ _alpha = None
 def _letters() -> np.ndarray:
     global _alpha
     if _alpha is None:
-        _alpha = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+        _alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return _alpha
 
 
@@ -36,7 +43,7 @@ def trigram_bins(text: str | None) -> np.ndarray:
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
     if not len(c):
         return np.empty(0, np.int64)
-    c = np.concatenate([[0], np.where(_letters()[np.minimum(c, 0x2FFFF)], c, 0), [0]]).astype(np.uint64)
+    c = np.concatenate([[0], np.where(_letters()[c], c, 0), [0]]).astype(np.uint64)
     h = (c[:-2] * np.uint64(0x9E3779B1) + c[1:-1] * np.uint64(0x85EBCA77) + c[2:] * np.uint64(0xC2B2AE3D)) * np.uint64(0x9E3779B97F4A7C15)
     return (h >> np.uint64(49)).astype(np.int64)[c[1:-1] > 0]
 
@@ -62,8 +69,11 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
-def learned(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def learned(docs: DataFrame, smoothing: float = 0.5, most: int = 200) -> tuple[list[str], np.ndarray]:
     """The languages in order and the probability of each bin under each (bins x languages)."""
+    named = docs.where("lang is not null and text is not null").select("lang").distinct().limit(most + 1).count()
+    if named > most:
+        raise ValueError(f"more than {most} languages to learn")
     seen = counts(docs).toPandas()  # at most bins x languages rows
     langs = sorted(seen["lang"].unique())
     p = np.full((BINS, len(langs)), smoothing)
@@ -112,32 +122,27 @@ def languages(bins: np.ndarray, p: np.ndarray) -> tuple[list[int], np.ndarray, f
 
 
 def predicted(docs: DataFrame, langs: list[str], p: np.ndarray) -> DataFrame:
-    """docs with lang_pred, score and lang_mix (language to proportion) added; columns of those names are replaced."""
+    """docs with lang_pred, score, lang_mix (language to proportion) and background (the share of trigrams that a
+    uniform background explains better) added; columns of those names are replaced, all others stay as they are."""
     model = docs.sparkSession.sparkContext.broadcast(p)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_mix")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "lang_pred string", "score double", "lang_mix string"])
 
-    def one(text: str | None) -> tuple[str, float, str]:
+    def one(text: str | None) -> tuple[str, float, str, float]:
         bins = trigram_bins(text)
         if not len(bins) or not langs:
-            return "und", 0.0, ""
+            return "und", 0.0, "", 1.0
         chosen, share, lead = languages(bins, model.value)
         top = int(np.lexsort((chosen, -share))[0])
         mix = ",".join(f"{langs[chosen[i]]}:{share[i]:.3f}" for i in np.argsort(-share, kind="stable"))
-        return langs[chosen[top]], float(min(1.0, share[top]) * (lead if len(chosen) == 1 else 1.0)), mix
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [one(t) for t in b["text"]]
-            out = b[names].copy()
-            out["lang_pred"], out["score"], out["lang_mix"] = ([f[i] for f in found] for i in range(3))
-            yield out
+        strange = float((model.value[bins][:, chosen] @ share < 1 / BINS).mean())
+        return langs[chosen[top]], float(min(1.0, share[top]) * (lead if len(chosen) == 1 else 1.0)), mix, strange
 
-    return docs.select(*names).mapInPandas(run, schema)
+    added = "lang_pred string, score double, lang_mix string, background double"
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_mix", "background")]
+    return mapped(docs, "text", kept, added, lambda texts: list(zip(*map(one, texts))))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, lang_mix of every document; learnt from rows that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     langs, p = learned(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    return predicted(rows, langs, p).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_mix")
+    return predicted(rows, langs, p).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_mix", "background")

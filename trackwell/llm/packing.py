@@ -15,36 +15,30 @@ gives no rows; other columns are ignored."""
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackwell.llm.common import scratch
+from trackwell.llm.common import mapped, scratch
 from trackwell.llm.tokenizing import default_path, encoder
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, final_id: int = 1) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32."""
     end = np.array([final_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
-        for b in batches:
-            rows = []
-            for doc_id, own in zip(b["doc_id"].astype("Int64").array, enc.encode_many(list(b["text"]), splice=False)):
-                ids = own + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+    def run(texts: list[str]) -> list:
+        rows = []
+        for i, own in enumerate(encoder(path).encode_many(texts, splice=False)):
+            ids = own + end
+            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[at : at + 4 * capacity]
+                rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
+        return list(zip(*rows))
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(run, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return mapped(rows, "text", ["doc_id"], "piece int, start long, length long, ids_crc32 long", run, group=2048)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
@@ -178,15 +172,13 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = 4096, units
     ranked = salted.withColumn("own", F.row_number().over(own)).join(base, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = plan.value
-        for b in batches:
-            key = (b["length"].to_numpy("int64") << 40) + b["rank"].to_numpy("int64")
-            i = np.searchsorted(p["key"], key, "right") - 1
-            nth = key - p["key"][i]
-            out = b.drop(columns="rank").astype({"doc_id": "Int64"})
-            out["sequence_id"] = p["sequence"][i] + nth // p["each"][i]
-            out["offset"] = p["offset"][i] + nth % p["each"][i] * b["length"].to_numpy("int64")
-            yield out
-
-    return ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    key = F.shiftleft("length", 40) + F.col("rank")
+
+    def place(keys: list[int]) -> list[np.ndarray]:
+        p, key = plan.value, np.array(keys, np.int64)
+        i = np.searchsorted(p["key"], key, "right") - 1
+        nth = key - p["key"][i]
+        return [p["sequence"][i] + nth // p["each"][i], p["offset"][i] + nth % p["each"][i] * (key >> 40)]
+
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    return mapped(ranked.select(*kept, key.alias("key")), "key", kept, "sequence_id long, offset long", place, group=8192)

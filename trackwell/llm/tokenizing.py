@@ -15,10 +15,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackwell.llm.common import mapped
+
 # The vocabulary's split pattern; Latin-1 letters with ASCII marks (no apostrophe) after them.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -157,6 +158,7 @@ class Encoder:
         mine = [i for i, (a, _) in zip(left.ids, left.offsets) if start + a >= at]
         return mine == [i for i, (a, _) in zip(right.ids, right.offsets) if low + a >= at]
 
+
 def encoder(path: str) -> Encoder:
     """One per worker process."""
     import os
@@ -171,12 +173,7 @@ def encoder(path: str) -> Encoder:
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) of every whole text."""
     path = path or default_path()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_bytes": b["n_bytes"], "n_tokens": np.fromiter((len(i) // 4 for i in enc.encode_many(list(b["text"]))), "int64", len(b))})
-
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = mapped(rows, "text", ["doc_id", "n_bytes"], "n_tokens long", lambda texts: [[len(i) // 4 for i in encoder(path).encode_many(texts)]], group=2048)
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
