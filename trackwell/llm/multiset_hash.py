@@ -6,17 +6,18 @@ apart, and 256 lanes of +1 or -1 modulo 2^16. Order doesn't matter, and units ca
 or subtracting their vectors, which is how the edited text's fingerprint is made here. The inner product of two
 fingerprints' +-1 lanes estimates that of the unit counts, so 2ab / (aa + bb) tells how much two texts share.
 
-Null texts count as empty; the empty text's vector is zero. The next document is the next row by (doc_id, text),
-rows without doc_id first; a table of one row is its own next document."""
+Null texts count as empty; the empty text's vector is zero. The next document is the next row by (doc_id, text); rows
+without doc_id come first, in the order of a hash of their text. Repeated rows follow each other; those without doc_id
+are worked on once, with their number. A table of one row is its own next document."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,11 +77,17 @@ def likeness(a, b) -> float:
 class _Held:
     """A document waiting for the one after it."""
 
-    def __init__(self, doc_id, text: str):
-        self.doc_id, self.text = doc_id, text
+    def __init__(self, doc_id: int | None, text: str, copies: int):
+        self.doc_id, self.text, self.copies = doc_id, text, copies
         self.hashes, self.ends = unit_hashes(text)
         self.vector = vector(self.hashes)
 
+    def rows(self, after: _Held) -> Iterator[tuple]:
+        """The rows of its copies: all but the last are followed by another one."""
+        if self.copies > 1:
+            yield (*self.row(self), self.copies - 1)
+        yield (*self.row(after), 1)
+
     def row(self, after: _Held) -> tuple:
         n = len(self.text)
         k = n // 4
@@ -94,46 +101,61 @@ class _Held:
         return self.doc_id, n, sha, written(self.vector), written(changed), likeness(self.vector, changed), likeness(self.vector, after.vector)
 
 
-def bucketed(docs: DataFrame, buckets: int) -> tuple[DataFrame, list[tuple[int, object]]]:
-    """docs with an ordered bucket number by doc_id, and (bucket, least doc_id) of each bucket that has rows."""
+PER_BUCKET = 32 << 20  # bytes of text
+
+
+def bucketed(docs: DataFrame, per_bucket: int) -> tuple[DataFrame, list[tuple[int, int | None, int | None]]]:
+    """docs (doc_id, text, place) with a bucket number in the order of doc_id, null first, and place; and (bucket, least
+    doc_id, least place) of each bucket that has rows. A bucket holds about `per_bucket` bytes."""
     from pyspark.ml.feature import Bucketizer
 
-    cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None
-    splits = [-float("inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
-    if len(splits) == 2:
-        splits.insert(1, 0.0)
+    known = F.col("doc_id").isNotNull()
+    size = F.octet_length("text").cast("long") + 64
+    total, nulls = (x or 0 for x in docs.agg(F.sum(F.when(known, size)), F.sum(F.when(~known, size))).first())
+    per_bucket = max(per_bucket, (total + nulls) // 50_000)  # streamed, so that larger ones only take longer
+    buckets, ahead = max(2, math.ceil(total / per_bucket)), math.ceil(nulls / per_bucket)
+    cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], max(10_000, 8 * buckets))).first()[0]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts or [0]}), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(docs.withColumn("_at", F.col("doc_id").cast("double")))
-    dealt = dealt.withColumn("_bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_bucket").cast("int"))).drop("_at")
-    heads = dealt.groupBy("_bucket").agg(F.min("doc_id").alias("head")).orderBy("_bucket").collect()  # a row a bucket
-    return dealt, [(r["_bucket"], r["head"]) for r in heads]
+    early = F.floor((F.col("place") / 2.0**64 + 0.5) * ahead).cast("int") - ahead  # ranges of the hash, before all others
+    dealt = dealt.withColumn("_bucket", F.when(known, F.col("_bucket").cast("int")).otherwise(F.greatest(early, F.lit(-ahead)))).drop("_at")
+    heads = dealt.groupBy("_bucket").agg(F.min(F.struct("doc_id", "place")).alias("head")).orderBy("_bucket").collect()  # a row a bucket
+    return dealt, [(r["_bucket"], r["head"]["doc_id"], r["head"]["place"]) for r in heads]
 
 
-def fingerprinted(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def fingerprinted(docs: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
-    Documents are dealt once, into ordered buckets of doc_id (quantiles), and streamed in order; each bucket also
-    gets the first document of the next one, and the last bucket the very first."""
+    Documents are dealt once, into ordered buckets of about `per_bucket` bytes, a task each, and streamed in order;
+    each bucket also gets the first document of the next one, and the last bucket the very first."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    buckets = buckets or max(2, min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt, heads = bucketed(rows, buckets)
-    to = spark.createDataFrame([(heads[i - 1][0], b, h) for i, (b, h) in enumerate(heads)], "_to int, _from int, _head long")
-    first = dealt.where(F.col("doc_id").isin([h for _, h in heads if h is not None]) | F.col("doc_id").isNull())
-    first = first.join(F.broadcast(to), (F.col("_bucket") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("_head")))
-    first = first.groupBy("_to").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.doc_id", "d.text", F.col("_to").alias("_bucket"), F.lit(1).alias("_after"))
+    bare = rows.where("doc_id is null").groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("place", F.xxhash64("text"))
+    rows = rows.where("doc_id is not null").withColumns({"copies": F.lit(1).cast("long"), "place": F.lit(None).cast("long")}).unionByName(bare)
+    dealt, heads = bucketed(rows, per_bucket)
+    to = spark.createDataFrame([(heads[i - 1][0], *h) for i, h in enumerate(heads)], "_to int, _from int, _head long, _place long")
+    joined = (F.col("_bucket") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("_head")) & F.col("place").eqNullSafe(F.col("_place"))
+    first = dealt.join(F.broadcast(to), joined)  # a row a bucket
+    first = first.groupBy("_to").agg(F.min(F.struct("doc_id", "text", "place")).alias("d")).select("d.*", F.lit(1).cast("long").alias("copies"), F.col("_to").alias("_bucket"), F.lit(1).alias("_after"))
     every = dealt.withColumn("_after", F.lit(0)).unionByName(first)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("times", pa.int64())])
         held = None
         for b in batches:
-            out = []
-            for doc_id, text, after in zip(b["doc_id"].astype("Int64").array, b["text"], b["_after"]):
-                now = _Held(doc_id, text)
-                if held is not None:
-                    out.append(held.row(now))
-                held = None if after else now
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield frame.astype({"doc_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
-
-    dealt_out = every.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_after", F.asc_nulls_first("doc_id"), "text")
-    return dealt_out.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for i in range(0, b.num_rows, 512):
+                part, out = b.slice(i, 512), []
+                for doc_id, text, copies, after in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "copies", "_after"))):
+                    now = _Held(doc_id, text, copies)
+                    if held is not None:
+                        out += held.rows(now)
+                    held = None if after else now
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
+    low, high = heads[0][0] if heads else 0, heads[-1][0] if heads else 0
+    tasks = every.withColumn("_task", F.col("_bucket") - low).repartitionById(high - low + 1, "_task")
+    ordered = tasks.sortWithinPartitions("_bucket", "_after", F.asc_nulls_first("doc_id"), "place", "text").select("doc_id", "text", "copies", "_after")
+    made = ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times long")
+    return made.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_", "times")
