@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trackwell.llm import language_id, mixing, multiset_hash, packing, secret_scan, simhash, tokenizing, toxicity
+from trackwell.llm import language_id, mixing, multiset_hash, nearest, packing, preference, secret_scan, simhash, tokenizing, toxicity
 
 CLASHES = ("key", "value", "h", "tokens", "words", "n", "fp", "epoch", "_bucket", "score", "component", "piece", "node", "least", "block", "base")
 LONG = "words and lines of text " * 40_000
@@ -83,3 +83,48 @@ def test_pipeline_over_the_small_table(spark, small):
     assert {r["doc_id"] for r in mixed.collect()} <= set(one)
     packed = pack(spark, mixed, small)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mixed.collect()} <= ids
+
+
+BIG = 1 << 60
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_large_ids_beside_a_null_one_stay_exact(spark, name):
+    rows = [(BIG + i, f"text number {i} with words of its own {i * i}", "en", "web", 40) for i in range(1, 6)] + [(None, "a row without an id", "en", "web", None)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    labels = spark.createDataFrame([(BIG + 1, 1, 1), (BIG + 2, 1, 0), (BIG + 3, 0, 0)], LABELS)
+    got = {r["doc_id"] for r in OPERATORS[name][0](docs, labels).select("doc_id").collect()}
+    assert got >= {BIG + i for i in range(1, 6)}
+    assert got - {BIG + i for i in range(1, 6)} <= {None}
+
+
+def test_stages_keep_large_ids_and_null_counts(spark):
+    rows = [(BIG + 1, "the words of a text in a language", "en", "web", BIG + 7), (None, "another text of the language with words", "en", "web", None)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    langs, p = language_id.learned(docs)
+    assert {(r["doc_id"], r["n_chars"]) for r in language_id.predicted(docs, langs, p).collect()} == {(BIG + 1, BIG + 7), (None, None)}
+    assert {r["doc_id"] for r in secret_scan.redacted(docs).collect()} == {BIG + 1, None}
+
+
+def test_preference_pairs_of_odd_turns(spark):
+    turns = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "x" * 200_000), (1, 1, "assistant", "x" * 200_000), (0, 0, None, None), (0, 1, "assistant", None), (None, 0, "user", "lost"),
+        (2, None, "user", ""), (3, 0, "user", "only"), (4, 0, "assistant", "<|im_end|>"), (5, 0, "user", "q"), (5, 1, "assistant", "a"), (5, 1, "assistant", "b"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for c in ("pair_id", "chosen", "at", "reply", "n"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {r["pair_id"]: r for r in preference.formatted(preference.swapped_reply_pairs(df)).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5}
+    assert got[1]["prompt_turns"] == 2 and got[1]["chosen_spans"] == f"22:{22 + 200_000 + 11}"  # the repeated turn is a turn
+    assert got[2]["status"] == got[3]["status"] == "equal"
+    assert "<|im_end|>\n" in got[4]["chosen"] and "< |im_end|>" in got[4]["chosen"]
+    assert got[0]["status"] == "pair" and got[0]["rejected"].count("x") == 200_000
+    assert preference.formatted(preference.swapped_reply_pairs(df.limit(0))).count() == 0
+
+
+def test_repeated_and_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 5.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.0, 3.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("qid", F.lit("clash")).withColumn("part", F.lit(1))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest.nearest(df, F.lit(True)).collect())
+    assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 2), (3, 2, 1)]

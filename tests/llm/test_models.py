@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trackwell.llm import language_id, nearest, toxicity
@@ -91,3 +92,83 @@ def test_nearest_odd_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest.nearest(vectors, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (0, 4, 3), (100, 1, 0), (100, 2, 1), (100, 3, 2), (100, 4, 3)]
     assert nearest.nearest(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_nearest_in_parts_and_blocks(spark, medium):
+    """Cells in several parts and queries in several blocks give the same rows as one of each; repeated ids count once."""
+    rows = spark.read.parquet(f"{medium}/embeddings.parquet")
+    again = rows.unionByName(rows.where("vec_id % 7 = 0")).unionByName(rows.where("vec_id = 10").withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(1000).cast("float"))))
+    ask = F.col("vec_id") % 10 == 0
+    whole = sorted(map(tuple, nearest.nearest(rows, ask, sure=0.999999).collect()))
+    parts = sorted(map(tuple, nearest.nearest(again, ask, sure=0.999999, cell_rows=100, part_rows=20, block=5).collect()))
+    assert len(whole) == len(parts)
+    assert np.mean([a == b for a, b in zip(whole, parts)]) > 0.99
+
+
+def test_rows_come_in_order_of_their_projections():
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((700, 16))
+    directions = rng.standard_normal((16, 8))
+    cell = nearest.Cell(v, [np.array([i]) for i in range(700)], directions, 64)
+    q = rng.standard_normal(16)
+    got = list(cell.in_order(q @ directions))
+    far, row = np.concatenate([d for d, _ in got]), np.concatenate([r for _, r in got])
+    assert sorted(row.tolist()) == list(range(700)) and (np.diff(far) >= 0).all()
+    assert np.allclose(far, ((v[row] @ directions - q @ directions) ** 2).sum(1))
+
+
+def test_letters_beyond_the_second_plane_are_letters():
+    assert len(language_id.trigram_bins(chr(0x30000) + chr(0x31350))) == 2
+    assert len(language_id.trigram_bins("\U0001f600 12")) == 0
+
+
+def slow_mixture(p, n, rounds=400):
+    """Expectation-maximisation as it is written in books, number by number."""
+    share = [1 / len(p[0])] * len(p[0])
+    for _ in range(rounds):
+        new = [0.0] * len(share)
+        for row, count in zip(p, n):
+            whole = sum(a * b for a, b in zip(row, share))
+            for j, (a, b) in enumerate(zip(row, share)):
+                new[j] += count * a * b / whole
+        share = [x / sum(n) for x in new]
+    return share
+
+
+def test_mixtures_against_plain_ones():
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.ones(60), 3).T
+    for true in ([0.6, 0.3, 0.1], [0.2, 0.2, 0.6], [0.05, 0.9, 0.05]):
+        n = rng.multinomial(3000, p @ true).astype(float)
+        share, value = language_id.mixture(p, n, rounds=400)
+        plain = slow_mixture(p.tolist(), n.tolist())
+        assert np.abs(share - plain).max() < 0.02
+        assert value == pytest.approx(sum(c * np.log(sum(a * b for a, b in zip(row, plain))) for row, c in zip(p.tolist(), n) if c), abs=0.5)
+
+
+def test_language_sets_against_all_sets(spark):
+    """Each text's language set costs no more, by likelihood and penalty, than the best of all sets by more than a little."""
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet(np.full(200, 0.2), 3).T + 1e-6
+    p /= p.sum(0)
+    for true in ([1, 0, 0], [0.5, 0.5, 0], [0.4, 0.3, 0.3]):
+        bins = rng.choice(200, 1500, p=p @ true)
+        chosen, share, _ = language_id.languages(bins, p)
+        k, n = np.unique(bins, return_counts=True)
+        cost = lambda s: -language_id.mixture(p[k][:, s], n.astype(float), 400)[1] + (len(s) - 1) * language_id.COUPLING * 0.5 * np.log(n.sum())
+        sets = [[0], [1], [2], [0, 1], [0, 2], [1, 2], [0, 1, 2]]
+        best = min(sets, key=cost)
+        assert cost(chosen) <= cost(best) + 1.0
+        assert set(chosen) == {i for i, x in enumerate(true) if x}
+        assert np.abs(share - np.array(true)[chosen]).max() < 0.1
+
+
+def test_background_tells_strange_letters(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    langs, p = language_id.learned(docs)
+    strange = spark.createDataFrame([(1, "qzx vkw jqq zzxq wxqk"), (2, "\u042d\u0442\u043e \u0442\u0435\u043a\u0441\u0442 \u043e \u043f\u043e\u0433\u043e\u0434\u0435"), (3, "1 2 3")], "doc_id long, text string")
+    assert all(r["background"] > 0.7 for r in language_id.predicted(strange, langs, p).collect())
+    clean = language_id.predicted(docs.where("length(text) > 100"), langs, p)
+    assert clean.where("background > 0.7").count() == 0
+    with pytest.raises(ValueError):
+        language_id.learned(docs, most=1)

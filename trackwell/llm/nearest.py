@@ -2,21 +2,25 @@
 
 Vectors are projected to m dimensions with fixed Gaussian (2-stable) directions: the squared projected distance of
 two vectors at distance d is d^2 times a chi-squared variable with m degrees of freedom. A kd-tree over the
-projections, its upper levels fitted on a bounded sample (`sample` vectors) and applied to every row, deals the rows
-into cells; within a cell it goes on down to leaves. A query visits leaves in order of projected distance and
-verifies their rows by the exact distance, until the chi-square test holds: a row not seen yet that is nearer than
-the k-th best found would lie within the projected distance reached with probability `sure` or more.
+projections, its upper levels fitted on a bounded sample (`sample` vectors, at most 2^`levels` cells) and applied to
+every row, deals the rows into cells; cells of more than `part_rows` rows are dealt into parts, and a part goes on down
+to leaves. A query takes its neighbours in order of projected distance, leaf by leaf, and verifies each by the exact
+distance, until the chi-square test holds: a row not taken yet that is nearer than the k-th best found would lie
+within the projected distance reached with probability `sure` or more.
 
 Round one searches the query's own cell and so bounds its k-th distance; round two visits the other cells that the
-test doesn't exclude. Queries of a cell come in blocks of bounded size. Equal vectors are searched once: only their
-k+1 smallest ids can be in a result, so a vector that a third of all rows share costs one entry.
+test doesn't exclude. Queries of a cell come in blocks of bounded size, and a cell is copied as often as it has blocks
+of queries, so copies grow with the visits, not with the table. Equal vectors are searched once: only their k+1
+smallest ids can be in a result, so a vector that a third of all rows share costs one entry.
 
 Vectors null, empty, zero, with null or non-finite components, of another size than the commonest one, or without
-vec_id take no part. Fewer candidates than k give fewer rows; an empty table gives none."""
+vec_id take no part. A repeated vec_id counts once, with the smallest of its vectors. Fewer candidates than k give
+fewer rows; an empty table gives none."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,47 +102,62 @@ def leaves(points: np.ndarray, rows: int) -> list[np.ndarray]:
 
 
 class Cell:
-    """The rows of a cell with their leaves; finds the nearest of a query."""
+    """The rows of a part of a cell with their leaves; finds the nearest of a query."""
 
     def __init__(self, v: np.ndarray, ids: list[np.ndarray], directions: np.ndarray, leaf_rows: int):
-        self.v, self.ids = v, ids
-        p = v @ directions
-        self.leaves = leaves(p, leaf_rows)
-        self.low = np.array([p[i].min(0) for i in self.leaves])
-        self.high = np.array([p[i].max(0) for i in self.leaves])
+        self.v, self.ids, self.p = v, ids, v @ directions
+        self.leaves = leaves(self.p, leaf_rows)
+        self.low = np.array([self.p[i].min(0) for i in self.leaves])
+        self.high = np.array([self.p[i].max(0) for i in self.leaves])
+
+    def in_order(self, point: np.ndarray, at_once: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(squared projected distances, rows) of all rows from the nearest projection on, some at a time. A leaf is
+        opened when its box is nearer than whatever of the opened ones is left."""
+        out = np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)
+        reach = (out * out).sum(1)
+        order, opened = np.argsort(reach, kind="stable"), 0
+        d, row = np.empty(0), np.empty(0, np.int64)
+        while opened < len(order) or len(row):
+            edge = reach[order[opened]] if opened < len(order) else np.inf
+            ready = min(int(np.searchsorted(d, edge, "right")), at_once)
+            if ready:
+                yield d[:ready], row[:ready]
+                d, row = d[ready:], row[ready:]
+                continue
+            some = np.concatenate([self.leaves[x] for x in order[opened : opened + 2]])
+            opened += 2
+            away = self.p[some] - point
+            d, row = np.concatenate([d, (away * away).sum(1)]), np.concatenate([row, some])
+            by = np.argsort(d, kind="stable")
+            d, row = d[by], row[by]
 
     def search(self, q: np.ndarray, point: np.ndarray, k: int, bound: float, factor: float) -> list[tuple[float, int]]:
         """At most k (distance, id), nearest first; bound: a distance within which k are known already."""
-        out = np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)
-        reach = (out * out).sum(1)
         best: list[tuple[float, int]] = []
-        for leaf in np.argsort(reach, kind="stable"):
-            if reach[leaf] > factor * bound * bound:  # the chi-square test holds for all that is left
+        for far, rows in self.in_order(point):
+            if far[0] > factor * bound * bound:  # the chi-square test holds for all that is left
                 break
-            i = self.leaves[leaf]
-            d = np.sqrt(((self.v[i] - q) ** 2).sum(1))
+            d = np.sqrt(((self.v[rows] - q) ** 2).sum(1))
             for j in np.flatnonzero(d <= bound):
-                best += [(float(d[j]), int(x)) for x in self.ids[i[j]]]
+                best += [(float(d[j]), int(x)) for x in self.ids[rows[j]]]
             if len(best) >= k:
                 best = sorted(best)[:k]
                 bound = min(bound, best[-1][0])
         return sorted(best)[:k]
 
 
-def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure: float = 0.99, sample: int = 20_000, cell_rows: int = 4096, block: int = 4000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure: float = 0.99, sample: int = 20_000, levels: int = 12, cell_rows: int = 4096, part_rows: int = 32_768, block: int = 4000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row for which `queries` holds, itself left out."""
     spark = vectors.sparkSession
-    rows = usable(vectors)
-    lowest = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= k + 1)
-    distinct = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    distinct = scratch(distinct, "vectors")
+    rows = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    distinct = scratch(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     total = distinct.count()
     picked = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v")).limit(sample).collect()], float)
     dim = picked.shape[1] if len(picked) else 1
     directions = np.random.default_rng(20).standard_normal((dim, m))
-    tree = Tree(picked @ directions if len(picked) else np.zeros((0, m)), max(0, math.ceil(math.log2(max(1, total) / cell_rows))))
-    shared = spark.sparkContext.broadcast((tree, directions))
+    tree = Tree(picked @ directions if len(picked) else np.zeros((0, m)), min(levels, max(0, math.ceil(math.log2(max(1, total) / cell_rows)))))
+    shared = spark.sparkContext.broadcast((tree, directions))  # boxes of at most 2^levels cells
     factor = chi_squared_radius(sure, m)
 
     @F.pandas_udf("int")
@@ -150,9 +169,7 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure
     asked = scratch(rows.where(queries), "queries")
     single = asked.groupBy("v").agg(F.min("vec_id").alias("qid"))
     single = scratch(single.withColumn("cell", cell_of("v")), "asked")
-    blocks = max(1, -(-single.count() // block))
-    dealt = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    own = single.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("bound", F.lit(float("inf")))
+    parts = indexed.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
 
     def search(key: tuple, data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -164,11 +181,20 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure
                 out += [(qid, i, d) for d, i in cell.search(x, point, k + 1, bound, factor)]
         return pd.DataFrame(out, columns=["qid", "vec_id", "score"]).astype({"qid": "int64", "vec_id": "int64", "score": "float64"})
 
+    def upto(n: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
     def searched(ask: DataFrame) -> DataFrame:
-        return dealt.groupBy("cell", "block").cogroup(ask.groupBy("cell", "block")).applyInPandas(search, FOUND)
+        """ask (v, qid, bound, cell) against every part of its cell; each part is copied once a block of its queries."""
+        visits = ask.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(parts, "cell")
+        dealt = indexed.join(visits, "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("block", upto("blocks"))
+        own = ask.join(visits, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).withColumn("part", upto("parts"))
+        key = ("cell", "part", "block")
+        return dealt.select(*key, "v", "ids").groupBy(*key).cogroup(own.select(*key, "v", "qid", "bound").groupBy(*key)).applyInPandas(search, FOUND)
 
-    first = scratch(searched(own), "round-one")
-    bounds = first.groupBy("qid").agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("bound"))
+    first = scratch(searched(single.withColumn("bound", F.lit(float("inf")))), "round-one")
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("score", "vec_id")))
+    bounds = ranked.where(F.col("n") == k + 1).select("qid", F.col("score").alias("bound"))
 
     def spread(batches):
         tree, directions = shared.value
@@ -177,13 +203,11 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure
             to = [tree.near(p, math.sqrt(factor) * bound) for p, bound in zip(q @ directions, b["bound"])]
             out = b.loc[b.index.repeat([len(t) for t in to])].copy()
             out["other"] = np.concatenate(to).astype("int32")
-            yield out[out["other"] != out["cell"]].drop(columns="cell").rename(columns={"other": "cell"})[["v", "qid", "block", "bound", "cell"]]
-
-    wider = own.drop("bound").join(bounds, "qid", "left").fillna(float("inf"), ["bound"]).mapInPandas(spread, "v array<double>, qid long, block int, bound double, cell int")
-    found = first.unionByName(searched(wider))
-    order = Window.partitionBy("qid").orderBy("score", "vec_id")
-    top = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
-    lists = top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
-    named = asked.join(single.select("v", "qid"), "v").join(lists, "qid").select(F.col("vec_id").alias("query_id"), "near")
-    mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return named.select("query_id", F.posexplode(mine).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+            yield out[out["other"] != out["cell"]].drop(columns="cell").rename(columns={"other": "cell"})[["v", "qid", "bound", "cell"]]
+
+    wider = single.join(bounds, "qid", "left").fillna(float("inf"), ["bound"]).mapInPandas(spread, "v array<double>, qid long, bound double, cell int")
+    found = first.unionByName(searched(scratch(wider, "visits")))
+    top = found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
+    near = asked.join(single.select("v", "qid"), "v").select("qid", F.col("vec_id").alias("query_id")).join(top.drop("n"), "qid").where("vec_id != query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
