@@ -37,7 +37,7 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """A vocabulary file with a memo of the ids of space-free pieces, in two generations of at most `memo` pieces."""
 
-    def __init__(self, path: str, memo: int = 150_000, chunk: int = 32_768, overlap: int = 512):
+    def __init__(self, path: str, memo: int = 300_000, chunk: int = 32_768, overlap: int = 512):
         from tokenizers import Tokenizer
 
         self.tok, self.memo, self.chunk, self.overlap = Tokenizer.from_file(path), memo, chunk, overlap
@@ -80,28 +80,28 @@ class Encoder:
         """Take pieces into the memo. They are encoded many to a call, parted by a special token."""
         if len(self.ids) + len(pieces) > self.memo:
             self.old, self.ids = self.ids, {"": b""}
-        new = []
-        for p in pieces:
-            if (known := self.old.get(p)) is None:
-                new.append(p)
-            else:
-                self.ids[p] = known
-        rest = new
+        known = pieces & self.old.keys()
+        self.ids.update(zip(known, map(self.old.__getitem__, known)))
+        rest = pieces - known
         if self.bare:
-            parts = {p: (m[1].lower(), m[2]) for p in new if (m := LATIN.fullmatch(p))}
+            words = [p for p in rest if p.isascii() and p.isalpha()]
+            rest.difference_update(words)
+            parts = {p: (m[1].lower(), m[2]) for p in rest if (m := LATIN.fullmatch(p))}
+            rest.difference_update(parts)
+            low = list(map(str.lower, words))
             if len(self.stems) > self.memo:
                 self.stems = {}
-            unknown = list({stem for stem, _ in parts.values()}.difference(self.stems))
+            unknown = list({stem for stem, _ in parts.values()}.union(low).difference(self.stems))
             self.stems.update(self._encode_groups(self.bare, unknown, " , ", self.tok.encode(",", add_special_tokens=False).ids[0]))
+            self.ids.update(zip(words, map(self.stems.__getitem__, low)))
             for p, (stem, tail) in parts.items():
                 if tail and tail not in self.ids:
                     self.ids[tail] = self._one(tail)
                 self.ids[p] = self.stems[stem] + self.ids[tail]
-            rest = [p for p in new if p not in parts]
         plain = [p for p in rest if self.mark and self.mark[1] not in p]
         if plain:
             self.ids.update(self._encode_groups(self.tok, plain, f" {self.mark[1]} ", self.mark[0]))
-        for p in set(rest).difference(plain):
+        for p in rest.difference(plain):
             self.ids[p] = self._one(p)
 
     def encode_many(self, texts: list[str | None], splice: bool = True, group: int = 256) -> Iterator[bytes]:
@@ -110,15 +110,15 @@ class Encoder:
         for i in range(0, len(texts), group):
             part = [t or "" for t in texts[i : i + group]]
             cut = [None if splice and len(t) > self.chunk else t.translate(_OTHER_SPACES).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in part]
-            unknown = set().union(*(c for c in cut if c)).difference(self.ids)
+            found = [c and list(map(self.ids.get, c)) for c in cut]
+            gaps = [[k for k, x in enumerate(f) if x is None] if f else [] for f in found]
+            unknown = {c[k] for c, own in zip(cut, gaps) for k in own}
             if unknown:
-                before = len(self.ids)
-                self._learn(unknown)
-                if len(self.ids) < before + len(unknown):  # a new generation began: take over what this group needs
-                    self._learn(set().union(*(c for c in cut if c)).difference(self.ids))
-            get = self.ids.__getitem__
-            for t, c in zip(part, cut):
-                yield b"".join(x.tobytes() for x in self.spliced(t)) if c is None else b"".join(map(get, c))
+                self._learn(unknown)  # what a new generation leaves behind is in `found` already
+            for t, c, f, own in zip(part, cut, found, gaps):
+                for k in own:
+                    f[k] = self.ids[c[k]]
+                yield b"".join(x.tobytes() for x in self.spliced(t)) if c is None else b"".join(f)
 
     def spliced(self, text: str) -> Iterator[np.ndarray]:
         """The ids of a huge text, chunk by chunk, spliced where neighbouring encodings agree."""
