@@ -110,7 +110,7 @@ class Cell:
         self.low = np.array([self.p[i].min(0) for i in self.leaves])
         self.high = np.array([self.p[i].max(0) for i in self.leaves])
 
-    def in_order(self, point: np.ndarray, at_once: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def in_order(self, point: np.ndarray, at_once: int = 512, leaves: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(squared projected distances, rows) of all rows from the nearest projection on, some at a time. A leaf is
         opened when its box is nearer than whatever of the opened ones is left."""
         out = np.maximum(self.low - point, 0) + np.maximum(point - self.high, 0)
@@ -124,8 +124,8 @@ class Cell:
                 yield d[:ready], row[:ready]
                 d, row = d[ready:], row[ready:]
                 continue
-            some = np.concatenate([self.leaves[x] for x in order[opened : opened + 2]])
-            opened += 2
+            some = np.concatenate([self.leaves[x] for x in order[opened : opened + leaves]])
+            opened += leaves
             away = self.p[some] - point
             d, row = np.concatenate([d, (away * away).sum(1)]), np.concatenate([row, some])
             by = np.argsort(d, kind="stable")
@@ -138,7 +138,8 @@ class Cell:
             if far[0] > factor * bound * bound:  # the chi-square test holds for all that is left
                 break
             d = np.sqrt(((self.v[rows] - q) ** 2).sum(1))
-            for j in np.flatnonzero(d <= bound):
+            near = bound if len(d) <= k else min(bound, np.partition(d, k - 1)[k - 1])  # every row has an id or more
+            for j in np.flatnonzero(d <= near):
                 best += [(float(d[j]), int(x)) for x in self.ids[rows[j]]]
             if len(best) >= k:
                 best = sorted(best)[:k]
