@@ -134,3 +134,9 @@ def test_more_choices():
     assert choices.board_view("calendar") == "calendar" and choices.board_view("other") == choices.board_view(None) == choices.board_view(["table"]) == "table"
     assert choices.search_query(" x ") == "x" and choices.search_query(None) == choices.search_query(3) == ""
     assert len(choices.WEEKDAYS) == 7 and choices.WEEKDAYS[0] == "Mon"
+
+
+def test_results_need_a_link(spark):
+    rows = [(1, "other", "", "t", "d"), (2, "other", "http://x", "t", "d"), (3, "jobindex", "https://www.JOBINDEX.dk/1", "t", "d"), (4, "jobindex", "https://www.jobindex.dk/arkiv/1", "t", "d"), (5, "indeed", "https://jobindex.dk/1", "t", "d"), (6, "other", None, "t", "d")]
+    df = items(spark, rows, "pos long, platform string, url string, title string, description string")
+    assert sorted(r["pos"] for r in I.kept_results(df).collect()) == [2, 3]

@@ -41,7 +41,7 @@ def test_provider_payloads(spark):
     payloads = [(1, "indeed", "x", json.dumps({"organic_results": [{"link": "u", "title": "Dev - Acme", "snippet": long}, {}]})), (2, "indeed", "x", "{}")]
     df = spark.createDataFrame(payloads, "payload_id int, platform string, location string, payload string")
     got = records.provider_results(df, "serp").orderBy("place").collect()
-    assert [(r["payload_id"], r["title"], r["company"], len(r["description"])) for r in got] == [(1, "Dev", "Acme", 400), (1, "", "", 0)]
+    assert [(r["payload_id"], r["title"], r["company"], len(r["description"])) for r in got] == [(1, "Dev", "Acme", 400), (1, "Untitled", "", 0)]
     with pytest.raises(Exception):
         records.provider_results(spark.createDataFrame([(1, "p", "x", "not json")], df.schema), "serp").collect()
 

@@ -129,10 +129,10 @@ def scored(results: DataFrame, weights: DataFrame, keywords: list[str], as_of: s
 
 
 def kept_results(results: DataFrame) -> DataFrame:
-    """Results on their platform's domain (unknown platforms keep all) that aren't archived."""
+    """Results with a link on their platform's domain (unknown platforms keep any) that aren't archived."""
     domain = F.create_map(*[F.lit(x) for kv in T.PLATFORM_DOMAINS.items() for x in kv])[F.col("platform")]
     fits = domain.isNull() | F.contains(F.lower(T.text("url")), domain)
-    return results.where(fits & ~scores.is_archived(F.col("platform"), F.col("url"), F.col("title"), F.col("description")))
+    return results.where((T.text("url") != "") & fits & ~scores.is_archived(F.col("platform"), F.col("url"), F.col("title"), F.col("description")))
 
 
 def top_per_platform(ranked: DataFrame, k: int = 5) -> DataFrame:

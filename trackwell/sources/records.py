@@ -30,11 +30,12 @@ PROVIDERS = {
 
 def provider_results(payloads: DataFrame, provider: str, limit: int = 400) -> DataFrame:
     """payloads (payload_id, platform, location, payload) to a row a result: url, title, company, description,
-    published_date, and its place in the payload. A missing array gives no rows; a payload that isn't JSON fails."""
+    published_date, and its place in the payload. A result without title is "Untitled". A missing array gives no rows; a
+    payload that isn't JSON fails."""
     schema, path, (url, title, description, date) = PROVIDERS[provider]
     rows = payloads.withColumn("p", F.from_json("payload", schema, {"mode": "FAILFAST"}))
     each = rows.select("payload_id", "platform", "location", F.posexplode(path).alias("place", "r"))
-    name, company = T.split_title(T.text(f"r.{title}"))
+    name, company = T.split_title(F.coalesce(F.col(f"r.{title}"), F.lit("Untitled")))
     return each.select("payload_id", "platform", "location", "place", T.text(f"r.{url}").alias("url"), name.alias("title"), company.alias("company"), F.substring(T.text(f"r.{description}"), 1, limit).alias("description"), T.text(f"r.{date}").alias("published_date"))
 
 
