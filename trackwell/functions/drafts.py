@@ -69,9 +69,9 @@ def drafted(df: DataFrame, answer: Column) -> DataFrame:
     """df with the output fields of a model's answer: for each the first of its keys whose value is a string that isn't
     blank, trimmed. Of a repeated key the last value counts. The answer is parsed once, into one list of keys and values."""
     at = lambda key: F.array_position(F.col("_keys"), F.lit(key)).cast("int") - 1
-    value = lambda key: F.when(at(key) >= 0, F.get("_strings", at(key)))
+    value = lambda key: F.get("_strings", at(key))  # noqa: E731  (null where the key is absent: its place is -1)
     fields = {name: F.coalesce(*[value(k) for k in keys]) for name, keys in ALIASES.items()}
-    listed = F.filter(F.try_variant_get(F.when(at("tags") >= 0, F.get("_values", at("tags"))), "$", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    listed = F.filter(F.try_variant_get(F.get("_values", at("tags")), "$", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
     joined = F.array_join(F.transform(listed, _string), ", ")
     fields |= {"tags": F.coalesce(fields["tags"], F.nullif(stripped(joined), F.lit(""))), "work_mode": work_mode(fields["work_mode"])}
     kept = [F.col(c) for c in df.columns if c not in fields]
