@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.llm import language_id, mixing, multiset_hash, nearest, packing, preference, secret_scan, simhash, tokenizing, toxicity
+from trackwell.llm import hard_negatives, language_id, mixing, multiset_hash, nearest, packing, preference, secret_scan, simhash, tokenizing, toxicity
 from trackwell.llm.common import table
 
 
@@ -53,10 +53,15 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_preference_format, op2_temperature_mix, op3_projected_neighbours, op4_language_mixture, op5_multiset_hash,
-        op6_simhash_ball, op7_pattern_packing, op8_randomness_battery, op9_token_counts, op10_compression_toxicity,
+        op6_simhash_ball, op7_pattern_packing, op8_randomness_battery, op9_token_counts, op10_compression_toxicity, op11_residue_negatives,
     )
     return {f.__name__: f for f in own}
 
@@ -140,5 +145,26 @@ from base t join dealt d on t.h = d.h where d.start < d.mark
 """
 
 
+OP11_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+a as (select distinct * from v where vec_id % 50 = 0),
+s as (
+  select a.vec_id as anchor_id, a.label = v.label as same, a.label as al, a.v as av, v.vec_id as other, list_inner_product(a.v, v.v)::bigint as score
+  from a join v on len(a.v) = len(v.v) and v.vec_id is distinct from a.vec_id),
+p as (
+  select anchor_id, al, av, other as positive_id, score as positive_score, row_number() over (partition by anchor_id, al, av order by score desc, other) as nth
+  from s where same qualify nth <= 5),
+n as (
+  select p.anchor_id, p.al, p.av, p.nth, positive_id, positive_score, s.other as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.al, p.av, p.nth order by s.score desc, s.other)::int as rank
+  from p join s on s.anchor_id = p.anchor_id and s.al = p.al and s.av = p.av and not s.same
+  where 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_format": OP1_SQL, "op2_temperature_mix": OP2_SQL}
+    return {"op1_preference_format": OP1_SQL, "op2_temperature_mix": OP2_SQL, "op11_residue_negatives": OP11_SQL}
