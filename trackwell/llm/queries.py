@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.llm import hard_negatives, language_id, mixing, multiset_hash, nearest, packing, preference, secret_scan, simhash, tokenizing, toxicity
+from trackwell.llm import hard_negatives, language_id, lexical_search, mixing, multiset_hash, nearest, packing, preference, secret_scan, simhash, tokenizing, toxicity
 from trackwell.llm.common import table
 
 
@@ -58,10 +58,14 @@ def op11_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
+def op12_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_preference_format, op2_temperature_mix, op3_projected_neighbours, op4_language_mixture, op5_multiset_hash,
-        op6_simhash_ball, op7_pattern_packing, op8_randomness_battery, op9_token_counts, op10_compression_toxicity, op11_residue_negatives,
+        op6_simhash_ball, op7_pattern_packing, op8_randomness_battery, op9_token_counts, op10_compression_toxicity, op11_residue_negatives, op12_fp_tree_search,
     )
     return {f.__name__: f for f in own}
 
@@ -166,5 +170,27 @@ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+OP12_SQL = r"""
+with words as (
+  select doc_id, row_number() over () as row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents where text is not null),
+docs as (select doc_id, row, w, len(w)::bigint as n from words where len(w) > 0),
+every as (select count(*)::bigint as nd, sum(n)::bigint as l from docs),
+tfs as (select row, t, count(*)::bigint as tf from (select row, unnest(w) as t from docs) group by row, t),
+items as (
+  select item, any_value(item_id) as item_id, t, count(*)::bigint as reps from (
+    select item_id, dense_rank() over (order by item_id, text) as item, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+    from (select distinct item_id, text from benchmark where text is not null)) group by item, t),
+weights as (
+  select t, floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select t, count(*)::bigint as df from tfs group by t), every),
+scored as (
+  select i.item, any_value(i.item_id) as item_id, d.row, any_value(d.doc_id) as doc_id, sum(i.reps * weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))))::bigint as score
+  from items i join weights using (t) join tfs using (t) join docs d on d.row = tfs.row, every group by i.item, d.row),
+r as (select *, row_number() over (partition by item order by score desc, doc_id nulls last)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_preference_format": OP1_SQL, "op2_temperature_mix": OP2_SQL, "op11_residue_negatives": OP11_SQL}
+    return {"op1_preference_format": OP1_SQL, "op2_temperature_mix": OP2_SQL, "op11_residue_negatives": OP11_SQL, "op12_fp_tree_search": OP12_SQL}
