@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackwell.llm import hard_negatives, language_id, lexical_search, mixing, multiset_hash, nearest, packing, preference, secret_scan, simhash, tokenizing, toxicity
+from trackwell.llm import hard_negatives, language_id, lexical_search, mixing, multiset_hash, nearest, packing, preference, secret_scan, simhash, suffix_dedup, tokenizing, toxicity
 from trackwell.llm.common import table
 
 
@@ -62,10 +62,15 @@ def op12_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_preference_format, op2_temperature_mix, op3_projected_neighbours, op4_language_mixture, op5_multiset_hash,
         op6_simhash_ball, op7_pattern_packing, op8_randomness_battery, op9_token_counts, op10_compression_toxicity, op11_residue_negatives, op12_fp_tree_search,
+        op13_suffix_dedup,
     )
     return {f.__name__: f for f in own}
 
