@@ -17,7 +17,7 @@ def told(columns, found):
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_query_equals_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     df = queries.queries()[name](spark, small)
     sql = con.execute(queries.oracle_sql()[name])
