@@ -274,11 +274,13 @@ def spans(docs: DataFrame, length: int = 200, bucket_rows: int = 30_000) -> Data
             yield pa.RecordBatch.from_arrays([b.column("k1").take(i), b.column("k2").take(i), *(pa.array(x) for x in (g, at, first, last))], names=["k1", "k2", "g", "at", "first", "last"])
 
     long_enough = rows.where(F.octet_length("text") >= length)
-    every = scratch(long_enough.mapInArrow(found, "k1 long, k2 long, g long, at long, first long, last long"), "anchors")
-    twice = every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    every = long_enough.mapInArrow(found, "k1 long, k2 long, g long, at long, first long, last long").distinct()  # of copies one
+    every = scratch(every, "anchors")
+    twice = scratch(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "grams")  # so that the join can split a gram
     left = every.join(twice, "g").groupBy(*KEY).agg(F.collect_set(F.struct("at", "first", "last")).alias("locs"))
     left = scratch(left, "candidates")
     discard(every)
+    discard(twice)
     total = left.agg(F.sum(F.size("locs"))).first()[0] or 0
     one = long_enough.groupBy(*KEY).agg(F.first("text").alias("text"))  # copies become one text before they move
     parts = max(spark.sparkContext.defaultParallelism, -(-total // bucket_rows))
