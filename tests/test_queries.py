@@ -32,8 +32,9 @@ def rows(columns, found):
 def test_query_equals_sql(spark, small, views, name):
     df = registry.queries()[name](spark, small)
     sql = views.execute(registry.oracle_sql()[name])
-    columns = [d[0] for d in sql.description]
-    assert rows(df.columns, df.collect()) == rows(columns, sql.fetchall())
+    columns, wanted = [d[0] for d in sql.description], sql.fetchall()
+    assert wanted, "the SQL gives no rows to compare"
+    assert rows(df.columns, df.collect()) == rows(columns, wanted)
 
 
 def test_entry(spark):

@@ -44,17 +44,18 @@ def prompt(listing: Column) -> Column:
     return F.concat(F.lit(asked), text(listing))
 
 
-def json_object(c: Column) -> Column:
-    """The text of the JSON object in a model's answer, out of its code fence if it has one; null if there is none."""
-    raw = stripped(text(c))
-    bare = F.regexp_replace(F.regexp_replace(raw, r"(?iU)^```(?:json)?\s*", ""), r"(?iU)\s*```\s*\z", "")
-    kind = lambda x: F.when(x.startswith("{") & x.endswith("}") & _parsed(x).isNotNull(), x)
-    return F.coalesce(kind(bare), kind(raw))
+# All keys that are tried, each once: the fields of the object that an answer is parsed into.
+KEYS = tuple(dict.fromkeys(k for keys in ALIASES.values() for k in keys))
 
 
 def _parsed(c: Column) -> Column:
-    """The fields of an object as a map, repeated keys too; null where it can't be read."""
-    return F.from_json(c, "map<string, variant>", {"allowSingleQuotes": "false"})
+    """The values of an object's known keys, fields k0, k1 and so on; null where the text isn't one JSON object. Of a
+    repeated key the last value counts."""
+    asked = "array<struct<" + ",".join(f"{k}:variant" for k in KEYS) + ">>"
+    plain = "array<struct<" + ",".join(f"k{i}:variant" for i in range(len(KEYS))) + ">>"  # two keys may differ in case only
+    whole = F.from_json(F.concat(F.lit("["), c, F.lit("]")), asked, {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    one = F.when(c.startswith("{") & c.endswith("}"), whole).cast(plain)  # in a list, so that nothing may follow the object
+    return F.when(F.size(one) == 1, F.get(one, F.lit(0)))
 
 
 def work_mode(c: Column) -> Column:
@@ -67,18 +68,21 @@ def _string(v: Column) -> Column:
 
 def drafted(df: DataFrame, answer: Column) -> DataFrame:
     """df with the output fields of a model's answer: for each the first of its keys whose value is a string that isn't
-    blank, trimmed. Of a repeated key the last value counts. The answer is parsed once, into one list of keys and values."""
-    at = lambda key: F.array_position(F.col("_keys"), F.lit(key)).cast("int") - 1
-    value = lambda key: F.get("_strings", at(key))  # noqa: E731  (null where the key is absent: its place is -1)
-    fields = {name: F.coalesce(*[value(k) for k in keys]) for name, keys in ALIASES.items()}
-    listed = F.filter(F.try_variant_get(F.get("_values", at("tags")), "$", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
+    blank, trimmed. The answer is an object, in a code fence or not; it is parsed once, and once more as it is only where
+    what the fence holds is no object."""
+    kept = [F.col(c) for c in df.columns if c not in ALIASES]
+    rows = df.withColumn("_raw", stripped(text(answer)))
+    bare = F.regexp_replace(F.regexp_replace("_raw", r"(?iU)^```(?:json)?\s*", ""), r"(?iU)\s*```\s*\z", "")
+    rows = rows.withColumn("_bare", F.when(F.col("_raw").startswith("```") | F.col("_raw").endswith("```"), bare).otherwise(F.col("_raw")))
+    rows = rows.withColumn("_first", _parsed(F.col("_bare")))
+    rows = rows.withColumn("_got", F.coalesce("_first", F.when(F.col("_bare") != F.col("_raw"), _parsed(F.col("_raw")))))
+    value = lambda key: F.col(f"_got.k{KEYS.index(key)}")
+    rows = rows.withColumn("_strings", F.array(*[F.nullif(stripped(_string(value(k))), F.lit("")) for k in KEYS]))
+    fields = {name: F.coalesce(*[F.get("_strings", F.lit(KEYS.index(k))) for k in keys]) for name, keys in ALIASES.items()}
+    listed = F.filter(F.try_variant_get(value("tags"), "$", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING")
     joined = F.array_join(F.transform(listed, _string), ", ")
     fields |= {"tags": F.coalesce(fields["tags"], F.nullif(stripped(joined), F.lit(""))), "work_mode": work_mode(fields["work_mode"])}
-    kept = [F.col(c) for c in df.columns if c not in fields]
-    parsed = df.withColumn("_map", _parsed(json_object(answer)))
-    parsed = parsed.withColumns({"_keys": F.reverse(F.map_keys("_map")), "_values": F.reverse(F.map_values("_map"))})
-    parsed = parsed.withColumn("_strings", F.transform("_values", lambda v: F.nullif(stripped(_string(v)), F.lit(""))))
-    return parsed.select(*kept, *[c.alias(n) for n, c in fields.items()])
+    return rows.select(*kept, *[c.alias(n) for n, c in fields.items()])
 
 
 def capture_drafts(df: DataFrame, url: Column, page: Column, answer: Column, status: Column) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trackwell.functions.text import host, stripped, text
+from trackwell.functions.text import host, text, trimmed
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[t ]\d{2}:\d{2}:\d{2}(\.\d+)?(z|[+-]\d{2}:\d{2})$"
@@ -18,20 +18,19 @@ FRESHNESS = ((3, 1.0), (7, 0.85), (14, 0.65), (30, 0.35), (60, 0.15))
 FRESHNESS_UNKNOWN, FRESHNESS_OLDER = 0.5, 0.05
 IN_TITLE, IN_DESCRIPTION, IN_PHRASE, LEAST_WEIGHT = 1.0, 0.45, 0.15, 0.2
 OF_FRESHNESS, OF_KEYWORDS = 0.6, 0.4
-# Phrases of closed or missing listings, and of archived results.
+# Phrases of closed or missing listings.
 GONE = ("job no longer available", "no longer accepting", "position has been filled", "job not found", "page not found", "404", "ikke tilgængelig", "stillingen er besat")
-ARCHIVED = ("archive", "arkiv", "expired", "udløbet", "not active")
 
 
 def _gone(c: Column, *words: str) -> Column:
     for w in words:
         c = F.replace(c, F.lit(w), F.lit(""))
-    return stripped(c)
+    return trimmed(c)
 
 
 def age_days(c: Column, as_of: str) -> Column:
     """Days before as_of of "today", "3 days ago", "2w", RFC 3339 times and dates; null for anything else."""
-    s = F.lower(stripped(c))
+    s = F.lower(trimmed(c))
     days, weeks = _gone(s, "days ago", "day ago"), _gone(s, "weeks ago", "week ago", "w")
     now = F.lit(as_of).cast("timestamp")
     at = F.try_to_timestamp(F.when(s.rlike(RFC3339), F.upper(s)))
@@ -47,6 +46,17 @@ def age_days(c: Column, as_of: str) -> Column:
     )
 
 
+def birthday(c: Column, anchor: str) -> tuple[Column, Column]:
+    """(day, age) of what age_days reads: on a day d at the anchor's time of day the age is the days from day to d, at
+    least 0. Where the age is the same on every day, day is null and age has it (null: it can't be read)."""
+    s = F.lower(trimmed(c))
+    at = F.try_to_timestamp(F.when(s.rlike(RFC3339), F.upper(s)))
+    date = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), s).try_cast("date")
+    moved = F.ceil((F.unix_micros(at) - F.unix_micros(F.lit(anchor).cast("timestamp"))) / 86_400_000_000)
+    fixed = age_days(F.when(at.isNull() & date.isNull(), c), anchor)
+    return F.when(at.isNotNull(), F.date_add(F.lit("1970-01-01").cast("date"), moved.cast("int"))).otherwise(date), fixed
+
+
 def freshness(age: Column) -> Column:
     out = F.when(age.isNull(), FRESHNESS_UNKNOWN)
     for days, value in FRESHNESS:
@@ -86,11 +96,6 @@ def score_tone(c: Column) -> Column:
     return F.when(s >= 0.75, "high").when(s >= 0.45, "medium").otherwise("low")
 
 
-def is_archived(platform: Column, url: Column, title: Column, description: Column) -> Column:
-    hay = F.lower(F.concat_ws(" ", text(url), text(title), text(description)))
-    return (platform == "jobindex") & hay.rlike("|".join(ARCHIVED))
-
-
 def listing_status(url: Column, final_url: Column, body: Column, http_status: Column, found_by_key: Column) -> Column:
     """active, closed, archived or unreachable, from what a fetch gave. found_by_key: the key search's answer, null
     where there is none."""
@@ -120,9 +125,12 @@ def follow_up(days: Column) -> Column:
 
 
 def relative_date(c: Column, as_of: str) -> Column:
-    d = c.try_cast("date")
-    n = F.datediff(F.lit(as_of).cast("date"), d)
-    return F.when(d.isNull(), c).when(n == 0, "Today").when(n == 1, "Yesterday").when(n < 7, F.concat(n.cast("string"), F.lit("d ago"))).when(n < 31, F.concat(F.floor(n / 7).cast("string"), F.lit("w ago"))).otherwise(F.date_format(d, "MMM d"))
+    """How long ago a date or time was, in whole days that have passed (an hour before midnight is still today after
+    it); what can't be read as one stays as it is. Dates begin at midnight UTC, times without zone are UTC."""
+    at = c.try_cast("timestamp")
+    n = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(at)) / 86_400_000_000)
+    told = F.when(n == 0, "Today").when(n == 1, "Yesterday").when(n < 7, F.concat(n.cast("string"), F.lit("d ago"))).when(n < 31, F.concat(F.floor(n / 7).cast("string"), F.lit("w ago")))
+    return F.when(at.isNull(), c).otherwise(F.coalesce(told, F.date_format(at, "MMM d")))
 
 
 def added_date(c: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRINGS_ONLY = r'^\[\s*("([^"\\]|\\.)*"\s*(,\s*"([^"\\]|\\.)*"\s*)*)?\]$'
 # The platforms and what their result URLs contain.
 PLATFORM_DOMAINS = {"jobindex": "jobindex.dk", "indeed": "indeed.", "linkedin": "linkedin.com/jobs", "thehub": "thehub.io"}
+# Phrases of archived results.
+ARCHIVED = ("archive", "arkiv", "expired", "udløbet", "not active")
 # Search pages and their parameter names.
 SEARCH_PAGES = {"jobindex": ("https://www.jobindex.dk/jobsoeg", "q", "where"), "linkedin": ("https://www.linkedin.com/jobs/search", "keywords", "location"), "thehub": ("https://thehub.io/jobs", "q", "city")}
 # Entities in the order in which they are replaced.
@@ -19,6 +20,7 @@ KEPT_IN_QUERIES = r"!$%&()*+,./0-9:;=?@A-Z\[\\\]^_`a-z{|}~-"
 KEPT_IN_FRAGMENTS = r"!#$%&'()*+,./0-9:;=?@A-Z\[\\\]^_a-z{|}~-"
 KEPT_IN_USERS = r"!$%&'()*+,.0-9:A-Z_a-z~-"
 FORBIDDEN_IN_HOSTS = r"^(?!\[[0-9a-f:.]+\]$).*[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"
+IPV4_PART = r"^(0x[0-9a-f]*|0[0-7]*|[1-9][0-9]*)$"
 
 # What a form's encoding gives otherwise than a URL component's.
 PLAIN_IN_COMPONENTS = (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"))
@@ -28,9 +30,31 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+# What a browser's trim takes off, beside spaces, tabs and line ends.
+BROWSER_WHITE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 def stripped(c: Column) -> Column:
-    """Without white space of any kind (tabs, line ends, no-break spaces) at both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+\z", "")
+    """Without white space at both ends, as a browser trims: U+FEFF goes, U+0085 stays."""
+    return F.regexp_replace(c, rf"^{BROWSER_WHITE}+|{BROWSER_WHITE}+\z", "")
+
+
+def trimmed(c: Column) -> Column:
+    """Without what Unicode calls white space at both ends: U+0085 goes, U+FEFF stays. Tags, titles, ages and the company of
+    a saved row are trimmed like this."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
+def json_value(c: Column) -> Column:
+    """A variant array with the JSON value of a text as its one element; null if the text isn't one JSON value (two
+    values, what follows a value, an object that repeats a key)."""
+    one = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))  # in a list, so that nothing may follow the value
+    return F.when(F.size(F.try_variant_get(one, "$", "array<variant>")) == 1, one)
+
+
+def string_at(v: Column, path: str) -> Column:
+    """The string at a path of a variant; null for values of other types."""
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -38,23 +62,28 @@ def blank_to_null(c: Column) -> Column:
     return F.when(stripped(c) != "", c)
 
 
-def lower_order(c: Column) -> Column:
-    """The sort key of a text: trimmed, in lower case, in the order of letters (accents after their base), null if blank."""
-    return F.collate(F.nullif(F.lower(stripped(c)), F.lit("")), "UNICODE")
+def lower_order(c: Column, locale: str = "UNICODE") -> Column:
+    """The sort key of a text: trimmed, in lower case, in the order of letters (accents after their base; of a locale such
+    as `da`, in that language's order), null if blank."""
+    return F.collate(F.nullif(F.lower(stripped(c)), F.lit("")), locale)
 
 
 def parse_tags(c: Column) -> Column:
-    """A JSON array of strings only, or parts between , ; | line ends and tabs; quotes off, lower case, blanks out."""
-    t = stripped(text(c))
-    listed = F.transform(F.from_json(t, "array<string>"), lambda x: F.lower(stripped(x)))
-    parts = F.transform(F.split(t, r"[,;|\n\t]"), lambda x: F.lower(F.btrim(F.btrim(stripped(x), F.lit('"')), F.lit("'"))))
-    return F.filter(F.when(t.rlike(STRINGS_ONLY), listed).otherwise(parts), lambda x: x != "")
+    """A JSON array of strings only, or parts between , ; | line ends and tabs; quotes off, lower case, blanks out.
+
+    The types of the parsed values decide, not how the text looks: what isn't strict JSON (raw line ends in a string,
+    unknown escapes) or holds anything but strings is split."""
+    t = trimmed(text(c))
+    values = F.when(t.startswith("["), F.try_variant_get(json_value(t), "$[0]", "array<variant>"))
+    listed = F.when(F.forall(values, lambda v: F.schema_of_variant(v) == "STRING"), F.transform(values, lambda v: F.lower(trimmed(F.try_variant_get(v, "$", "string")))))
+    parts = F.transform(F.split(t, r"[,;|\n\t]"), lambda x: F.lower(F.btrim(F.btrim(trimmed(x), F.lit('"')), F.lit("'"))))
+    return F.filter(F.coalesce(listed, parts), lambda x: x != "")
 
 
 def split_title(c: Column) -> tuple[Column, Column]:
     """(title, company) of "title - company"; no company without the separator."""
     at = F.instr(c, " - ")
-    return F.when(at > 0, stripped(F.substring(c, F.lit(1), at - 1))).otherwise(stripped(c)), F.when(at > 0, stripped(F.substring(c, at + 3, F.length(c)))).otherwise("")
+    return F.when(at > 0, trimmed(F.substring(c, F.lit(1), at - 1))).otherwise(trimmed(c)), F.when(at > 0, trimmed(F.substring(c, at + 3, F.length(c)))).otherwise("")
 
 
 def html_to_text(c: Column) -> Column:
@@ -81,13 +110,39 @@ def _urls(c: Column) -> dict[str, Column]:
     other = r"(?is)^([a-z][a-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
     is_web = t.rlike(web)
     part = lambda n: F.when(is_web, F.regexp_extract(t, web, n)).otherwise(F.regexp_extract(t, other, n))
-    place = F.regexp_replace(part(2), "^.*@", "")
+    place, scheme = F.regexp_replace(part(2), "^.*@", ""), F.lower(part(1))
+    name = F.regexp_replace(place, r":\d*$", "")
     return {
-        "scheme": F.lower(part(1)), "user": F.regexp_extract(part(2), "^(.*)@", 1), "host": F.lower(F.regexp_replace(place, r":\d*$", "")),
+        "scheme": scheme, "user": F.regexp_extract(part(2), "^(.*)@", 1), "host": F.when(is_web, web_host(name)).otherwise(F.lower(name)),
         "port": F.regexp_replace(F.regexp_extract(place, r":(\d*)$", 1), "^0+(?=.)", ""), "path": F.translate(part(3), "\\", "/"), "query": part(4), "fragment": part(5),
     }
 
 
+def web_host(name: Column) -> Column:
+    """A host as browsers write it: percent codes read, letters beyond ASCII in their xn-- form, lower case, numbers as an
+    IPv4 address. What can't be a host comes back with a character that no host may have."""
+    plain = F.when(name.contains("%"), F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), F.lit("%"))).otherwise(name)
+    folded = F.lower(F.translate(plain, "\u3002\uff0e\uff61\u00ad", "..."))
+    ascii_form = F.coalesce(F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), folded)), F.lit("%"))
+    made = F.when(folded.rlike(r"[^\x00-\x7F]"), ascii_form).otherwise(folded)
+    return F.when(F.regexp_replace(made, r"\.$", "").rlike(r"(^|\.)(\d+|0x[0-9a-f]*)$"), F.coalesce(_ipv4(made), F.lit("%"))).otherwise(made)
+
+
+def _ipv4(host: Column) -> Column:
+    """The address that one to four decimal, octal (0...) or hexadecimal (0x...) numbers name; null for anything else."""
+    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    digits = lambda x: F.when(x.startswith("0x"), F.substring(x, F.lit(3), F.length(x))).otherwise(x)
+    base = lambda x, of: F.conv(digits(x), of, 10).cast("decimal(20,0)")
+    number = lambda x: F.when(~x.rlike(IPV4_PART) | (F.length(x) > 18), None).when(x == "0x", 0).when(x.startswith("0x"), base(x, 16)).when(x.rlike("^0[0-7]+$"), base(x, 8)).otherwise(base(x, 10))
+    n = F.transform(parts, lambda x: number(x).cast("decimal(20,0)"))
+    first, last = F.slice(n, F.lit(1), F.size(n) - 1), F.element_at(n, -1)
+    room = F.get(F.array(*[F.lit(1 << k) for k in (32, 24, 16, 8)]), F.size(n) - 1)
+    fine = (F.size(n) <= 4) & F.forall(n, lambda x: x.isNotNull()) & F.forall(first, lambda x: x <= 255) & (last < room)
+    high = F.aggregate(first, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long")) * room
+    whole = high + last.cast("long")
+    return F.when(fine, F.concat_ws(".", *[(F.shiftright(whole, k) % 256).cast("string") for k in (24, 16, 8, 0)]))
+
+
 def _encoded(c: Column, keep: str) -> Column:
     """c with every character outside `keep` as the percent codes of its UTF-8 bytes."""
     return F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(f"^[{keep}]$"), x).otherwise(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")))), "")
@@ -115,8 +170,7 @@ def source_of_url(c: Column) -> Column:
 def capture_url(c: Column) -> Column:
     """The trimmed URL as a browser writes it if it is absolute http(s), else null: host in lower case, at least the
     path /, no default port, dots in the path resolved, spaces and letters beyond ASCII in percent codes, user info kept.
-
-    Hosts with letters beyond ASCII stay as they are (their ASCII form needs tables that Spark lacks)."""
+    Hosts are written as web_host says."""
     u = _urls(c)
     port = F.when(((u["scheme"] == "http") & (u["port"] == "80")) | ((u["scheme"] == "https") & (u["port"] == "443")), "").otherwise(u["port"])
     path = F.when(u["path"] == "", "/").otherwise(_encoded(_without_dots(u["path"]), KEPT_IN_PATHS))
@@ -143,6 +197,17 @@ def component_encoded(c: Column) -> Column:
     return out
 
 
+def archived(platform: Column, url: Column, title: Column, description: Column) -> Column:
+    hay = F.lower(F.concat_ws(" ", text(url), text(title), text(description)))
+    return (platform == "jobindex") & hay.rlike("|".join(ARCHIVED))
+
+
+def kept(platform: Column, url: Column, title: Column, description: Column) -> Column:
+    """Whether a result counts: it has a link, on its platform's domain (unknown platforms keep any), and isn't archived."""
+    domain = F.create_map(*[F.lit(x) for kv in PLATFORM_DOMAINS.items() for x in kv])[platform]
+    return (text(url) != "") & (domain.isNull() | F.contains(F.lower(text(url)), domain)) & ~archived(platform, url, title, description)
+
+
 def search_url(platform: Column, keywords: Column, location: Column, region: Column) -> Column:
     """The platform's search page for joined keywords; unknown platforms give null."""
     query, loc = form_encoded(F.array_join(keywords, " ")), text(location)
@@ -160,7 +225,7 @@ def search_url(platform: Column, keywords: Column, location: Column, region: Col
 
 def provider_query(platform: Column, keywords: Column, location: Column) -> Column:
     domain = F.create_map(*[F.lit(x) for kv in PLATFORM_DOMAINS.items() for x in kv])[platform]
-    return F.concat_ws(" ", F.array_join(keywords, " "), F.nullif(stripped(text(location)), F.lit("")), F.when(domain.isNotNull(), F.concat(F.lit("site:"), domain)))
+    return F.concat_ws(" ", F.array_join(keywords, " "), F.nullif(trimmed(text(location)), F.lit("")), F.when(domain.isNotNull(), F.concat(F.lit("site:"), domain)))
 
 
 def safe_file_name(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """Relations over items: filters, order, duplicates, statistics, boards, calendars, reminders, history, changes.
 
-Every function maps DataFrames to DataFrames and stays lazy. Where the first of several counts, `pos` or `id` says
-which one is first."""
+Every function maps DataFrames to DataFrames. All stay lazy but those that number rows (ranked_in_lanes, placed,
+items_in_lanes, ordered_*, calendar_cells, appended, all_ranked): ranges of the order are written to the shared folder
+first. Where the first of several counts, `pos` or `id` says which one is first."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trackwell.functions import scores, text as T
 from trackwell.functions.choices import STATUSES
+from trackwell.operators.ranks import ranked, ranked_in
 
 DATES = {"apply": "deadline", "interview": "interview_date", "start": "start_date"}
 
@@ -22,10 +24,11 @@ def search(items: DataFrame, query: str = "", hidden: list[str] | None = None) -
     return items.where(~F.col("status").isin(hidden)) if hidden else items
 
 
-def sort_keys(key: str, descending: bool, statuses: list[str]) -> list[Column]:
+def sort_keys(key: str, descending: bool, statuses: list[str], locale: str = "UNICODE") -> list[Column]:
     """The order of one key: blanks last upwards and first downwards; no priority counts as -1; unknown statuses last.
 
-    Texts are ordered as a reader would: trimmed, whatever their case, accents beside their base letters."""
+    Texts are ordered as a reader would: trimmed, whatever their case, accents beside their base letters or, with the
+    reader's locale (`da`, `sv`, `de`), where that language has them."""
     if key == "priority":
         c = F.coalesce("priority", F.lit(-1))
         return [c.desc() if descending else c.asc()]
@@ -34,13 +37,13 @@ def sort_keys(key: str, descending: bool, statuses: list[str]) -> list[Column]:
         c = F.when(at > 0, at).otherwise(len(statuses) + 1)
         return [c.desc() if descending else c.asc()]
     dates = key in ("created_at", "deadline", "interview_date", "start_date")
-    c = F.nullif(F.col(key), F.lit("")) if dates else T.lower_order(F.col(key))
+    c = F.nullif(F.col(key), F.lit("")) if dates else T.lower_order(F.col(key), locale)
     return [c.desc_nulls_first() if descending else c.asc_nulls_last()]
 
 
-def sort_order(primary: str, descending: bool, secondary: str | None = None, secondary_descending: bool = False, statuses: list[str] | None = None) -> list[Column]:
-    second = sort_keys(secondary, secondary_descending, statuses or STATUSES) if secondary else []
-    return [*sort_keys(primary, descending, statuses or STATUSES), *second, F.col("id").desc()]
+def sort_order(primary: str, descending: bool, secondary: str | None = None, secondary_descending: bool = False, statuses: list[str] | None = None, locale: str = "UNICODE") -> list[Column]:
+    second = sort_keys(secondary, secondary_descending, statuses or STATUSES, locale) if secondary else []
+    return [*sort_keys(primary, descending, statuses or STATUSES, locale), *second, F.col("id").desc()]
 
 
 def sorted_items(items: DataFrame, *args, **kw) -> DataFrame:
@@ -48,23 +51,12 @@ def sorted_items(items: DataFrame, *args, **kw) -> DataFrame:
 
 
 def ranked_in_lanes(items: DataFrame, lane: str, order: list[Column]) -> DataFrame:
-    return items.withColumn("position", F.row_number().over(Window.partitionBy(lane).orderBy(*order)).cast("long"))
+    return ranked_in(items, lane, order)
 
 
 def placed(rows: DataFrame, head: Column, descending: bool, rest: list[Column], name: str = "position") -> DataFrame:
-    """rows with their place in a global order, from 1: by head, then by rest.
-
-    Places are dealt head by head: rows of a head are ranked in a window of their own and start after all rows of the
-    heads before, so that no window holds all rows. A head is a day, a number of days or the like: the table of heads,
-    which one task adds up, is as long as the calendar."""
-    own = rows.withColumn("_head", head)
-    sizes = own.groupBy("_head").agg(F.count("*").alias("_n"))
-    order = F.col("_head").desc() if descending else F.col("_head").asc()
-    start = F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col("_head").alias("_of"), F.coalesce(start, F.lit(0)).alias("_before"))
-    ranked = own.withColumn("_rank", F.row_number().over(Window.partitionBy("_head").orderBy(*rest)))
-    joined = ranked.join(starts, F.col("_head").eqNullSafe(F.col("_of")))
-    return joined.withColumn(name, F.col("_before") + F.col("_rank")).drop("_head", "_of", "_before", "_rank")
+    """rows with their place in a global order, from 1: by head, then by rest."""
+    return ranked(rows, [head.desc() if descending else head.asc(), *rest], name)
 
 
 def first_duplicates(items: DataFrame) -> DataFrame:
@@ -88,13 +80,14 @@ def duplicate_groups(items: DataFrame) -> DataFrame:
     return items.groupBy(*keys).agg(F.min("id").alias("first_id"), F.count("*").alias("items")).where("items > 1")
 
 
-def deduplicated(results: DataFrame) -> DataFrame:
+def deduplicated(results: DataFrame, *by: str) -> DataFrame:
     """The first result by pos of each platform and URL in lower case (without URL: platform, title and company, in
-    lower case too). A null field counts as an empty one. One aggregation, combined before its shuffle."""
-    blank = T.stripped(T.text("url")) == ""
+    lower case too). A null field counts as an empty one. One aggregation, combined before its shuffle. by: columns
+    whose values keep results apart."""
+    blank = T.trimmed(T.text("url")) == ""
     fields = [F.lower(T.text(c)) for c in ("platform", "url", "title", "company")]
     key = F.when(blank, F.concat_ws("|", fields[0], *fields[2:])).otherwise(F.concat_ws("|", *fields[:2]))
-    best = results.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*results.columns), "pos").alias("_best"))
+    best = results.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], key.alias("_key")).agg(F.min_by(F.struct(*results.columns), "pos").alias("_best"))
     return best.select("_best.*")
 
 
@@ -102,9 +95,40 @@ def keyword_stats(items: DataFrame) -> DataFrame:
     return items.where("tags != ''").select(F.explode(T.parse_tags(F.col("tags"))).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("count"))
 
 
-def keyword_weights(items: DataFrame, as_of: str) -> DataFrame:
-    own = items.where("tags != ''").select(F.explode(T.parse_tags(F.col("tags"))).alias("keyword"), scores.decay(scores.age_days(F.col("created_at"), as_of)).alias("w"))
-    return own.groupBy("keyword").agg(F.sum("w").alias("weight"))
+def keyword_weights(items: DataFrame, as_of: str, keywords: list[str] | None = None) -> DataFrame:
+    """(keyword, weight): the decayed counts of all keywords, or of some. Tags are counted by keyword and date first, so
+    that an age is worked out once a date."""
+    own = items.where("tags != ''").select("created_at", F.explode(T.parse_tags(F.col("tags"))).alias("keyword"))
+    own = own.where(F.col("keyword").isin(keywords)) if keywords is not None else own
+    dated = own.groupBy("keyword", "created_at").agg(F.count("*").alias("n"))
+    return dated.groupBy("keyword").agg(F.sum(F.col("n") * scores.decay(scores.age_days(F.col("created_at"), as_of))).alias("weight"))
+
+
+def weight_partials(items: DataFrame, time_of_day: str = "00:00:00") -> DataFrame:
+    """(keyword, day, age, n): what keyword_weights needs of items for every day at a time of day (UTC).
+
+    day: the day on which a row is new at that time; null where the age doesn't depend on the day asked for (age, in
+    days; null counts as new). As many rows as keywords and days, however many items."""
+    anchor = f"1970-01-01 {time_of_day}"
+    own = items.where("tags != ''").select("created_at", F.explode(T.parse_tags(F.col("tags"))).alias("keyword"))
+    dated = own.groupBy("keyword", "created_at").agg(F.count("*").alias("n"))
+    day, age = scores.birthday(F.col("created_at"), anchor)
+    return dated.select("keyword", day.alias("day"), age.alias("age"), "n").groupBy("keyword", "day", "age").agg(F.sum("n").alias("n"))
+
+
+def merged_partials(*partials: DataFrame) -> DataFrame:
+    """Partials of several parts of the items (a day's new rows and what was there) as one."""
+    every = partials[0]
+    for p in partials[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("keyword", "day", "age").agg(F.sum("n").alias("n"))
+
+
+def weights_on(partials: DataFrame, day: str) -> DataFrame:
+    """keyword_weights of a day (YYYY-MM-DD) at the partials' time of day, without the items."""
+    since = F.greatest(F.lit(0), F.datediff(F.lit(day).cast("date"), F.col("day"))).cast("double")
+    age = F.when(F.col("day").isNotNull(), since).otherwise(F.col("age"))
+    return partials.groupBy("keyword").agg(F.sum(F.col("n") * scores.decay(age)).alias("weight"))
 
 
 def keyword_frequency(stats: DataFrame) -> DataFrame:
@@ -118,9 +142,14 @@ def locations(items: DataFrame) -> DataFrame:
     return items.where("workplace_city != ''").groupBy("workplace_city").agg(F.count("*").alias("count"))
 
 
+def wanted_keywords(keywords: list[str]) -> list[str]:
+    """The keywords whose weights scores look up."""
+    return sorted({x for k in keywords for x in (k, k.lower())})
+
+
 def scored(results: DataFrame, weights: DataFrame, keywords: list[str], as_of: str) -> DataFrame:
     """results with age_days, freshness_score, keyword_score and total_score. weights: (keyword, weight)."""
-    wanted = sorted({x for k in keywords for x in (k, k.lower())})
+    wanted = wanted_keywords(keywords)
     mine = weights.where(F.col("keyword").isin(wanted)).agg(F.map_from_entries(F.collect_list(F.struct("keyword", "weight"))).alias("_w"))  # as many as keywords
     out = results.crossJoin(F.broadcast(mine)).withColumn("age_days", scores.age_days(T.text("published_date"), as_of))
     out = out.withColumn("freshness_score", scores.freshness(F.col("age_days")))
@@ -130,18 +159,66 @@ def scored(results: DataFrame, weights: DataFrame, keywords: list[str], as_of: s
 
 def kept_results(results: DataFrame) -> DataFrame:
     """Results with a link on their platform's domain (unknown platforms keep any) that aren't archived."""
-    domain = F.create_map(*[F.lit(x) for kv in T.PLATFORM_DOMAINS.items() for x in kv])[F.col("platform")]
-    fits = domain.isNull() | F.contains(F.lower(T.text("url")), domain)
-    return results.where((T.text("url") != "") & fits & ~scores.is_archived(F.col("platform"), F.col("url"), F.col("title"), F.col("description")))
+    return results.where(T.kept(F.col("platform"), F.col("url"), F.col("title"), F.col("description")))
 
 
-def top_per_platform(ranked: DataFrame, k: int = 5) -> DataFrame:
-    w = Window.partitionBy("platform").orderBy(F.desc("total_score"), "pos")
+def _platform_place(platforms: list[str] | None) -> Column:
+    return F.array_position(F.array(*[F.lit(p) for p in (platforms or T.PLATFORM_DOMAINS)]), F.col("platform"))
+
+
+def top_per_platform(ranked: DataFrame, k: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best of each platform with platform_rank: the highest total_score first, ties as they were listed (pos)."""
+    w = Window.partitionBy(*by, "platform").orderBy(F.desc("total_score"), "pos")
     return ranked.withColumn("platform_rank", F.row_number().over(w).cast("long")).where(F.col("platform_rank") <= k)
 
 
-def top_overall(ranked: DataFrame, k: int = 5) -> DataFrame:
-    return ranked.orderBy(F.desc("total_score"), "pos").limit(k)
+def top_overall(ranked: DataFrame, k: int = 5, platforms: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best of all platforms with global_rank. The platforms' rankings come one after another, in the order in which
+    the platforms were asked for, before they are ranked together: so ties go to the platform asked first, then to the
+    better place in its ranking. Only a platform's k best can be among them."""
+    best = top_per_platform(ranked, k, by)
+    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("total_score"), _platform_place(platforms), "platform_rank")
+    return best.withColumn("global_rank", F.row_number().over(order).cast("long")).where(F.col("global_rank") <= k)
+
+
+def all_ranked(ranked_results: DataFrame, platforms: list[str] | None = None, lane: str | None = None) -> DataFrame:
+    """All results with their position in the order of top_overall, dealt over ranges; lane: a column with a ranking each."""
+    order = [F.desc("total_score"), _platform_place(platforms), F.col("platform"), F.col("pos")]
+    return ranked_in(ranked_results, lane, order) if lane else ranked(ranked_results, order)
+
+
+RESULT_FIELDS = ("pos", "platform", "title", "company", "location", "url", "description", "published_date", "freshness_score", "keyword_score", "total_score")
+# Fixed value: why a platform has no results.
+NO_RESULTS = "No API results found for this platform."
+
+
+def search_bundle(results: DataFrame, searches: DataFrame, weights: DataFrame, keywords: list[str], as_of: str, platforms: list[str], region: str = "dk", k: int = 5) -> DataFrame:
+    """A row for each search (search_id, location): global_top5, an array of results; top5_per_platform, a map from each
+    platform asked for to its own; fallback_hints, a map from each platform without results to the reason and the URL of its
+    own search page. results: search_id and a result's fields, pos in the order of its platform.
+
+    Platforms that aren't known are left out. Without keywords arrays and maps are empty, whatever there is."""
+    asked = list(dict.fromkeys(p for p in platforms if p in T.PLATFORM_DOMAINS)) if platforms else list(T.PLATFORM_DOMAINS)
+    asked = asked if keywords else []
+    one = F.struct(*RESULT_FIELDS)
+    known = results.where(F.col("platform").isin(asked)) if asked else results.limit(0)
+    ranked = scored(deduplicated(known, "search_id"), weights, keywords, as_of)
+    mine = top_per_platform(ranked, k, ("search_id",)).groupBy("search_id", "platform").agg(F.array_sort(F.collect_list(F.struct("platform_rank", one.alias("r")))).alias("_top"))
+    best = top_overall(ranked, k, asked, ("search_id",)).groupBy("search_id").agg(F.array_sort(F.collect_list(F.struct("global_rank", one.alias("r")))).alias("_best"))
+    each = searches.select("search_id", "location", F.explode(F.array(*[F.lit(p) for p in asked]).cast("array<string>")).alias("platform"))
+    each = each.join(mine, ["search_id", "platform"], "left")
+    url = T.search_url(F.col("platform"), F.array(*[F.lit(x) for x in keywords]).cast("array<string>"), F.col("location"), F.lit(region))
+    kind = f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in ranked.select(*RESULT_FIELDS).schema)}>>"
+    top = F.coalesce(F.col("_top.r"), F.array().cast(kind))
+    hint = F.when(F.col("_top").isNull(), F.struct(F.lit(NO_RESULTS).alias("reason"), url.alias("browser_url")))
+    maps = each.groupBy("search_id").agg(F.collect_list(F.struct(F.col("platform"), top.alias("top"), hint.alias("hint"))).alias("_all"))
+    hints = F.filter(F.col("_all"), lambda x: x["hint"].isNotNull())
+    told = searches.select("search_id", "location").join(best, "search_id", "left").join(maps, "search_id", "left").withColumn("_all", F.coalesce("_all", F.array().cast(maps.schema["_all"].dataType)))
+    return told.select(
+        "search_id", "location", F.coalesce(F.col("_best.r"), F.array().cast(kind)).alias("global_top5"),
+        F.map_from_entries(F.transform("_all", lambda x: F.struct(x["platform"], x["top"]))).alias("top5_per_platform"),
+        F.map_from_entries(F.transform(hints, lambda x: F.struct(x["platform"], x["hint"]))).alias("fallback_hints"),
+    )
 
 
 def preferred_provider(results: DataFrame) -> DataFrame:
@@ -163,8 +240,8 @@ def items_in_lanes(items: DataFrame, statuses: list[str], order: list[Column]) -
     without an item. Items of other statuses are in none. Within a lane the given order holds."""
     spark = items.sparkSession
     lanes = spark.createDataFrame(list(enumerate(statuses)), "lane_position long, lane string")
-    ranked = items.withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy(*order)).cast("long"))
-    return lanes.join(ranked, lanes["lane"] == ranked["status"], "left")
+    ordered = ranked_in(items.where(F.col("status").isin(statuses)), "status", order, "place")
+    return lanes.join(ordered, lanes["lane"] == ordered["status"], "left")
 
 
 def next_status(status: Column, statuses: list[str]) -> Column:
@@ -178,9 +255,20 @@ def occurrences(items: DataFrame) -> DataFrame:
     return items.select("id", "company", "title", F.explode(kinds).alias("o")).where("o.date != ''").select("id", "company", "title", "o.kind", "o.date")
 
 
-def ordered_occurrences(items: DataFrame) -> DataFrame:
-    """occurrences with their position by date, then company as a reader orders it, then id and kind."""
-    return placed(occurrences(items), F.col("date"), False, [F.collate("company", "UNICODE"), F.col("id"), F.col("kind")])
+def _as_listed(items: DataFrame) -> list[Column]:
+    """The order of a list of items, and within an item that of its dates: the latest change first."""
+    return [*([F.desc("updated_at")] if "updated_at" in items.columns else []), F.desc("id"), F.array_position(F.array(*[F.lit(k) for k in DATES]), F.col("kind"))]
+
+
+def _listed_occurrences(items: DataFrame) -> DataFrame:
+    kept = items.select("id", *[c for c in ("updated_at",) if c in items.columns])
+    return items_of_occurrences(occurrences(items), kept)
+
+
+def ordered_occurrences(items: DataFrame, locale: str = "UNICODE") -> DataFrame:
+    """occurrences with their position by date, then company as a reader orders it, then as the items are listed."""
+    found = _listed_occurrences(items)
+    return placed(found, F.col("date"), False, [F.collate("company", locale), *_as_listed(items)])
 
 
 def items_of_occurrences(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -189,14 +277,20 @@ def items_of_occurrences(found: DataFrame, items: DataFrame) -> DataFrame:
     return found.join(items.select(F.col("id").alias("_id"), *own), F.col("id") == F.col("_id"), "left").drop("_id")
 
 
+def month_grids(months: DataFrame) -> DataFrame:
+    """42 cells, Monday first, of each month (a date column of any of its days): month, cell, week, weekday, day (null
+    outside the month), date_key."""
+    first = F.trunc("month", "month")
+    cells = months.select(first.alias("month")).where("month is not null").distinct().select("month", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(41).cast("long"))).alias("cell"))
+    day = F.col("cell") - F.weekday("month") + 1
+    inside = (day >= 1) & (day <= F.day(F.last_day("month")))
+    key = F.when(inside, F.concat(F.date_format("month", "yyyy-MM-"), F.lpad(day.cast("string"), 2, "0")))
+    return cells.select("month", "cell", F.floor(F.col("cell") / 7).alias("week"), (F.col("cell") % 7).alias("weekday"), F.when(inside, day.cast("long")).alias("day"), key.alias("date_key"))
+
+
 def month_grid(spark, year: int, month: int) -> DataFrame:
-    """42 cells, Monday first: cell, week, weekday, day (null outside the month), date_key."""
-    first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
-    day = F.col("cell") - F.weekday(first) + 1
-    inside = (day >= 1) & (day <= F.day(F.last_day(first)))
-    cells = spark.range(42).select(F.col("id").alias("cell"))
-    key = F.when(inside, F.concat(F.lit(f"{year:04d}-{month:02d}-"), F.lpad(day.cast("string"), 2, "0")))
-    return cells.select("cell", F.floor(F.col("cell") / 7).alias("week"), (F.col("cell") % 7).alias("weekday"), F.when(inside, day.cast("long")).alias("day"), key.alias("date_key"))
+    """month_grids of one month."""
+    return month_grids(spark.range(1).select(F.make_date(F.lit(year), F.lit(month), F.lit(1)).alias("month"))).drop("month")
 
 
 def _in_month(found: DataFrame, year: int, month: int) -> DataFrame:
@@ -211,12 +305,12 @@ def calendar_month(items: DataFrame, year: int, month: int) -> DataFrame:
     return grid.join(days, grid["date_key"] == days["date"], "left").select("date_key", "week", "weekday", F.coalesce("n", F.lit(0)).alias("occurrences"), "first_company")
 
 
-def calendar_cells(items: DataFrame, year: int, month: int) -> DataFrame:
+def calendar_cells(items: DataFrame, year: int, month: int, locale: str = "UNICODE") -> DataFrame:
     """All 42 cells of a month with their occurrences: (cell, day, date_key, place, id, company, title, kind), a row
-    for each occurrence, in each day by company as a reader orders it; a cell without any has one row."""
-    o = _in_month(occurrences(items), year, month)
-    by_company = Window.partitionBy("date").orderBy(F.collate("company", "UNICODE"), "id", "kind")
-    o = o.withColumn("place", F.row_number().over(by_company).cast("long"))
+    for each occurrence, in each day by company as a reader orders it, then as the items are listed; a cell without any
+    has one row."""
+    o = _in_month(_listed_occurrences(items), year, month)
+    o = ranked_in(o, "date", [F.collate("company", locale), *_as_listed(items)], "place").drop("updated_at")
     grid = month_grid(items.sparkSession, year, month).select("cell", "day", "date_key")
     return grid.join(o, grid["date_key"] == o["date"], "left").drop("date")
 
@@ -233,9 +327,12 @@ def ordered_reminders(items: DataFrame, as_of: str, within: int = 14) -> DataFra
     return placed(reminders(items, as_of, within), F.col("days"), False, [F.desc("updated_at"), F.desc("id")])
 
 
+OLDEST_FIRST = ("created_at", "id")
+
+
 def documents_of(documents: DataFrame, item: int) -> DataFrame:
     """The documents of one item, oldest first."""
-    return documents.where(F.col("job_id") == item).orderBy("created_at", "id")
+    return documents.where(F.col("job_id") == item).orderBy(*OLDEST_FIRST)
 
 
 def latest_status(history: DataFrame) -> DataFrame:
@@ -260,6 +357,13 @@ def moved(items: DataFrame, moves: DataFrame, now: str) -> tuple[DataFrame, Data
     return new.withColumn("status", F.when(hit, F.col("_to")).otherwise(F.col("status"))).select(*items.columns), log
 
 
+def logged(history: DataFrame, new: DataFrame) -> DataFrame:
+    """history and new rows (job_id, from_status, to_status, changed_at), with ids after the largest one."""
+    top = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    numbered = ranked(new, [F.col("changed_at"), F.col("job_id"), F.col("to_status")], "_n").crossJoin(F.broadcast(top))  # one row
+    return history.unionByName(numbered.withColumn("id", F.col("_top") + F.col("_n")).select(*history.columns))
+
+
 def _checked(rows: DataFrame, sound: Column, message: str) -> DataFrame:
     """rows as they are; the query fails with the message if any of them isn't sound."""
     return rows.where(F.when(sound, True).otherwise(F.raise_error(F.lit(message))))
@@ -275,7 +379,7 @@ def present(ids: DataFrame, items: DataFrame) -> DataFrame:
 def updated(items: DataFrame, patch: DataFrame, fields: list[str], now: str) -> tuple[DataFrame, DataFrame]:
     """(items, history rows) after overwriting `fields` from patch (id and fields); a row only where status changed.
     A patch with a blank company fails the query. company is trimmed."""
-    company = T.stripped(T.text("company"))
+    company = T.trimmed(T.text("company"))
     p = _checked(patch, company != "", "Company is required.").select(F.col("id").alias("_id"), *[(company if c == "company" else F.col(c)).alias(f"_{c}") for c in fields])
     both = items.join(p, items["id"] == p["_id"], "left")
     hit = F.col("_id").isNotNull()
@@ -284,30 +388,13 @@ def updated(items: DataFrame, patch: DataFrame, fields: list[str], now: str) ->
     return new.select(*items.columns), log
 
 
-def _ranges(rows: DataFrame, key: str, parts: int) -> DataFrame:
-    """rows with _range: parts of about equal size in the order of a number, by its approximate quantiles (one job)."""
-    from pyspark.ml.feature import Bucketizer
-
-    cuts = rows.select(F.percentile_approx(F.col(key).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="_number", outputCol="_range").transform(rows.withColumn("_number", F.col(key).cast("double")))
-    return dealt.withColumn("_range", F.col("_range").cast("int")).drop("_number")
-
-
-def appended(items: DataFrame, new: DataFrame, now: str, blank_companies: bool = False, parts: int = 256) -> DataFrame:
+def appended(items: DataFrame, new: DataFrame, now: str, blank_companies: bool = False, parts: int | None = None) -> DataFrame:
     """items and the new rows, with ids after the largest one, in order of pos (a number, not null), and both times set.
-    An import leaves out rows with a blank company; what a caller creates (blank_companies) isn't checked.
-
-    Ids are dealt in `parts` ranges of pos, however its values are spread, so no window holds all rows; the ranges'
-    sizes are added up over a table of at most `parts` rows."""
-    rows = new if blank_companies else new.where(T.stripped(T.text("company")) != "")
-    rows = _ranges(rows, "pos", parts)
-    sizes = rows.groupBy("_range").agg(F.count("*").alias("n"))
-    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    An import leaves out rows with a blank company; what a caller creates (blank_companies) isn't checked."""
+    rows = new if blank_companies else new.where(T.trimmed(T.text("company")) != "")
     top = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy("pos"))
-    numbered = rows.withColumn("_n", own).join(F.broadcast(before), "_range").crossJoin(F.broadcast(top))  # `parts` rows; one row
-    made = numbered.withColumn("id", F.col("_top") + F.col("_before") + F.col("_n")).withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now))
+    numbered = ranked(rows.drop("id"), [F.col("pos")], "_n", parts).crossJoin(F.broadcast(top))  # one row
+    made = numbered.withColumn("id", F.col("_top") + F.col("_n")).withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now))
     return items.unionByName(made.select(*[c for c in items.columns if c in made.columns]), allowMissingColumns=True)
 
 

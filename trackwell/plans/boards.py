@@ -25,9 +25,10 @@ def item_by_id(spark: SparkSession, sf: str) -> DataFrame:
     return V.items(spark, sf).where(F.col("id") == ITEM).select("id", "company", "title", "status", "deadline", "pdf_path")
 
 
-@query(f"with {LOG} select id, to_status, changed_at from log where job_id = {ITEM}")
+@query(f"with {LOG} select id, to_status, changed_at, row_number() over (order by changed_at desc, id desc) as position from log where job_id = {ITEM}")
 def history_of_item(spark: SparkSession, sf: str) -> DataFrame:
-    return V.log(spark, sf).where(F.col("job_id") == ITEM).select("id", "to_status", "changed_at").orderBy(F.desc("changed_at"), F.desc("id"))
+    own = V.log(spark, sf).where(F.col("job_id") == ITEM).select("id", "to_status", "changed_at")
+    return I.ranked(own, [F.desc("changed_at"), F.desc("id")])
 
 
 @query(f"with {DOCUMENTS} select job_id, id, case doc_type when 'cv' then 'CV' else doc_type end as label from documents_of_items")

@@ -73,7 +73,7 @@ def location_suggestions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    weights = I.keyword_weights(V.items(spark, sf), AS_OF)
+    weights = I.keyword_weights(V.items(spark, sf), AS_OF, I.wanted_keywords(WORDS))
     return I.scored(I.deduplicated(V.results(spark, sf)), weights, WORDS, AS_OF)
 
 
@@ -83,7 +83,7 @@ def ranked_top5_per_platform(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("platform", "platform_rank", "pos", "url", *[F.round(c, 6).alias(c) for c in ("freshness_score", "keyword_score", "total_score")])
 
 
-@query(f"with {RESULTS}, {DEDUPED}, {SCORED} select pos, platform, round(total_score, 6) as total_score from ranked order by ranked.total_score desc, pos limit 5")
+@query(f"with {RESULTS}, {DEDUPED}, {SCORED} select pos, platform, round(total_score, 6) as total_score from ranked order by ranked.total_score desc, list_position(['jobindex', 'indeed', 'linkedin', 'thehub'], platform), pos limit 5")
 def ranked_global_top5(spark: SparkSession, sf: str) -> DataFrame:
     return I.top_overall(_ranked(spark, sf)).select("pos", "platform", F.round("total_score", 6).alias("total_score"))
 
@@ -142,12 +142,14 @@ def date_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     return I.occurrences(V.items(spark, sf))
 
 
-GRID = "grid as (select c as cell, c // 7 as week, c % 7 as weekday, case when c - 5 between 1 and 31 then c - 5 end as day from range(42) t(c))"  # March 1997 begins on a Saturday
+GRID = """grid as (select month::date as month, c as cell, c // 7 as week, c % 7 as weekday, case when c - first >= 0 and c - first < n then c - first + 1 end as day
+  from (select month, isodow(month) - 1 as first, extract(day from last_day(month)) as n from (select distinct date_trunc('month', deadline::date) as month from items where deadline is not null)), range(42) t(c))"""
 
 
-@query(f"with {GRID} select cell, week, weekday, day, case when day is not null then '1997-03-' || lpad(day::varchar, 2, '0') end as date_key from (select cell, week, weekday, cell - 4 as d0, case when cell - 4 between 1 and 31 then cell - 4 end as day from grid)")
+@query(f"with {ITEMS}, {GRID} select month, cell, week, weekday, day, case when day is not null then strftime(month, '%Y-%m-') || lpad(day::varchar, 2, '0') end as date_key from grid")
 def month_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return I.month_grid(spark, 1997, 3)
+    """The cells of every month in which an item has its deadline."""
+    return I.month_grids(V.items(spark, sf).select(F.col("deadline").try_cast("date").alias("month")))
 
 
 @query(f"with {ITEMS}, {OCCURRENCES}, cells as (select c as cell, '1997-03-' || lpad((c - 4)::varchar, 2, '0') as date_key from range(42) t(c) where c - 4 between 1 and 31) select date_key, cell // 7 as week, cell % 7 as weekday, count(id) as occurrences, min(company) as first_company from cells left join occurrences on date = date_key group by 1, 2, 3")

@@ -21,7 +21,7 @@ def ordered_reminders(spark: SparkSession, sf: str) -> DataFrame:
     return I.ordered_reminders(V.items(spark, sf), AS_OF).select("id", "days", "position")
 
 
-@query(f'with {ITEMS}, {OCCURRENCES} select id, kind, date, row_number() over (order by date, company collate "en", id, kind) as position from occurrences')
+@query(f'with {ITEMS}, {OCCURRENCES} select id, kind, date, row_number() over (order by date, company collate "en", updated_at desc, id desc, kind) as position from occurrences join (select id, updated_at from items) using (id)')
 def ordered_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     return I.ordered_occurrences(V.items(spark, sf)).select("id", "kind", "date", "position")
 
@@ -43,7 +43,7 @@ def lane_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {ITEMS}, {OCCURRENCES}, cells as (select c as cell, case when c - 4 between 1 and 31 then c - 4 end as day, case when c - 4 between 1 and 31 then '1997-03-' || lpad((c - 4)::varchar, 2, '0') end as date_key from range(42) t(c))
-select cell, day, date_key, id, kind, case when id is not null then row_number() over (partition by date_key order by company collate "en", id, kind) end as place from cells left join occurrences on date = date_key""")
+select cell, day, date_key, id, kind, case when id is not null then row_number() over (partition by date_key order by company collate "en", updated_at desc, id desc, kind) end as place from cells left join (select * from occurrences join (select id, updated_at from items) using (id)) on date = date_key""")
 def calendar_cells(spark: SparkSession, sf: str) -> DataFrame:
     return I.calendar_cells(V.items(spark, sf), 1997, 3).select("cell", "day", "date_key", "id", "kind", "place")
 
@@ -54,10 +54,17 @@ def occurrence_items(spark: SparkSession, sf: str) -> DataFrame:
     return I.items_of_occurrences(I.occurrences(every), every.where("id % 4 != 0")).select("id", "kind", "date", "status", "url")
 
 
-@query(f"with {DOCUMENTS} select id, doc_type, file_path from documents_of_items where job_id = 60")
+@query(f"with {DOCUMENTS}, d as (select *, id % 10 * 20 as job, strftime(date '2001-01-01' + (id * 7919 % 1000)::int, '%Y-%m-%d') as created_at from documents_of_items) select id, doc_type, file_path, created_at, row_number() over (order by created_at, id) as position from d where job = 80")
 def documents_of_item(spark: SparkSession, sf: str) -> DataFrame:
-    d = V.documents(spark, sf).withColumn("created_at", F.lit(NOW))
-    return I.documents_of(d, 60).select("id", "doc_type", "file_path")
+    k = F.col("id")
+    created = F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (k * 7919 % 1000).cast("int")), "yyyy-MM-dd")
+    d = V.documents(spark, sf).withColumns({"job_id": k % 10 * 20, "created_at": created})
+    return I.ranked(I.documents_of(d, 80), list(I.OLDEST_FIRST)).select("id", "doc_type", "file_path", "created_at", "position")
+
+
+@query(f"with {ITEMS} select id, updated_at, row_number() over (order by updated_at desc, id desc) as position from items")
+def listed_items(spark: SparkSession, sf: str) -> DataFrame:
+    return I.ranked(V.items(spark, sf), [F.desc("updated_at"), F.desc("id")]).select("id", "updated_at", "position")
 
 
 @query(f"""with {ITEMS} select id, url, coalesce(case when id % 4 > 1 and url is not null then company end, '') as company, case when id % 4 > 1 and url is not null then title end as title, case when url is not null then lower(regexp_extract(url, '//www\\.([^/]+)', 1)) end as source,
@@ -118,10 +125,11 @@ def added_dates(spark: SparkSession, sf: str) -> DataFrame:
     return V.items(spark, sf).select("id", scores.added_date(given).alias("added"))
 
 
-@query("select c::bigint as cell, (['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'])[c % 7 + 1] as label from range(42) t(c)")
+@query(f"with {ITEMS}, {OCCURRENCES} select (['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'])[isodow(date::date)] as label, count(*) as occurrences from occurrences group by 1")
 def weekday_labels(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in choices.WEEKDAYS])
-    return I.month_grid(spark, 1997, 3).select("cell", F.get(names, F.col("weekday").cast("int")).alias("label"))
+    day = F.weekday(F.col("date").try_cast("date"))
+    return I.occurrences(V.items(spark, sf)).groupBy(F.get(names, day).alias("label")).agg(F.count("*").alias("occurrences"))
 
 
 @query(f"with {ITEMS} select id, company as listing from items")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackwell.plans import boards, odd, queries as plans, relations  # noqa: F401  (they add their queries)
+from trackwell.plans import boards, odd, queries as plans, relations, searches, stores  # noqa: F401  (they add their queries)
 
 
 def queries() -> dict:

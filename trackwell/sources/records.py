@@ -21,22 +21,56 @@ _REQUIRED = ("id", "company", "status", "created_at", "updated_at")
 ITEM_SCHEMA = StructType([StructField(c, LongType() if c in ("id", "priority") else StringType(), c not in _REQUIRED) for c in ITEM_FIELDS])
 HISTORY_SCHEMA = StructType([StructField("id", LongType(), False), StructField("job_id", LongType(), False), StructField("from_status", StringType()), StructField("to_status", StringType(), False), StructField("changed_at", StringType(), False)])
 DOCUMENT_SCHEMA = StructType([StructField("id", LongType(), False), StructField("job_id", LongType(), False), *[StructField(c, StringType(), False) for c in ("doc_type", "original_name", "file_path", "created_at")]])
-# Where each provider's payload has its rows, and the fields.
+# Where each provider's payload has its rows, and the keys of link, title, description and date.
 PROVIDERS = {
-    "serp": ("organic_results array<struct<link:string,title:string,snippet:string,date:string>>", "p.organic_results", ("link", "title", "snippet", "date")),
-    "brave": ("web struct<results:array<struct<url:string,title:string,description:string,page_age:string>>>", "p.web.results", ("url", "title", "description", "page_age")),
+    "serp": ("organic_results", ("link", "title", "snippet", "date")),
+    "brave": ("web.results", ("url", "title", "description", "page_age")),
 }
 
 
+def result_list(payload: Column, provider: str, limit: int = 400) -> Column:
+    """The results in a provider's payload, array<struct<place, url, title, company, description, published_date>>; null if
+    the payload isn't JSON. Where the list should be and isn't one, there are no results; of an item that isn't an
+    object, and of a field that isn't a string, nothing is known. A result without title is "Untitled"."""
+    path, keys = PROVIDERS[provider]
+    value = T.json_value(payload)
+    items = F.coalesce(F.try_variant_get(value, f"$[0].{path}", "array<variant>"), F.array().cast("array<variant>"))
+
+    def one(item: Column, place: Column) -> Column:
+        url, title, description, date = (T.string_at(item, f"$.{k}") for k in keys)
+        name, company = T.split_title(F.coalesce(title, F.lit("Untitled")))
+        return F.struct(place.alias("place"), T.text(url).alias("url"), name.alias("title"), company.alias("company"), F.substring(T.text(description), 1, limit).alias("description"), T.text(date).alias("published_date"))
+
+    return F.when(value.isNotNull(), F.transform(items, one))
+
+
 def provider_results(payloads: DataFrame, provider: str, limit: int = 400) -> DataFrame:
     """payloads (payload_id, platform, location, payload) to a row a result: url, title, company, description,
-    published_date, and its place in the payload. A result without title is "Untitled". A missing array gives no rows; a
-    payload that isn't JSON fails."""
-    schema, path, (url, title, description, date) = PROVIDERS[provider]
-    rows = payloads.withColumn("p", F.from_json("payload", schema, {"mode": "FAILFAST"}))
-    each = rows.select("payload_id", "platform", "location", F.posexplode(path).alias("place", "r"))
-    name, company = T.split_title(F.coalesce(F.col(f"r.{title}"), F.lit("Untitled")))
-    return each.select("payload_id", "platform", "location", "place", T.text(f"r.{url}").alias("url"), name.alias("title"), company.alias("company"), F.substring(T.text(f"r.{description}"), 1, limit).alias("description"), T.text(f"r.{date}").alias("published_date"))
+    published_date, and its place in the payload. A payload that isn't JSON fails the query."""
+    found = F.coalesce(result_list(F.col("payload"), provider, limit), F.raise_error(F.lit("payload is not JSON")))
+    each = payloads.select("payload_id", "platform", "location", F.explode(found).alias("r"))
+    return each.select("payload_id", "platform", "location", "r.*")
+
+
+def platform_results(payloads: DataFrame, providers: list[str], limit: int = 400) -> DataFrame:
+    """payloads (search_id, platform, provider, location, payload) to the results of each search and platform, of the
+    first of the providers that has any left: (search_id, platform, location, pos and the fields of a result).
+
+    Results count if they have a link on the platform's domain and aren't archived. A payload that isn't JSON fails the query,
+    unless a provider before it has results. No providers (no keys for them) are an error."""
+    if not providers:
+        raise ValueError("No search provider: a key for one of them is needed.")
+    order = F.array(*[F.lit(p) for p in providers])
+    asked = payloads.where(F.col("provider").isin(providers)).withColumn("_nth", F.array_position(order, F.col("provider")))
+    lists = F.lit(None)
+    for p in providers:
+        lists = F.when(F.col("provider") == p, result_list(F.col("payload"), p, limit)).otherwise(lists)
+    kept = F.filter(lists, lambda r: T.kept(F.col("platform"), r["url"], r["title"], r["description"]))
+    tried = asked.select("search_id", "platform", "location", "_nth", kept.alias("_list")).where("_list is null or size(_list) > 0")
+    first = tried.groupBy("search_id", "platform").agg(F.min_by(F.struct("location", "_list"), "_nth").alias("f"))
+    found = F.when(F.col("f._list").isNotNull(), F.col("f._list")).otherwise(F.raise_error(F.lit("payload is not JSON")))
+    each = first.select("search_id", "platform", "f.location", F.explode(found).alias("r"))
+    return each.select("search_id", "platform", "location", F.col("r.place").cast("long").alias("pos"), "r.url", "r.title", "r.company", "r.description", "r.published_date")
 
 
 def import_columns(field) -> dict[str, Column]:
@@ -55,7 +89,7 @@ def coerced(rows: DataFrame) -> DataFrame:
 
 def importable(rows: DataFrame, from_csv: bool = False) -> DataFrame:
     """Rows with a company; a CSV import also leaves out the literal Unknown."""
-    out = rows.where(T.stripped(F.col("company")) != "")
+    out = rows.where(T.trimmed(F.col("company")) != "")
     return out.where("company != 'Unknown'") if from_csv else out
 
 
@@ -85,15 +119,50 @@ def csv_cells(line: Column) -> Column:
 
 
 def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV import line by line (csv_cells); the first line names the columns, lines like it elsewhere are passed over."""
-    lines = spark.read.text(path).where("value != ''")
-    head = lines.first()
-    if head is None:
-        return importable(coerced(lines.drop("value")), from_csv=True)
-    names = [n.strip().removeprefix('"').removesuffix('"').strip() for n in head["value"].split(",")]
-    cells = lines.where(F.col("value") != head["value"]).select(csv_cells(F.col("value")).alias("c"))
-    known = {n: i for i, n in enumerate(names) if n in EXPORT_FIELDS and n != "id"}
-    return importable(coerced(cells.select(*[F.get("c", F.lit(i)).alias(n) for n, i in known.items()])), from_csv=True)
+    """A CSV import line by line (csv_cells). The first line with anything in it names the columns of its own file, so a
+    folder may hold files with other columns in other orders; lines like it are passed over. Columns of other names are
+    ignored, absent ones null, and a file without lines gives no rows."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    lines = lines.where("value != ''")
+    heads = lines.groupBy("_file").agg(F.min_by("value", F.struct("_block", "_line")).alias("_head"))  # a row a file
+    names = F.transform(F.split("_head", ","), lambda n: T.stripped(F.regexp_replace(T.stripped(n), '^"|"$', "")))
+    rows = lines.join(heads.withColumn("_names", names), "_file").where("value != _head").withColumn("_cells", csv_cells(F.col("value")))
+
+    def cell(name: str) -> Column:
+        at = F.array_position("_names", F.lit(name)).cast("int")
+        return F.when(at > 0, F.get("_cells", at - 1)).alias(name)
+
+    return importable(coerced(rows.select(*[cell(n) for n in EXPORT_FIELDS if n != "id"])), from_csv=True)
+
+
+def read_generations(spark: SparkSession, paths: list[str], schema: StructType) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    """(rows, changes): Parquet folders that were written with fewer columns, others, or other types, as rows of schema.
+
+    Missing columns are null. A value that the wanted type can't hold fails the query; it never turns into null. changes
+    has (folder, column, what): "added" for a missing column, "<old> to <new>" for another type, "left out" for one
+    that schema lacks. Only the folders' footers are read for it."""
+    parts, changes = [], []
+    for path in paths:
+        own = spark.read.option("mergeSchema", True).parquet(path)
+        have = {f.name: f.dataType for f in own.schema}
+        columns = []
+        for f in schema:
+            if f.name not in have:
+                changes.append((path, f.name, "added"))
+                columns.append(F.lit(None).cast(f.dataType).alias(f.name))
+            elif have[f.name] == f.dataType:
+                columns.append(F.col(f.name))
+            else:
+                changes.append((path, f.name, f"{have[f.name].simpleString()} to {f.dataType.simpleString()}"))
+                cast = F.col(f.name).try_cast(f.dataType)
+                lost = F.raise_error(F.concat(F.lit(f"{f.name} of {path} can't be {f.dataType.simpleString()}: "), F.col(f.name).cast("string")))
+                columns.append(F.when(cast.isNotNull() | F.col(f.name).isNull(), cast).otherwise(lost.cast(f.dataType)).alias(f.name))
+        changes += [(path, c, "left out") for c in have if c not in schema.names]
+        parts.append(own.select(*columns))
+    rows = parts[0] if parts else spark.createDataFrame([], schema)
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows, changes
 
 
 def csv_line(columns: tuple[str, ...] = EXPORT_FIELDS) -> Column:
