@@ -301,6 +301,7 @@ def without_repeats(docs: DataFrame, length: int = 200, bucket_rows: int = 30_00
     """doc_id, kept (the bytes that stay), n_bytes, removed: array of the maximal runs (start, stop) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cut = spans(rows, length, bucket_rows).groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))
+    cut = scratch(cut, "cuts")  # a row a text, so that the join can split a text with very many copies
     both = rows.select("doc_id", "text", *text_key(F.col("text"))).join(cut, KEY, "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator) -> Iterator:
