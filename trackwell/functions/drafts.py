@@ -49,13 +49,12 @@ KEYS = tuple(dict.fromkeys(k for keys in ALIASES.values() for k in keys))
 
 
 def _parsed(c: Column) -> Column:
-    """The values of an object's known keys, fields k0, k1 and so on; null where the text isn't one JSON object. Of a
-    repeated key the last value counts."""
+    """A list with the values of an object's known keys, fields k0, k1 and so on, as its one element; null or of another
+    length where the text isn't one JSON object. Of a repeated key the last value counts."""
     asked = "array<struct<" + ",".join(f"{k}:variant" for k in KEYS) + ">>"
     plain = "array<struct<" + ",".join(f"k{i}:variant" for i in range(len(KEYS))) + ">>"  # two keys may differ in case only
     whole = F.from_json(F.concat(F.lit("["), c, F.lit("]")), asked, {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
-    one = F.when(c.startswith("{") & c.endswith("}"), whole).cast(plain)  # in a list, so that nothing may follow the object
-    return F.when(F.size(one) == 1, F.get(one, F.lit(0)))
+    return F.when(c.startswith("{") & c.endswith("}"), whole).cast(plain)  # in a list, so that nothing may follow the object
 
 
 def work_mode(c: Column) -> Column:
@@ -74,8 +73,10 @@ def drafted(df: DataFrame, answer: Column) -> DataFrame:
     rows = df.withColumn("_raw", stripped(text(answer)))
     bare = F.regexp_replace(F.regexp_replace("_raw", r"(?iU)^```(?:json)?\s*", ""), r"(?iU)\s*```\s*\z", "")
     rows = rows.withColumn("_bare", F.when(F.col("_raw").startswith("```") | F.col("_raw").endswith("```"), bare).otherwise(F.col("_raw")))
+    one = lambda c: F.when(F.size(c) == 1, F.get(c, F.lit(0)))
     rows = rows.withColumn("_first", _parsed(F.col("_bare")))
-    rows = rows.withColumn("_got", F.coalesce("_first", F.when(F.col("_bare") != F.col("_raw"), _parsed(F.col("_raw")))))
+    rows = rows.withColumn("_second", F.when((F.col("_bare") != F.col("_raw")) & one(F.col("_first")).isNull(), _parsed(F.col("_raw"))))
+    rows = rows.withColumn("_got", F.coalesce(one(F.col("_first")), one(F.col("_second"))))
     value = lambda key: F.col(f"_got.k{KEYS.index(key)}")
     rows = rows.withColumn("_strings", F.array(*[F.nullif(stripped(_string(value(k))), F.lit("")) for k in KEYS]))
     fields = {name: F.coalesce(*[F.get("_strings", F.lit(KEYS.index(k))) for k in keys]) for name, keys in ALIASES.items()}
