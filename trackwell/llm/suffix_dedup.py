@@ -286,7 +286,9 @@ def spans(docs: DataFrame, length: int = 200, bucket_rows: int = 30_000) -> Data
     parts = max(spark.sparkContext.defaultParallelism, -(-total // bucket_rows))
     suffixes = scratch(_suffixes(one.join(left, KEY), length), "suffixes")
     discard(left)
-    buckets = scratch(_buckets(suffixes.repartitionByRange(parts, "right", "left", *KEY), length), "spans")
+    # Leading bytes are the ranges' key, and few of them, as the driver samples keys; a hash parts what begins alike.
+    leading = [F.substring("right", 1, GRAM + 8), F.substring("left", 1, 8), F.xxhash64("right", "left"), *KEY]
+    buckets = scratch(_buckets(suffixes.repartitionByRange(parts, *leading), length), "spans")
     discard(suffixes)
     own = buckets.where("w1 is null")
     across = buckets.where("w1 is not null")
