@@ -30,19 +30,20 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-# What a browser's trim takes off, beside spaces, tabs and line ends.
-BROWSER_WHITE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# What Unicode calls white space, and what a browser's trim takes off.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BROWSER_WHITE = WHITE.replace("\x85", "") + "\ufeff"
 
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends, as a browser trims: U+FEFF goes, U+0085 stays."""
-    return F.regexp_replace(c, rf"^{BROWSER_WHITE}+|{BROWSER_WHITE}+\z", "")
+    return F.btrim(c, F.lit(BROWSER_WHITE))
 
 
 def trimmed(c: Column) -> Column:
     """Without what Unicode calls white space at both ends: U+0085 goes, U+FEFF stays. Tags, titles, ages and the company of
     a saved row are trimmed like this."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def json_value(c: Column) -> Column:
