@@ -9,7 +9,9 @@
    share is dealt over many tasks) and the rank says which sequence and offset it takes.
 
 The plan that is broadcast has a row for each length of each pattern: its size depends on the capacity, not on the
-corpus. Null texts count as empty (one final id). Repeated rows are packed as often as they occur; an empty table
+corpus. Null texts count as empty (one final id). Repeated rows are packed as often as they occur; equal pieces are one
+row with a count until they have their ranks, dealt in shares of bounded size, so that no row that recurs very often, an
+empty text without id for one, is the work of one task. Texts of any length are read whole, in pieces; an empty table
 gives no rows; other columns are ignored."""
 
 from __future__ import annotations
@@ -158,19 +160,24 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 def packed(docs: DataFrame, path: str | None = None, capacity: int = 4096, units: int = 256, salt_rows: int = 20_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = scratch(pieces(docs, path or default_path(), capacity), "pieces")
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    cut = pieces(docs, path or default_path(), capacity).groupBy(*kept).agg(F.count("*").alias("times"))  # equal pieces are one row
+    cut = scratch(cut, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
-    for r in cut.groupBy("length").count().collect():  # at most `capacity` rows
-        counts[r["length"]] = r["count"]
+    for r in cut.groupBy("length").agg(F.sum("times").alias("n")).collect():  # at most `capacity` rows
+        counts[r["length"]] = r["n"]
     plan = spark.sparkContext.broadcast(places(pattern_plan(counts, capacity, units)))
     salts = spark.createDataFrame(pd.DataFrame({"length": np.arange(1, capacity + 1), "salts": -(-counts[1:] // salt_rows)}), "length long, salts long")
-    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.greatest("salts", F.lit(1)))).drop("salts")
-    sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    share = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / salt_rows)))  # of a piece that recurs very often, `salt_rows` a share
+    shared = cut.withColumn("share", share).withColumn("times", F.least(F.lit(salt_rows), F.col("times") - F.col("share") * salt_rows))
+    salted = shared.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(*kept, "share"), F.greatest("salts", F.lit(1)))).drop("salts")
+    sums = salted.groupBy("length", "salt").agg(F.sum("times").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("own", F.row_number().over(own)).join(base, ["length", "salt"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"))
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32", "share").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = salted.withColumn("own", F.coalesce(F.sum("times").over(own), F.lit(0))).join(base, ["length", "salt"])
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))
+    ranked = ranked.select(*kept, (F.col("base") + F.col("own")).alias("rank"), nth.alias("nth")).withColumn("rank", F.col("rank") + F.col("nth"))
 
     key = F.shiftleft("length", 40) + F.col("rank")
 
@@ -180,5 +187,4 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = 4096, units
         nth = key - p["key"][i]
         return [p["sequence"][i] + nth // p["each"][i], p["offset"][i] + nth % p["each"][i] * (key >> 40)]
 
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return mapped(ranked.select(*kept, key.alias("key")), "key", kept, "sequence_id long, offset long", place, group=8192)
