@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on the windows of labelled texts. A window is a word with its borders, lower
-case, each character written as four fixed bytes so that zstd's whole-byte lengths are fine enough for a word; words of
-under four letters are no windows. The ordinary dictionary comes first, from the windows that recur in ordinary texts.
+case, each character written as four fixed bytes so that zstd's whole-byte lengths are fine enough for a word; over a
+run of more than 16 letters (a script without spaces) windows of eight letters slide, letter by letter. The ordinary dictionary comes first, from the windows that recur in ordinary texts.
 The toxic one is trained on what is left for it to say: windows that recur in toxic texts (in `least` texts, whatever
 the sample) and that the ordinary dictionary can't compress. Windows of ordinary texts that the toxic dictionary
 compresses better nonetheless then go into the ordinary one.
@@ -16,7 +16,7 @@ falling. (Wider windows were tried; the README has the figures.)
 The model is fitted on a bounded sample: at most `sample` labelled documents a class, by hash of doc_id, copies
 counted once; all of their windows count. Whole texts are scored, whatever their length; repeated rows get the same
 score. Null and empty texts have no window and get the lowest score. Without learning documents of both classes every
-score is 0. Two labels of one document count as the higher one."""
+score is 0. Two labels of one document, or of equal texts, count as the higher one."""
 
 from __future__ import annotations
 
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from trackwell.llm.common import discard, mapped, scratch
 from trackwell.llm.language_id import held_out
 
-WORD = re.compile(r"[^\W\d_]{4,}")
+WORD = re.compile(r"[^\W\d_]+")
+LONG, PIECE = 16, 8  # letters of a run that is more than a word (scripts without spaces), and of the windows that slide over it
 GRID = tuple(round(0.02 * i, 2) for i in range(15, 50))
 # A deep search of the whole dictionary: the usual levels give up after a few places that begin alike.
 SEARCH = zstandard.ZstdCompressionParameters(
@@ -60,7 +61,13 @@ def widened(text: str) -> bytes:
 
 def window_counts(text: str | None) -> Counter:
     """The windows of a text with how often each occurs."""
-    return Counter(WORD.findall((text or "").lower()))
+    out: Counter = Counter()
+    for word in WORD.findall((text or "").lower()):
+        if len(word) <= LONG:
+            out[word] += 1
+        else:
+            out.update(word[i : i + PIECE] for i in range(0, len(word) - PIECE + 1))
+    return out
 
 
 def dictionary(words: dict[str, int], size: int) -> str:
@@ -125,12 +132,12 @@ class Model:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of at most `sample` labelled documents a class, copies once."""
+    """(text, toxic) of at most `sample` labelled documents a class, copies once, with the higher of their labels."""
     rows = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     pick = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     ids = pick[0].union(pick[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    return texts.join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("text", "toxic")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, least: int = 5) -> Model:
