@@ -15,6 +15,7 @@ their own with the same result. Texts of any length are read whole, in blocks of
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -132,22 +133,51 @@ def resemblance(a: Column, b: Column, sketch: int) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(F.array_intersect(union, a), b)), F.size(union)), F.lit(1.0))
 
 
-def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, sketch: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame, sketch: int, similarity: float, block: int = 2000) -> DataFrame:
     """The pairs (u, v) whose five-word shingle sets have a Jaccard similarity of `similarity` or more.
 
-    The sketches only discard strangers (an estimate of five standard errors less); whole sets decide all others."""
+    The sketches only discard strangers (an estimate of five standard errors less); whole sets decide all others. Of a
+    pair the document with more links is the centre. A centre's links come in blocks of about `block`, and its set
+    travels once a block, however many links it has; the others' sets travel once a link."""
     clear = similarity - 5 * (similarity * (1 - similarity) / sketch) ** 0.5
     left, right = (marked.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "uv")
     near = pairs.join(left, "u").join(right, "v").where(resemblance(F.col("su"), F.col("sv"), sketch) >= clear)
     near = scratch(near.select("u", "v"), "near")
-    asked = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().join(marked, "doc_id")
-    sets = scratch(shingle_sets(asked, docs), "shingles")
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
-    both = near.join(left, "u").join(right, "v")
-    both = both.select("u", "v", F.size(F.array_intersect("su", "sv")).alias("shared"), (F.size("su") + F.size("sv")).alias("sum"))
-    out = scratch(both.where(F.col("shared") >= similarity * (F.col("sum") - F.col("shared"))).select("u", "v"), "links")
-    discard(near)
-    discard(sets)
+    ends = near.select(F.explode(F.array("u", "v")).alias("doc_id"))
+    degrees = scratch(ends.groupBy("doc_id").agg(F.count("*").alias("n")), "degrees")
+    sets = scratch(shingle_sets(degrees.join(marked, "doc_id"), docs), "shingles")
+    nu, nv = (degrees.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
+    more = F.col("nu") >= F.col("nv")
+    links = near.join(nu, "u").join(nv, "v").select(F.when(more, F.col("u")).otherwise(F.col("v")).alias("centre"), F.when(more, F.col("v")).otherwise(F.col("u")).alias("leaf"), F.greatest("nu", "nv").alias("n"))
+    links = scratch(links.select("centre", "leaf", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / block)).alias("part")), "blocks")
+    own = sets.select(F.col("doc_id").alias("leaf"), "shingles")
+    leaves = links.join(own, "leaf").select("centre", "part", "leaf", "shingles", F.lit(1).alias("kind"))
+    centres = links.select("centre", "part").distinct().join(own.withColumnRenamed("leaf", "centre"), "centre").select("centre", "part", F.lit(None).cast("long").alias("leaf"), "shingles", F.lit(0).alias("kind"))
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        centre = np.empty(0, np.int64)
+        for b in batches:
+            kinds, lists = b.column("kind").to_pylist(), b.column("shingles")
+            found = []
+            for i, kind in enumerate(kinds):
+                own = np.sort(lists.slice(i, 1).flatten().to_numpy())
+                if not kind:
+                    centre = own
+                    continue
+                at = np.minimum(np.searchsorted(centre, own), max(0, len(centre) - 1))
+                shared = int((centre[at] == own).sum()) if len(centre) else 0
+                if shared >= similarity * (len(centre) + len(own) - shared):
+                    found.append(i)
+            hit = b.take(pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays([hit.column("centre"), hit.column("leaf")], names=["a", "b"])
+
+    blocks = centres.unionByName(leaves).repartition("centre", "part").sortWithinPartitions("centre", "part", "kind")
+    hits = blocks.mapInArrow(compare, "a long, b long")
+    out = scratch(hits.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), "links")
+    for used in (near, degrees, sets, links):
+        discard(used)
     return out
 
 
