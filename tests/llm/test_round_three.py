@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from trackwell.llm import packing, toxicity
+from trackwell.llm import nearest, packing, toxicity
 
 
 def test_equal_rows_are_packed_apart(spark):
@@ -56,3 +58,32 @@ def test_toxic_passages_without_spaces(spark):
 def test_short_words_are_windows():
     assert set(toxicity.window_counts("An ox is ok")) == {"an", "ox", "is", "ok"}
     assert len(toxicity.window_counts("x" * 17)) == 1 and sum(toxicity.window_counts("abcdefghijklmnopqrst").values()) == 13
+
+
+def test_a_crowded_cell_has_a_tree_of_its_own(spark):
+    """Most vectors fall into few cells; parts of them are found by a second tree, and recall stays."""
+    rng = np.random.default_rng(11)
+    rows = np.vstack([rng.normal(0, 1, (4000, 24)) * np.r_[[3.0] * 4, [0.4] * 20], rng.normal(60, 0.5, (200, 24))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    asked = F.col("vec_id") % 50 == 0
+    got = nearest.nearest(df, asked, levels=2, cell_rows=500, part_rows=100, part_sample=400, block=20).collect()
+    found: dict[int, list] = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, len(rows), 50):
+        d = np.sqrt(((rows - rows[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(len(d)), d)) if i != q][:10]
+        assert len(found[q]) == 10 and all(abs(s - d[i]) < 1e-9 for i, s in found[q])
+        hits += len({i for i, _ in found[q]} & set(want))
+    assert hits / (10 * len(found)) >= 0.95
+
+
+def test_long_vectors(spark):
+    """Vectors of 3,000 numbers, and a sample of bounded bytes."""
+    rng = np.random.default_rng(12)
+    rows = rng.normal(size=(120, 3000))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, F.col("vec_id") == 7, k=3, cell_rows=30, part_rows=40, sample_bytes=1 << 20, sure=0.9999).orderBy("rank").collect()
+    d = np.sqrt(((rows - rows[7]) ** 2).sum(1))
+    assert [r["vec_id"] for r in got] == [int(i) for i in np.argsort(d)[1:4]]

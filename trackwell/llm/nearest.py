@@ -2,14 +2,15 @@
 
 Vectors are projected to m dimensions with fixed Gaussian (2-stable) directions: the squared projected distance of
 two vectors at distance d is d^2 times a chi-squared variable with m degrees of freedom. A kd-tree over the
-projections, its upper levels fitted on a bounded sample (`sample` vectors, at most 2^`levels` cells) and applied to
-every row, deals the rows into cells; cells of more than `part_rows` rows are dealt into parts, and a part goes on down
-to leaves. A query takes its neighbours in order of projected distance, leaf by leaf, and verifies each by the exact
+projections, its upper levels fitted on a bounded sample (`sample` vectors of `sample_bytes` in all, at most 2^`levels` cells) and applied to
+every row, deals the rows into cells. A cell of more than `part_rows` rows gets a second tree of its own, fitted on about
+`part_sample` of its rows by a task of its own and kept in a table, which deals it into parts; a part goes on down to
+leaves. So what a query visits follows the reach of its neighbours, not the size of the table. A query takes its neighbours in order of projected distance, leaf by leaf, and verifies each by the exact
 distance, until the chi-square test holds: a row not taken yet that is nearer than the k-th best found would lie
 within the projected distance reached with probability `sure` or more.
 
-Round one searches the query's own cell and so bounds its k-th distance; round two visits the other cells that the
-test doesn't exclude. Queries of a cell come in blocks of bounded size, and a cell is copied as often as it has blocks
+Round one searches the query's own part and so bounds its k-th distance; round two visits the other cells and parts that
+the test doesn't exclude. Queries of a cell come in blocks of bounded size, and a cell is copied as often as it has blocks
 of queries, so copies grow with the visits, not with the table. Equal vectors are searched once: only their k+1
 smallest ids can be in a result, so a vector that a third of all rows share costs one entry.
 
@@ -20,12 +21,14 @@ fewer rows; an empty table gives none."""
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from trackwell.llm.common import scratch
 
@@ -147,13 +150,15 @@ class Cell:
         return sorted(best)[:k]
 
 
-def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure: float = 0.99, sample: int = 20_000, levels: int = 12, cell_rows: int = 4096, part_rows: int = 32_768, block: int = 4000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure: float = 0.99, sample: int = 20_000, levels: int = 12, cell_rows: int = 4096, part_rows: int = 32_768, part_sample: int = 8192, block: int = 4000, sample_bytes: int = 64 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row for which `queries` holds, itself left out."""
     spark = vectors.sparkSession
     rows = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     distinct = scratch(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     total = distinct.count()
+    size = distinct.select(F.size("v").alias("n")).first()
+    sample = min(sample, max(1, sample_bytes // (8 * size["n"]))) if size else sample
     picked = np.array([r["v"] for r in distinct.orderBy(F.xxhash64("v")).limit(sample).collect()], float)
     dim = picked.shape[1] if len(picked) else 1
     directions = np.random.default_rng(20).standard_normal((dim, m))
@@ -166,11 +171,54 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure
         tree, directions = shared.value
         return pd.Series(tree.cell(np.array(v.tolist(), float).reshape(len(v), -1) @ directions) if len(v) else [], dtype="int32")
 
-    indexed = scratch(distinct.withColumn("cell", cell_of("v")), "index")
+    placed = scratch(distinct.withColumn("cell", cell_of("v")), "cells")
+    crowded = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > part_rows)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        _, directions = shared.value
+        points = np.stack(rows["v"].to_numpy()).astype(float) @ directions
+        below = Tree(points, max(1, min(levels, math.ceil(math.log2(rows["n"].iloc[0] / part_rows)))))
+        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "blob": [pickle.dumps(below)], "salts": [math.ceil(rows["n"].iloc[0] / (4 * part_rows))]})
+
+    few_of_each = placed.join(crowded, "cell").where(F.pmod(F.xxhash64("v"), F.col("n")) < part_sample)  # about part_sample rows a cell
+    below = scratch(few_of_each.select("cell", "v", "n").groupBy("cell").applyInPandas(fit, "cell int, blob binary, salts int"), "trees")
+
+    def routed(rows: DataFrame, near: bool = False) -> DataFrame:
+        """rows with the part of their cell that their vector is in, or with a row for each part within reach of bound. A
+        crowded cell's tree comes to the tasks of its rows, before them; other cells are one part."""
+        trees = below.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("kind", F.lit(0)).drop("salts")
+        salted = rows.join(below.select("cell", "salts"), "cell").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")).withColumn("kind", F.lit(1))
+        both = salted.drop("salts").unionByName(trees, allowMissingColumns=True)
+        columns = rows.columns
+
+        def run(batches: Iterator) -> Iterator:
+            _, directions = shared.value
+            tree = None
+            for b in batches:
+                cuts = [0, *(np.flatnonzero(np.diff(b["kind"]) | np.diff(b["cell"]) | np.diff(b["salt"])) + 1), len(b)]
+                for i, j in zip(cuts, cuts[1:]):
+                    part = b.iloc[i:j]
+                    if i == j:
+                        continue
+                    if not part["kind"].iloc[0]:
+                        tree = pickle.loads(part["blob"].iloc[0])
+                        continue
+                    points = np.stack(part["v"].to_numpy()).astype(float) @ directions
+                    to = [tree.near(x, math.sqrt(factor) * r) for x, r in zip(points, part["bound"])] if near else [[c] for c in tree.cell(points)]
+                    out = part.loc[part.index.repeat([len(t) for t in to])][columns].copy()
+                    out["part"] = np.concatenate(to).astype("int32")
+                    yield out
+
+        schema = StructType([*rows.schema.fields, StructField("part", IntegerType())])
+        deep = both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind").mapInPandas(run, schema)
+        return rows.join(below.select("cell"), "cell", "left_anti").withColumn("part", F.lit(0)).select(*columns, "part").unionByName(deep)
+
+    indexed = scratch(routed(placed), "index")
     asked = scratch(rows.where(queries), "queries")
     single = asked.groupBy("v").agg(F.min("vec_id").alias("qid"))
-    single = scratch(single.withColumn("cell", cell_of("v")), "asked")
-    parts = indexed.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    single = scratch(routed(single.withColumn("cell", cell_of("v"))), "asked")
+    # Vectors that no axis parts may leave a part too large: it is dealt into pieces, all searched by its queries.
+    pieces = indexed.groupBy("cell", "part").agg(F.ceil(F.count("*") / (4 * part_rows)).cast("int").alias("pieces"))
 
     def search(key: tuple, data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -186,11 +234,12 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     def searched(ask: DataFrame) -> DataFrame:
-        """ask (v, qid, bound, cell) against every part of its cell; each part is copied once a block of its queries."""
-        visits = ask.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(parts, "cell")
-        dealt = indexed.join(visits, "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("block", upto("blocks"))
-        own = ask.join(visits, "cell").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).withColumn("part", upto("parts"))
-        key = ("cell", "part", "block")
+        """ask (v, qid, bound, cell, part) against the vectors there; each piece is copied once a block of its queries."""
+        where = ["cell", "part"]
+        visits = ask.groupBy(*where).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).join(pieces, where)
+        dealt = indexed.join(visits, where).withColumn("piece", F.pmod(F.xxhash64("v"), F.col("pieces")).cast("int")).withColumn("block", upto("blocks"))
+        own = ask.join(visits, where).withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).withColumn("piece", upto("pieces"))
+        key = (*where, "piece", "block")
         return dealt.select(*key, "v", "ids").groupBy(*key).cogroup(own.select(*key, "v", "qid", "bound").groupBy(*key)).applyInPandas(search, FOUND)
 
     first = scratch(searched(single.withColumn("bound", F.lit(float("inf")))), "round-one")
@@ -203,11 +252,13 @@ def nearest(vectors: DataFrame, queries: F.Column, k: int = 10, m: int = 8, sure
             q = np.stack(b["v"].to_numpy()).astype(float)
             to = [tree.near(p, math.sqrt(factor) * bound) for p, bound in zip(q @ directions, b["bound"])]
             out = b.loc[b.index.repeat([len(t) for t in to])].copy()
-            out["other"] = np.concatenate(to).astype("int32")
-            yield out[out["other"] != out["cell"]].drop(columns="cell").rename(columns={"other": "cell"})[["v", "qid", "bound", "cell"]]
+            out["cell"] = np.concatenate(to).astype("int32")
+            yield out[["v", "qid", "bound", "own_cell", "own_part", "cell"]]
 
-    wider = single.join(bounds, "qid", "left").fillna(float("inf"), ["bound"]).mapInPandas(spread, "v array<double>, qid long, bound double, cell int")
-    found = first.unionByName(searched(scratch(wider, "visits")))
+    start = single.select("v", "qid", F.col("cell").alias("own_cell"), F.col("part").alias("own_part"))
+    wider = start.join(bounds, "qid", "left").fillna(float("inf"), ["bound"]).mapInPandas(spread, "v array<double>, qid long, bound double, own_cell int, own_part int, cell int")
+    visits = routed(wider, near=True).where("cell != own_cell or part != own_part").select("v", "qid", "bound", "cell", "part")
+    found = first.unionByName(searched(scratch(visits, "visits")))
     top = found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
     near = asked.join(single.select("v", "qid"), "v").select("qid", F.col("vec_id").alias("query_id")).join(top.drop("n"), "qid").where("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
