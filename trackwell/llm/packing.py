@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, final_id: int = 1)
 
     def run(texts: list[str]) -> list:
         rows = []
-        for i, own in enumerate(encoder(path).encode_many(texts, splice=False)):
+        for i, own in enumerate(encoder(path, memo=500_000).encode_many(texts, splice=False)):
             ids = own + end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]

@@ -159,15 +159,15 @@ class Encoder:
         return mine == [i for i, (a, _) in zip(right.ids, right.offsets) if low + a >= at]
 
 
-def encoder(path: str) -> Encoder:
-    """One per worker process."""
+def encoder(path: str, memo: int = 300_000) -> Encoder:
+    """One per worker process and size of memo."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    if (path, memo) not in _loaded:
+        _loaded[path, memo] = Encoder(path, memo)
+    return _loaded[path, memo]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
