@@ -81,3 +81,23 @@ def test_reports_hold_the_rate_and_find_keys(spark):
     true, false = sum(got[i] for i in range(300)), sum(n for i, n in got.items() if i >= 1000)
     assert true >= 270
     assert false <= 0.1 * (true + false)  # asked for: 0.05 on average
+
+
+def test_thresholds_are_benjamini_hochbergs():
+    """The reported runs of a band are those of the step-up rule over single p-values, by brute force."""
+    import numpy as np
+
+    from trackwell.llm import secret_scan as S
+
+    rng = np.random.default_rng(21)
+    for trial in range(40):
+        plain = {(0, int(b)): int(n) for b, n in zip(rng.choice(300, 60, replace=False), rng.integers(1, 200, 60))}
+        runs = {(0, int(b)): int(n) for b, n in zip(rng.choice(300, 40, replace=False) // (1 + trial % 4), rng.integers(1, 9, 40))}
+        rate = (0.01, 0.05, 0.2)[trial % 3]
+        total = sum(plain.values())
+        p = sorted(((sum(n for (_, c), n in plain.items() if c <= b) + 1) / (total + 1), b) for (_, b), n in runs.items() for _ in range(n))
+        largest = max((k for k, (x, _) in enumerate(p, 1) if x <= rate * k / len(p)), default=0)
+        want = min(S.PASSES, p[largest - 1][1]) if largest else -1
+        reported = lambda most: {b for _, b in runs if b <= most}
+        assert reported(S.thresholds(runs, plain, rate)[0]) == reported(want)
+    assert S.thresholds({}, {}, 0.05) == [-1] * 4
