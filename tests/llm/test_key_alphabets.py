@@ -101,3 +101,16 @@ def test_thresholds_are_benjamini_hochbergs():
         reported = lambda most: {b for _, b in runs if b <= most}
         assert reported(S.thresholds(runs, plain, rate)[0]) == reported(want)
     assert S.thresholds({}, {}, 0.05) == [-1] * 4
+
+
+def test_many_runs_at_once_are_like_one_by_one():
+    import random
+
+    from trackwell.llm import secret_scan as S
+
+    r = random.Random(22)
+    runs = ["".join(r.choices(sorted(a), k=r.randrange(20, 200))) for a in S.ALPHABETS for _ in range(12)]
+    runs += ["a" * 30, "0" * 25 + "a", "ab" * 20, "z1" * 12 + "==", "A-b_9" * 6, "1" * 19 + "f" * 19, "name-of-a-path/2024/part-1234"]
+    assert S.randomness_of([]) == []
+    for run, p in zip(runs, S.randomness_of(runs)):
+        assert abs(p - S.randomness(run)) < 1e-9, run

@@ -88,6 +88,46 @@ def randomness(run: str) -> float:
     return min(1.0, 3 * min(p_chi, p_runs, p_serial))
 
 
+_EXPECTED = {(size, k): np.bincount(np.arange(size) * k // size, minlength=64) / size for size in (16, 32, 36, 62, 64) for k in range(8, size + 1)}
+
+
+def randomness_of(runs: list[str]) -> list[float]:
+    """randomness() of many runs at once: sums over all their symbols, parted by run."""
+    out = [0.0] * len(runs)
+    by_code: dict[int, list[int]] = {}
+    plain = [r.rstrip("=") for r in runs]
+    for i, r in enumerate(plain):
+        used = set(r)
+        by_code.setdefault(next(k for k, x in enumerate(ALPHABETS) if used <= x.keys()), []).append(i)
+    for k, rows in by_code.items():
+        code, size = ALPHABETS[k], max(ALPHABETS[k].values()) + 1
+        n = np.array([len(plain[i]) for i in rows])
+        v = np.array([code[c] for i in rows for c in plain[i]], np.int64)
+        ends = np.cumsum(n)
+        starts = ends - n
+        of = np.repeat(np.arange(len(rows)), n)
+        classes = np.minimum(size, np.maximum(8, n // 3))
+        seen = np.bincount(of * 64 + v * classes[of] // size, minlength=64 * len(rows)).reshape(-1, 64)
+        expected = np.array([_EXPECTED[size, c] for c in classes.tolist()]) * n[:, None]
+        chi = np.divide((seen - expected) ** 2, expected, out=np.zeros(seen.shape), where=expected > 0).sum(1)
+        high = v * 2 >= size
+        a = np.add.reduceat(high.astype(np.int64), starts)
+        inner = np.ones(len(v), bool)
+        inner[starts] = False  # a symbol with one before it in its run
+        before = np.concatenate([[0], np.arange(len(v) - 1)])
+        changes = np.add.reduceat((inner & (high != high[before])).astype(np.int64), starts)
+        d = v - (np.add.reduceat(v, starts) / n)[of]
+        lag, own = np.add.reduceat(np.where(inner, d * d[before], 0.0), starts), np.add.reduceat(d * d, starts)
+        for j, i in enumerate(rows):
+            m, x = int(n[j]), int(a[j])
+            y = m - x
+            var = 2 * x * y * (2 * x * y - m) / (m * m * (m - 1)) if m > 1 else 0
+            p_runs = math.erfc(abs(1 + changes[j] - 1 - 2 * x * y / m) / math.sqrt(2 * var)) if x and y and var > 0 else 0.0
+            p_serial = math.erfc(abs(lag[j] / own[j] * m + 1) / math.sqrt(2 * m)) if own[j] > 0 else 0.0
+            out[i] = min(1.0, 3 * min(chi_squared_tail(float(chi[j]), int(classes[j]) - 1), p_runs, p_serial))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base kinds, sorted."""
     spans = []
@@ -100,18 +140,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def placed(run: str) -> tuple[int, int]:
-    """(band of length, bin of the battery's p-value) of a run."""
-    return sum(len(run) >= n for n in BANDS), min(BINS - 1, int(-math.log10(max(randomness(run), 1e-300)) / PER_BIN))
+def placed(runs: list[str]) -> list[tuple[int, int]]:
+    """(band of length, bin of the battery's p-value) of each run."""
+    return [(sum(len(r) >= n for n in BANDS), min(BINS - 1, int(-math.log10(max(p, 1e-300)) / PER_BIN))) for r, p in zip(runs, randomness_of(runs))]
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, band, bin of the p-value) of the runs that meet no base span."""
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the runs with a digit and a letter that meet no base span."""
     out = []
     for m in RUN.finditer(text):
         run = m[0]
         if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < m.end() and m.start() < e for s, _, e in spans):
-            out.append((m.start(), m.end(), *placed(run)))
+            out.append((m.start(), m.end()))
     return out
 
 
@@ -149,9 +189,14 @@ def thresholds(runs: dict[tuple[int, int], int], ordinary: dict[tuple[int, int],
     return out
 
 
-def _found(text: str | None) -> tuple[list, list]:
-    spans = base_spans(text or "")
-    return spans, candidates(text or "", spans)
+def _found(texts: list[str]) -> list[tuple[list, list, list]]:
+    """Base spans, runs (start, end, band, bin) and the places of the ordinary runs of each text."""
+    spans = [base_spans(t) for t in texts]
+    runs = [candidates(t, s) for t, s in zip(texts, spans)]
+    plain = [ordinary_runs(t) for t in texts]
+    where = iter(placed([t[s:e] for t, own in zip(texts, runs) for s, e in own] + [r for own in plain for r in own]))
+    runs = [[(s, e, *next(where)) for s, e in own] for own in runs]
+    return list(zip(spans, runs, [[next(where) for _ in own] for own in plain]))
 
 
 FOUND = """n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>,
@@ -163,11 +208,9 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     def run(texts: list[str]) -> list[list]:
         rows = []
-        for text in texts:
-            spans, runs = _found(text)
+        for spans, runs, plain in _found(texts):
             n = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
-            plain = [dict(zip(("band", "bin"), placed(r))) for r in ordinary_runs(text)]
-            rows.append((*n, hashlib.sha256(joined(spans).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), s)) for s in spans], [dict(zip(("start", "end", "band", "bin"), r)) for r in runs], plain))
+            rows.append((*n, hashlib.sha256(joined(spans).encode()).hexdigest(), [dict(zip(("start", "kind", "end"), s)) for s in spans], [dict(zip(("start", "end", "band", "bin"), r)) for r in runs], [dict(zip(("band", "bin"), p)) for p in plain]))
         return [[r[i] for r in rows] for i in range(7)]
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -201,8 +244,11 @@ def redacted(docs: DataFrame, rate: float = 0.05, mark: str = "[SECRET]") -> Dat
     most = fitted_thresholds(scanned(docs), rate)
 
     def clean(text: str | None) -> str | None:
-        spans, runs = _found(text)
-        cut = sorted([(s, e) for s, _, e in spans] + [(s, e) for s, e, band, b in runs if b <= most[band]])
+        if text is None:
+            return None
+        spans = base_spans(text)
+        runs = candidates(text, spans)
+        cut = sorted([(s, e) for s, _, e in spans] + [(s, e) for (s, e), (band, b) in zip(runs, placed([text[s:e] for s, e in runs])) if b <= most[band]])
         if not cut:
             return text
         out, at = [], 0
