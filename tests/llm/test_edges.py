@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trackwell.llm import language_id, mixing, multiset_hash, nearest, packing, preference, secret_scan, simhash, tokenizing, toxicity
+from trackwell.llm import language_id, mixing, multiset_hash, nearest, packing, preference, secret_scan, simhash, suffix_dedup, tokenizing, toxicity
 
 CLASHES = ("key", "value", "h", "tokens", "words", "n", "fp", "epoch", "_bucket", "score", "component", "piece", "node", "least", "block", "base")
 LONG = "words and lines of text " * 40_000
@@ -36,6 +36,7 @@ OPERATORS = {
     "secrets": (lambda d, lab: secret_scan.secrets(d), len(ROWS)),
     "redacted": (lambda d, lab: secret_scan.redacted(d), len(ROWS)),
     "tokens": (lambda d, lab: tokenizing.token_counts(d), len(ROWS)),
+    "repeats": (lambda d, lab: suffix_dedup.digests(d), len(ROWS)),
     "toxicity": (lambda d, lab: toxicity.toxicity(d, lab), len(ROWS)),
 }
 

@@ -12,7 +12,8 @@ better tells letters that are in no learned language at all.
 The model that is broadcast has bins x languages numbers, for at most `most` languages (more are an error: a column of
 languages with so many values isn't one). Null texts, empty ones and texts without a letter give `und` with score 0;
 without any learning document everything does. Ties go to the language first in order. Texts of any length count
-whole; repeated rows are learned from as often as they occur and all get the same prediction."""
+whole; repeated rows are learned from as often as they occur and all get the same prediction. An empty table gives no
+rows; other columns are passed on by predicted(), whatever their names, and ignored otherwise."""
 
 from __future__ import annotations
 

@@ -8,7 +8,8 @@ A turn is rendered as `<|im_start|>role\\ntext<|im_end|>\\n`; `<|` inside a role
 end a turn. Spans are start:end in characters of the completion, end exclusive, comma-joined. Null roles and texts
 count as empty. Equal conversations give empty completions (status `equal`); one without turns makes the pair's
 status `empty`; completions without an assistant's turn have no spans (status `unmasked`). A conversation is one
-training example and one row."""
+training example and one row; repeated rows of a turn are turns of their own, and texts of any length are rendered whole.
+An empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 

@@ -15,7 +15,8 @@ of a band of which at most `rate` are expected to be ordinary, if they pass the
 evidence, and a band without random runs reports nothing. What is reported is kind `random`.
 
 Both kinds of runs are gathered as histograms (bands times 1,000 bins), so what reaches the driver has a fixed size.
-Null texts count as empty: no spans. Very long texts are scanned whole. Repeated rows are scanned like others."""
+Null texts count as empty: no spans. Very long texts are scanned whole. Repeated rows are scanned like others. An empty
+table gives no rows; other columns are ignored, and redacted() passes them on, whatever their names."""
 
 from __future__ import annotations
 

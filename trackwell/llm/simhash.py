@@ -10,7 +10,8 @@ before anything is emitted, so a group of copies of any size costs one set of va
 
 Null texts count as empty. A text without words has fingerprint zero. Null doc_ids keep their own rows and take
 part in links; they never become a component id unless all ids of the component are null. Repeated rows are rows of
-their own with the same result. Texts of any length are read whole, in blocks of hashes."""
+their own with the same result. Texts of any length are read whole, in blocks of hashes. An empty table
+gives no rows; other columns are ignored, and one_of_each() passes them on, whatever their names."""
 
 from __future__ import annotations
 

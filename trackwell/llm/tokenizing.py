@@ -6,7 +6,8 @@ overlapping chunks with offsets; neighbouring chunks are spliced where both have
 place right after a space (a proven boundary: the split pattern has no look-behind and normalisation does not reach
 across a space), and the overlap widens, up to the rest of the text, when they don't agree.
 
-The vocabulary path is a parameter. Null texts count as empty: no tokens."""
+The vocabulary path is a parameter. Null texts count as empty: no tokens. Repeated rows are counted like others, null ids
+stay; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 

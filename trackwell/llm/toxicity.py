@@ -16,7 +16,8 @@ falling. (Wider windows were tried; the README has the figures.)
 The model is fitted on a bounded sample: at most `sample` labelled documents a class, by hash of doc_id, copies
 counted once; all of their windows count. Whole texts are scored, whatever their length; repeated rows get the same
 score. Null and empty texts have no window and get the lowest score. Without learning documents of both classes every
-score is 0. Two labels of one document, or of equal texts, count as the higher one."""
+score is 0. Two labels of one document, or of equal texts, count as the higher one.
+An empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
