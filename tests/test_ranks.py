@@ -240,3 +240,32 @@ def test_answers_are_parsed_once(spark):
     answers = ['{"company": "a", "Company": "b"}', '{"Company": "b"}', '{"company": "a"}, {"company": "b"}', '{"company": NaN}', '```json\n{"title": "t"}\n```', '{"notes": "```"}', '{"company": "a", "notes": {"x": 1, "x": 2}}']
     rows = drafts.drafted(spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, answer string"), F.col("answer")).orderBy("i").collect()
     assert [(r["company"], r["title"], r["notes"]) for r in rows] == [("a", None, None), ("b", None, None), (None, None, None), (None, None, None), (None, "t", None), (None, None, "```"), ("a", None, None)]
+
+
+# Links as they are given, and as a browser writes them (null: no link).
+LINKS = (
+    ("https://example.com/job", "https://example.com/job"), ("http://example.com", "http://example.com/"), ("", None), ("example.com/job", None), ("ftp://example.com/job", None),
+    ("https://me:pw@Ex.com/a", "https://me:pw@ex.com/a"), ("https://ex.com/ü b?q=ü 'x#fr ag", "https://ex.com/%C3%BC%20b?q=%C3%BC%20%27x#fr%20ag"), ("\n\thttps://ex.com", "https://ex.com/"),
+    ("https://ex.com/a/../b/./c", "https://ex.com/b/c"), ("https://ex.com:443/", "https://ex.com/"), ("http:\\\\ex.com\\a", "http://ex.com/a"), ("https://exa mple.com/", None), ("https://a:99999/", None),
+    ("HTTPS://Ex.COM:8443?x#", "https://ex.com:8443/?x#"), ("https://ex.com/a{b}^`", "https://ex.com/a%7Bb%7D%5E%60"), ("https://[::1]:8080/x", "https://[::1]:8080/x"), (None, None),
+)
+
+
+def test_links(spark):
+    assert values(spark, [a for a, _ in LINKS], T.capture_url) == [b for _, b in LINKS]
+
+
+# Model answers, with the company and the tags that they hold.
+ANSWERS = (
+    ('\n{"company": "\\tAcme\xa0"}', "Acme", None), ('{"company": "raw\ttab"}', None, None), ('\n ```json\n{"Company": "X", "tags": ["a", 1, "b"]}\n```\n', "X", "a, b"), ('{"company": "a", "company": "b"}', "b", None),
+    ('{"company": "a", "company": 5, "employer": "e"}', "e", None), ('{"company": 5, "employer": "E", "tags": " t, u "}', "E", "t, u"), ("[1]", None, None), ("not json", None, None),
+    ('{"company": "a"} and more', None, None), ('{"deep": {"company": "no"}, "organization": "Org"}', "Org", None), (None, None, None), ('{"tags": [1, 2], "keywords": " "}', None, None),
+)
+
+
+def test_answers(spark):
+    from trackwell.functions import drafts
+
+    df = spark.createDataFrame([(i, a[0]) for i, a in enumerate(ANSWERS)], "i int, answer string")
+    got = drafts.drafted(df, F.col("answer")).orderBy("i").collect()
+    assert [(r["company"], r["tags"]) for r in got] == [a[1:] for a in ANSWERS]

@@ -102,40 +102,27 @@ def odd_titles(spark: SparkSession, sf: str) -> DataFrame:
     return V.items(spark, sf).select("id", F.replace(name, F.lit(HARD), F.lit(" ")).alias("name"), company.alias("company"))
 
 
-# Links as they are given, and as a browser writes them (null: no link).
-LINKS = (
-    ("https://example.com/job", "https://example.com/job"), ("http://example.com", "http://example.com/"), ("", None), ("example.com/job", None), ("ftp://example.com/job", None),
-    ("https://me:pw@Ex.com/a", "https://me:pw@ex.com/a"), ("https://ex.com/ü b?q=ü 'x#fr ag", "https://ex.com/%C3%BC%20b?q=%C3%BC%20%27x#fr%20ag"), ("\n\thttps://ex.com", "https://ex.com/"),
-    ("https://ex.com/a/../b/./c", "https://ex.com/b/c"), ("https://ex.com:443/", "https://ex.com/"), ("http:\\\\ex.com\\a", "http://ex.com/a"), ("https://exa mple.com/", None), ("https://a:99999/", None),
-    ("HTTPS://Ex.COM:8443?x#", "https://ex.com:8443/?x#"), ("https://ex.com/a{b}^`", "https://ex.com/a%7Bb%7D%5E%60"), ("https://[::1]:8080/x", "https://[::1]:8080/x"), (None, None),
-)
-
-
-def _quoted(v: str | None) -> str:
-    return "null" if v is None else "'" + v.replace("'", "''") + "'"
-
-
-def _picked(values: list) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), (F.col("id") % len(values)).cast("int"))
-
-
-@query(f"with {ITEMS} select id, ([{', '.join(_quoted(b) for _, b in LINKS)}])[id % {len(LINKS)} + 1] as url from items")
+@query(f"""with {ITEMS} select id, case id % 6 when 0 then 'https://me:pw@site' || id || '.com/b/' || id when 1 then 'http://ex' || id || '.com/a?q=' || replace(workplace_city, ' ', '%20')
+  when 4 then 'https://' || (id % 256) || '.16.0.1/' when 5 then case when id % 100000 <= 65535 then 'https://ex.com' || case when id % 100000 = 443 then '' else ':' || (id % 100000) end || '/x' end end as url from items""")
 def odd_links(spark: SparkSession, sf: str) -> DataFrame:
-    return V.items(spark, sf).select("id", T.capture_url(_picked([a for a, _ in LINKS])).alias("url"))
-
-
-# Model answers, with the company and the tags that they hold.
-ANSWERS = (
-    ('\n{"company": "\\tAcme\xa0"}', "Acme", None), ('{"company": "raw\ttab"}', None, None), ('\n ```json\n{"Company": "X", "tags": ["a", 1, "b"]}\n```\n', "X", "a, b"), ('{"company": "a", "company": "b"}', "b", None),
-    ('{"company": "a", "company": 5, "employer": "e"}', "e", None), ('{"company": 5, "employer": "E", "tags": " t, u "}', "E", "t, u"), ("[1]", None, None), ("not json", None, None),
-    ('{"company": "a"} and more', None, None), ('{"deep": {"company": "no"}, "organization": "Org"}', "Org", None), (None, None, None), ('{"tags": [1, 2], "keywords": " "}', None, None),
-)
+    """User info, dots, backslashes, spaces, other schemes, no scheme, numbers as hosts, ports, around the items' own values."""
+    k, city = F.col("id").cast("string"), F.col("workplace_city")
+    link = _cases("id", 6, {
+        0: F.concat(F.lit("\n https://me:pw@Site"), k, F.lit(".COM/a/../b/"), k), 1: F.concat(F.lit("http:\\\\ex"), k, F.lit(".com\\a?q="), city), 2: F.concat(F.lit("ftp://ex.com/"), k),
+        3: F.concat(city, F.lit(".com/")), 4: F.concat(F.lit("https://"), (F.col("id") % 256).cast("string"), F.lit(".0x10.1")),
+    }, F.concat(F.lit("https://ex.com:"), (F.col("id") % 100_000).cast("string"), F.lit("/x")))
+    return V.items(spark, sf).select("id", T.capture_url(link).alias("url"))
 
 
-@query(f"with {ITEMS} select id, ([{', '.join(_quoted(a[1]) for a in ANSWERS)}])[id % {len(ANSWERS)} + 1] as company, ([{', '.join(_quoted(a[2]) for a in ANSWERS)}])[id % {len(ANSWERS)} + 1] as tags from items")
+@query(f"with {ITEMS} select id, case when id % 6 != 4 then company end as company, case id % 6 when 1 then workplace_city || ', b' when 3 then workplace_city end as tags from items")
 def odd_answers(spark: SparkSession, sf: str) -> DataFrame:
-    given = V.items(spark, sf).select("id", _picked([a[0] for a in ANSWERS]).alias("answer"))
-    return drafts.drafted(given, F.col("answer")).select("id", "company", "tags")
+    """Answers in fences, with repeated keys, numbers for strings, lists, objects inside, or text after the object."""
+    said = _cases("id", 6, {
+        0: F.concat(F.lit('\n{"company": "\\t'), "company", F.lit(' "}')), 1: F.concat(F.lit(' ```json\n{"Company": "'), "company", F.lit('", "tags": ["'), "workplace_city", F.lit('", 1, "b"]}\n```\n')),
+        2: F.concat(F.lit('{"company": "x", "company": "'), "company", F.lit('"}')), 3: F.concat(F.lit('{"company": 5, "employer": "'), "company", F.lit('", "tags": " '), "workplace_city", F.lit(' "}')),
+        4: F.concat(F.lit('{"company": "'), "company", F.lit('"} and more')),
+    }, F.concat(F.lit('{"deep": {"company": "no"}, "organization": "'), "company", F.lit('"}')))
+    return drafts.drafted(V.items(spark, sf).withColumn("answer", said).select("id", "answer"), F.col("answer")).select("id", "company", "tags")
 
 
 @query(f"with {ITEMS} select id, case when id % 3 = 0 then title else 'old' end as title from items")
