@@ -32,6 +32,7 @@ def result_key(platform: Column, url: Column, *other: Column) -> Column:
     return F.when(text(url) != "", F.concat_ws("|", text(platform), url)).otherwise(rest)
 
 
+# Fixed values from here on to template_link: the wording of labels, and the calendar's address and parameters.
 def counted(n: Column, noun: str) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, f" {noun}").otherwise(f" {noun}s"))
 

@@ -132,9 +132,13 @@ def weekday_labels(spark: SparkSession, sf: str) -> DataFrame:
     return I.occurrences(V.items(spark, sf)).groupBy(F.get(names, day).alias("label")).agg(F.count("*").alias("occurrences"))
 
 
-@query(f"with {ITEMS} select id, company as listing from items")
+@query(f"with {ITEMS} select id, company as listing, 20 as keys, 3 as work_modes, true as dates from items")
 def model_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return V.items(spark, sf).select("id", F.substring_index(drafts.prompt(F.col("company")), "Listing:\n", -1).alias("listing"))
+    """What a prompt ends with, and how many of the output's keys and work modes it names before."""
+    p = V.items(spark, sf).select("id", drafts.prompt(F.col("company")).alias("p"))
+    asked = F.substring_index("p", "Listing:\n", 1)
+    named = lambda words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: asked.contains(w)))
+    return p.select("id", F.substring_index("p", "Listing:\n", -1).alias("listing"), named(drafts.ALIASES).alias("keys"), named(set(drafts.WORK_MODES.values())).alias("work_modes"), asked.contains("YYYY-MM-DD").alias("dates"))
 
 
 @query(f"with {ITEMS} select id, company, title, deadline from items where status not in ('P', 'F')")

@@ -64,3 +64,13 @@ def mixed_generations(spark: SparkSession, sf: str) -> DataFrame:
     i.where("id % 2 = 1").select("company", "title", "priority", "id", F.lit("x").alias("extra")).write.parquet(f"{path}/2")
     schema = spark.createDataFrame([], "id long, company string, title string, priority long, notes string").schema
     return R.read_generations(spark, [f"{path}/1", f"{path}/2"], schema)[0]
+
+
+@query(f"with {ITEMS}, {DOCUMENTS} select 'item' as kind, id, company as name from items union all select 'document', job_id, file_path from documents_of_items where job_id % 40 = 0")
+def backup_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """Items and documents read back from a backup that was made twice; the second copy overwrote the first."""
+    path, every = _fresh(spark, "backup"), V.documents(spark, sf)
+    R.backup({"items": V.items(spark, sf), "documents": every}, path)
+    R.backup({"documents": every.where("job_id % 40 = 0")}, path)
+    items = spark.read.parquet(f"{path}/items").select(F.lit("item").alias("kind"), "id", F.col("company").alias("name"))
+    return items.union(spark.read.parquet(f"{path}/documents").select(F.lit("document"), "job_id", "file_path"))
