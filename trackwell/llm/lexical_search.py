@@ -221,7 +221,8 @@ def searched(docs: DataFrame, block: list, k: int, part_docs: int, tree_docs: in
 
     parts = max(spark.sparkContext.defaultParallelism, -(-total // part_docs))
     paths = rows.where(F.size("terms") > 0).mapInArrow(vectors, "doc_id long, m long, path array<int>, tfs array<int>")
-    dealt = paths.repartitionByRange(parts, "path", "doc_id", "m").sortWithinPartitions("path", "doc_id", "m")
+    # The driver samples the ranges' keys: a vector's first terms are enough of it, a hash keeps equal vectors together.
+    dealt = paths.repartitionByRange(parts, F.slice("path", 1, 16), F.xxhash64("path", "tfs"), "doc_id").sortWithinPartitions("path", "doc_id", "m")
     best = dealt.mapInArrow(search, "item int, doc_id long, score long")
     rank_of = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     out = scratch(best.withColumn("rank", rank_of.cast("int")).where(F.col("rank") <= k), "found")
