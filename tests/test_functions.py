@@ -141,3 +141,10 @@ def test_choices():
     assert choices.visible_columns(["deadline", "company", "x"]) == ["company", "deadline"] and choices.visible_columns(None) == choices.COLUMNS[:6] == choices.visible_columns([])
     assert choices.toggled_column(["title"], "title") == ["title"] and choices.toggled_column(["title"], "company") == ["company", "title"]
     assert choices.clicked_sort("a", True, "a") == ("a", False) and choices.clicked_sort("a", False, "b") == ("b", True)
+
+
+def test_steps_of_a_url_are_worked_out_once(spark):
+    """Each step stands in the expression once a use, not once a path to it: a row's work is that of its steps."""
+    for make in (T.capture_url, T.host, T.source_of_url):
+        assert str(make(F.col("x"))).count("regexp_extract") < 20
+    assert values(spark, ["https://me:p@a.b:443/x/../ü?q= '#", "HTTP://0x7f.1:80\\a b", "ws://a.b/", ""], T.capture_url) == ["https://me:p@a.b/%C3%BC?q=%20%27#", "http://127.0.0.1/a%20b", None, None]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,31 +104,43 @@ def page_text(c: Column, limit: int = 12_000) -> Column:
     return F.substring(html_to_text(F.substring(text(c), start, F.length(text(c)))), 1, limit)
 
 
-def _urls(c: Column) -> dict[str, Column]:
-    """The parts of an absolute URL as a browser reads them; empty strings where it isn't one.
+def _named(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), the value worked out once a row however often made reads it. Without it a step
+    that later steps read several times is written out, and worked out, once for each way to it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _urls(c: Column, made: Callable[[Column], Column]) -> Column:
+    """made(the parts of an absolute URL as a browser reads them): scheme, user, host, port, path, query, fragment; empty
+    strings where it isn't one.
 
     Line ends and tabs don't count, \\ is / for web schemes, and whatever comes before the last @ is user info."""
-    t = F.translate(stripped(c), "\t\n\r", "")
     web = r"(?is)^(https?|wss?|ftp):[/\\\\]*([^/\\\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
     other = r"(?is)^([a-z][a-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
-    is_web = t.rlike(web)
-    part = lambda n: F.when(is_web, F.regexp_extract(t, web, n)).otherwise(F.regexp_extract(t, other, n))
-    place, scheme = F.regexp_replace(part(2), "^.*@", ""), F.lower(part(1))
-    name = F.regexp_replace(place, r":\d*$", "")
-    return {
-        "scheme": scheme, "user": F.regexp_extract(part(2), "^(.*)@", 1), "host": F.when(is_web, web_host(name)).otherwise(F.lower(name)),
-        "port": F.regexp_replace(F.regexp_extract(place, r":(\d*)$", 1), "^0+(?=.)", ""), "path": F.translate(part(3), "\\", "/"), "query": part(4), "fragment": part(5),
-    }
+
+    def cut(t: Column, is_web: bool) -> Column:
+        part = lambda n: F.regexp_extract(t, web if is_web else other, n)
+        return F.struct(F.lit(is_web).alias("web"), F.lower(part(1)).alias("scheme"), part(2).alias("at"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment"), F.regexp_replace(part(2), "^.*@", "").alias("place"))
+
+    def parts(u: Column) -> Column:
+        name = F.regexp_replace(u["place"], r":\d*$", "")
+        return F.struct(
+            u["scheme"].alias("scheme"), F.regexp_extract(u["at"], "^(.*)@", 1).alias("user"), F.when(u["web"], web_host(name)).otherwise(F.lower(name)).alias("host"),
+            F.regexp_replace(F.regexp_extract(u["place"], r":(\d*)$", 1), "^0+(?=.)", "").alias("port"), F.translate(u["path"], "\\", "/").alias("path"), u["query"].alias("query"), u["fragment"].alias("fragment"),
+        )
+
+    whole = _named(F.translate(stripped(c), "\t\n\r", ""), lambda t: F.when(t.rlike(web), cut(t, True)).otherwise(cut(t, False)))
+    return _named(_named(whole, parts), made)
 
 
 def web_host(name: Column) -> Column:
     """A host as browsers write it: percent codes read, letters beyond ASCII in their xn-- form, lower case, numbers as an
     IPv4 address. What can't be a host comes back with a character that no host may have."""
-    plain = F.when(name.contains("%"), F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), F.lit("%"))).otherwise(name)
-    folded = F.lower(F.translate(plain, "\u3002\uff0e\uff61\u00ad", "..."))
-    ascii_form = F.coalesce(F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), folded)), F.lit("%"))
-    made = F.when(folded.rlike(r"[^\x00-\x7F]"), ascii_form).otherwise(folded)
-    return F.when(F.regexp_replace(made, r"\.$", "").rlike(r"(^|\.)(\d+|0x[0-9a-f]*)$"), F.coalesce(_ipv4(made), F.lit("%"))).otherwise(made)
+    decoded = lambda n: F.when(n.contains("%"), F.coalesce(F.try_url_decode(F.replace(n, F.lit("+"), F.lit("%2B"))), F.lit("%"))).otherwise(n)
+    ascii_form = lambda n: F.coalesce(F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), n)), F.lit("%"))
+    folded = F.lower(F.translate(_named(name, decoded), "\u3002\uff0e\uff61\u00ad", "..."))
+    made = _named(folded, lambda n: F.when(n.rlike(r"[^\x00-\x7F]"), ascii_form(n)).otherwise(n))
+    return _named(made, lambda n: F.when(F.regexp_replace(n, r"\.$", "").rlike(r"(^|\.)(\d+|0x[0-9a-f]*)$"), F.coalesce(_ipv4(n), F.lit("%"))).otherwise(n))
 
 
 def _ipv4(host: Column) -> Column:
@@ -135,33 +149,40 @@ def _ipv4(host: Column) -> Column:
     digits = lambda x: F.when(x.startswith("0x"), F.substring(x, F.lit(3), F.length(x))).otherwise(x)
     base = lambda x, of: F.conv(digits(x), of, 10).cast("decimal(20,0)")
     number = lambda x: F.when(~x.rlike(IPV4_PART) | (F.length(x) > 18), None).when(x == "0x", 0).when(x.startswith("0x"), base(x, 16)).when(x.rlike("^0[0-7]+$"), base(x, 8)).otherwise(base(x, 10))
-    n = F.transform(parts, lambda x: number(x).cast("decimal(20,0)"))
-    first, last = F.slice(n, F.lit(1), F.size(n) - 1), F.element_at(n, -1)
-    room = F.get(F.array(*[F.lit(1 << k) for k in (32, 24, 16, 8)]), F.size(n) - 1)
-    fine = (F.size(n) <= 4) & F.forall(n, lambda x: x.isNotNull()) & F.forall(first, lambda x: x <= 255) & (last < room)
-    high = F.aggregate(first, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long")) * room
-    whole = high + last.cast("long")
-    return F.when(fine, F.concat_ws(".", *[(F.shiftright(whole, k) % 256).cast("string") for k in (24, 16, 8, 0)]))
+
+    def written(n: Column) -> Column:
+        first, last = F.slice(n, F.lit(1), F.size(n) - 1), F.element_at(n, -1)
+        room = F.get(F.array(*[F.lit(1 << k) for k in (32, 24, 16, 8)]), F.size(n) - 1)
+        fine = (F.size(n) <= 4) & F.forall(n, lambda x: x.isNotNull()) & F.forall(first, lambda x: x <= 255) & (last < room)
+        high = F.aggregate(first, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long")) * room
+        return F.when(fine, _named(high + last.cast("long"), lambda whole: F.concat_ws(".", *[(F.shiftright(whole, k) % 256).cast("string") for k in (24, 16, 8, 0)])))
+
+    return _named(F.transform(parts, lambda x: number(x).cast("decimal(20,0)")), written)
 
 
 def _encoded(c: Column, keep: str) -> Column:
     """c with every character outside `keep` as the percent codes of its UTF-8 bytes."""
-    return F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(f"^[{keep}]$"), x).otherwise(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")))), "")
+    each = lambda x: F.when(x.rlike(f"^[{keep}]$"), x).otherwise(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")))
+    return _named(c, lambda t: F.when(t.rlike(rf"\A[{keep}]*\z"), t).otherwise(F.array_join(F.transform(F.split(t, ""), each), "")))
 
 
 def _without_dots(path: Column) -> Column:
     """A path with its . and .. segments resolved."""
-    parts, one, two = F.split(F.substring(path, F.lit(2), F.length(path)), "/"), r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+    one, two = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
     up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x.rlike(two), up(acc)).when(x.rlike(one), acc).otherwise(F.concat(acc, F.array(x))))
-    closed = F.when(F.element_at(parts, -1).rlike(f"{one}|{two}"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(closed, "/"))).otherwise(path)
+
+    def resolved(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x.rlike(two), up(acc)).when(x.rlike(one), acc).otherwise(F.concat(acc, F.array(x))))
+        closed = F.when(F.element_at(parts, -1).rlike(f"{one}|{two}"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, closed), "/"))
+
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), _named(parts, resolved)).otherwise(path)
 
 
 def host(c: Column) -> Column:
     """The host of an absolute URL in lower case (empty if it names none); null for anything else."""
-    u = _urls(c)
-    return F.when((u["scheme"] != "") & ~u["host"].rlike(FORBIDDEN_IN_HOSTS), u["host"])
+    return _urls(c, lambda u: F.when((u["scheme"] != "") & ~u["host"].rlike(FORBIDDEN_IN_HOSTS), u["host"]))
 
 
 def source_of_url(c: Column) -> Column:
@@ -172,14 +193,16 @@ def capture_url(c: Column) -> Column:
     """The trimmed URL as a browser writes it if it is absolute http(s), else null: host in lower case, at least the
     path /, no default port, dots in the path resolved, spaces and letters beyond ASCII in percent codes, user info kept.
     Hosts are written as web_host says."""
-    u = _urls(c)
-    port = F.when(((u["scheme"] == "http") & (u["port"] == "80")) | ((u["scheme"] == "https") & (u["port"] == "443")), "").otherwise(u["port"])
-    path = F.when(u["path"] == "", "/").otherwise(_encoded(_without_dots(u["path"]), KEPT_IN_PATHS))
-    user = F.when(u["user"] != "", F.concat(_encoded(u["user"], KEPT_IN_USERS), F.lit("@"))).otherwise("")
-    query, fragment = (F.when(F.length(u[k]) > 1, _encoded(u[k], keep)).otherwise(u[k]) for k, keep in (("query", KEPT_IN_QUERIES), ("fragment", KEPT_IN_FRAGMENTS)))
-    built = F.concat(u["scheme"], F.lit("://"), user, u["host"], F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""), path, query, fragment)
-    sound = (u["host"] != "") & ~u["host"].rlike(FORBIDDEN_IN_HOSTS) & ((u["port"] == "") | (u["port"].try_cast("int") <= 65535))
-    return F.when(u["scheme"].isin("http", "https") & sound, built)
+
+    def built(u: Column) -> Column:
+        port = F.when(((u["scheme"] == "http") & (u["port"] == "80")) | ((u["scheme"] == "https") & (u["port"] == "443")), "").otherwise(F.concat(F.lit(":"), u["port"]))
+        path = F.when(u["path"] == "", "/").otherwise(_encoded(_without_dots(u["path"]), KEPT_IN_PATHS))
+        user = F.when(u["user"] != "", F.concat(_encoded(u["user"], KEPT_IN_USERS), F.lit("@"))).otherwise("")
+        query, fragment = (F.when(F.length(u[k]) > 1, _encoded(u[k], keep)).otherwise(u[k]) for k, keep in (("query", KEPT_IN_QUERIES), ("fragment", KEPT_IN_FRAGMENTS)))
+        sound = (u["host"] != "") & ~u["host"].rlike(FORBIDDEN_IN_HOSTS) & ((u["port"] == "") | (u["port"].try_cast("int") <= 65535))
+        return F.when(u["scheme"].isin("http", "https") & sound, F.concat(u["scheme"], F.lit("://"), user, u["host"], F.when(u["port"] == "", "").otherwise(port), path, query, fragment))
+
+    return _urls(c, built)
 
 
 def job_key(c: Column) -> Column:
