@@ -269,3 +269,14 @@ def test_answers(spark):
     df = spark.createDataFrame([(i, a[0]) for i, a in enumerate(ANSWERS)], "i int, answer string")
     got = drafts.drafted(df, F.col("answer")).orderBy("i").collect()
     assert [(r["company"], r["tags"]) for r in got] == [a[1:] for a in ANSWERS]
+
+
+def test_odd_answers_take_every_shape(spark, small):
+    """The query's items give all twelve shapes of ANSWERS, around their own values."""
+    import __spark_entry__
+
+    known, tagged = set(), set()
+    for r in __spark_entry__.queries()["odd_answers"](spark, small).collect():
+        known |= {r["id"] % 12} if r["company"] else set()
+        tagged |= {r["id"] % 12} if r["tags"] else set()
+    assert known == {i for i, a in enumerate(ANSWERS) if a[1]} and tagged == {i for i, a in enumerate(ANSWERS) if a[2]}

@@ -114,14 +114,18 @@ def odd_links(spark: SparkSession, sf: str) -> DataFrame:
     return V.items(spark, sf).select("id", T.capture_url(link).alias("url"))
 
 
-@query(f"with {ITEMS} select id, case when id % 6 != 4 then company end as company, case id % 6 when 1 then workplace_city || ', b' when 3 then workplace_city end as tags from items")
+@query(f"with {ITEMS} select id, case when id % 12 in (0, 2, 3, 4, 5, 9) then company end as company, case id % 12 when 2 then workplace_city || ', b' when 5 then workplace_city || ', u' end as tags from items")
 def odd_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers in fences, with repeated keys, numbers for strings, lists, objects inside, or text after the object."""
-    said = _cases("id", 6, {
-        0: F.concat(F.lit('\n{"company": "\\t'), "company", F.lit(' "}')), 1: F.concat(F.lit(' ```json\n{"Company": "'), "company", F.lit('", "tags": ["'), "workplace_city", F.lit('", 1, "b"]}\n```\n')),
-        2: F.concat(F.lit('{"company": "x", "company": "'), "company", F.lit('"}')), 3: F.concat(F.lit('{"company": 5, "employer": "'), "company", F.lit('", "tags": " '), "workplace_city", F.lit(' "}')),
-        4: F.concat(F.lit('{"company": "'), "company", F.lit('"} and more')),
-    }, F.concat(F.lit('{"deep": {"company": "no"}, "organization": "'), "company", F.lit('"}')))
+    """Answers with white space around values, raw tabs in strings, fences, repeated keys, numbers for strings, lists for
+    objects, no JSON, text after the object, objects inside, none at all, and nothing but numbers and blanks."""
+    company, city = F.col("company"), F.col("workplace_city")
+    said = _cases("id", 12, {
+        0: F.concat(F.lit('\n{"company": "\\t'), company, F.lit(HARD + '"}')), 1: F.concat(F.lit('{"company": "raw' + TAB), company, F.lit('"}')),
+        2: F.concat(F.lit('\n ```json\n{"Company": "'), company, F.lit('", "tags": ["'), city, F.lit('", 1, "b"]}\n```\n')), 3: F.concat(F.lit('{"company": "x", "company": "'), company, F.lit('"}')),
+        4: F.concat(F.lit('{"company": "x", "company": 5, "employer": "'), company, F.lit('"}')), 5: F.concat(F.lit('{"company": 5, "employer": "'), company, F.lit('", "tags": " '), city, F.lit(', u "}')),
+        6: F.concat(F.lit('["'), company, F.lit('"]')), 7: company, 8: F.concat(F.lit('{"company": "'), company, F.lit('"} and more')),
+        9: F.concat(F.lit('{"deep": {"company": "no"}, "organization": "'), company, F.lit('"}')), 10: F.lit(None),
+    }, F.concat(F.lit('{"tags": [1, '), F.col("id").cast("string"), F.lit('], "keywords": " "}')))
     return drafts.drafted(V.items(spark, sf).withColumn("answer", said).select("id", "answer"), F.col("answer")).select("id", "company", "tags")
 
 
