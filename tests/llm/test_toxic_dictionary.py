@@ -31,3 +31,13 @@ def test_a_term_of_few_toxic_texts_is_learned(spark):
     assert " vilebadword " in model.toxic
     assert " rareslurword " in model.toxic
     assert model.distance("rareslurword") >= model.threshold
+
+
+def test_all_of_a_large_dictionary_is_searched():
+    """The ordinary dictionary of a large vocabulary is beyond the usual search tables; what it holds isn't new, nor toxic."""
+    digits = lambda i: "".join("bdfgklmnprstvz"[i // 14**k % 14] + "aeiou"[(i * 7 + k) % 5] for k in range(5))
+    words = [digits(i * 7919 + 11) for i in range(60_000)]
+    model = toxicity.Model(toxic=" grumpf  zworx ", ordinary="".join(f" {w} " for w in words))
+    some = words[::100]
+    assert not any(model.is_new(w) for w in some) and max(map(model.distance, some)) < toxicity.GRID[0]
+    assert model.is_new("grumpf") and min(model.distance("grumpf"), model.distance("zworx")) > 0.9

@@ -3,12 +3,15 @@
 Two zstandard dictionaries are trained on the windows of labelled texts. A window is a word with its borders, lower
 case, each character written as four fixed bytes so that zstd's whole-byte lengths are fine enough for a word; over a
 run of more than 16 letters (a script without spaces) windows of eight letters slide, letter by letter. The ordinary dictionary comes first, from the windows that recur in ordinary texts.
+It also holds the windows of one or two ordinary texts that recur in toxic ones without being far more frequent there.
 The toxic one is trained on what is left for it to say: windows that recur in toxic texts (in `least` texts, whatever
-the sample) and that the ordinary dictionary can't compress. Windows of ordinary texts that the toxic dictionary
+the sample) and that the ordinary dictionary can't compress. Search tables are as large as a dictionary needs, so that
+all of it is searched, and lengths count from what a window costs that the dictionary holds whole: a reference into a
+large dictionary takes more bytes than one into a small dictionary. Windows of ordinary texts that the toxic dictionary
 compresses better nonetheless then go into the ordinary one.
 
 A window's distance is what the toxic dictionary saves against the ordinary one, as a share of the most that it could
-save (down to the length of a window that a dictionary holds whole). The threshold on the distance is the one that,
+save (all of what the ordinary one leaves, and a tenth of the window at least). The threshold on the distance is the one that,
 with a least number of windows beyond it, best separates the learning texts; a document's score is the share of toxic
 learning texts among those with as many windows beyond the threshold (0, 1, 2, 3, 4 or more), smoothed and never
 falling. (Wider windows were tried; the README has the figures.)
@@ -37,14 +40,24 @@ from trackwell.llm.language_id import held_out
 WORD = re.compile(r"[^\W\d_]+")
 LONG, PIECE = 16, 8  # letters of a run that is more than a word (scripts without spaces), and of the windows that slide over it
 GRID = tuple(round(0.02 * i, 2) for i in range(15, 50))
-# A deep search of the whole dictionary: the usual levels give up after a few places that begin alike.
-SEARCH = zstandard.ZstdCompressionParameters(
-    format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=22, chain_log=20, hash_log=19, search_log=10,
-    min_match=6, strategy=zstandard.STRATEGY_BTLAZY2,
-)
+MOST_BITS = 27  # of a search table: 64 MB of dictionary
+
+
+def search(size: int) -> zstandard.ZstdCompressionParameters:
+    """A deep search of a whole dictionary of so many bytes: the usual levels give up after a few places that begin alike,
+    and a tree has room for half as many places as its table has entries."""
+    bits = min(MOST_BITS, max(20, size.bit_length() + 1))
+    return zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=max(22, bits), chain_log=bits, hash_log=bits - 1, search_log=12,
+        min_match=6, strategy=zstandard.STRATEGY_BTLAZY2,
+    )
+
+
+WHOLE = 13  # bytes of a window that is one match, at most
 MOST = 4  # windows beyond the threshold; as many or more count alike
-FLOOR = 11  # bytes of a window that is one match
-NEW = 0.08  # share of a window that the ordinary dictionary must leave, beyond the floor, for the toxic one to learn it
+NEW = 0.08  # share of a window that the ordinary dictionary must leave for the toxic one to learn it
+LEAST = 0.1  # share of a window that counts as the most that could be saved, at least
+FAR_MORE = 50  # a window of an ordinary text is the toxic dictionary's only if so many times as many toxic texts hold it
 
 
 class _Wide(dict):
@@ -96,12 +109,20 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_made"} | {"_made": {}}
 
-    def _press(self, which: str) -> zstandard.ZstdCompressor:
+    def _left(self, which: str, wide: bytes) -> int:
+        """Bytes of a window that a dictionary leaves: its length beyond that of a window which the dictionary holds whole,
+        at its far end."""
         if which not in self._made:
-            d = zstandard.ZstdCompressionDict(widened(getattr(self, which)) or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=SEARCH)
-            self._made[which] = zstandard.ZstdCompressor(dict_data=d, compression_params=SEARCH)
-        return self._made[which]
+            content = getattr(self, which)
+            held = widened(content) or b"\0" * 8
+            made = search(len(held))
+            d = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=made)
+            press = zstandard.ZstdCompressor(dict_data=d, compression_params=made)
+            first = content.split(maxsplit=1)[:1]
+            self._made[which] = press, min(WHOLE, len(press.compress(widened(f" {first[0]} ")))) if first else WHOLE
+        press, whole = self._made[which]
+        return max(0, len(press.compress(wide)) - whole)
 
     def distance(self, word: str, memo: int = 300_000) -> float:
         known = self._made.setdefault("memo", {})
@@ -110,14 +131,14 @@ class Model:
             if len(known) >= memo:
                 known.clear()
             w = widened(f" {word} ")
-            plain, bad = len(self._press("ordinary").compress(w)), len(self._press("toxic").compress(w))
-            d = known[word] = min(1.0, (plain - bad) / max(1, plain - FLOOR))
+            plain, bad = self._left("ordinary", w), self._left("toxic", w)
+            d = known[word] = min(1.0, (plain - bad) / max(1, plain, LEAST * len(w)))
         return d
 
     def is_new(self, word: str) -> bool:
         """Whether the ordinary dictionary leaves much of a window."""
         w = widened(f" {word} ")
-        return len(self._press("ordinary").compress(w)) - FLOOR >= NEW * len(w)
+        return self._left("ordinary", w) >= NEW * len(w)
 
     def distances(self, text: str | None) -> list[tuple[float, int]]:
         return [(self.distance(w), n) for w, n in window_counts(text).items()]
@@ -157,7 +178,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, least: int =
         return Model()
     seen = rows.mapInPandas(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     kept = seen.where(f"bad >= {least} or good >= 3").orderBy("word").collect()  # windows of at most 2 x `sample` texts
-    plain = Model(ordinary=dictionary({r["word"]: r["good"] for r in sorted(kept, key=lambda r: (-r["good"], r["word"])) if r["good"] >= 3}, 48 * 1024))
+    usual = [r for r in kept if r["good"] >= 3 or 0 < r["good"] and r["bad"] < FAR_MORE * r["good"]]
+    plain = Model(ordinary=dictionary({r["word"]: r["good"] for r in sorted(usual, key=lambda r: (-r["good"], r["word"]))}, 48 * 1024))
     chosen = {r["word"]: r["bad"] for r in sorted(kept, key=lambda r: (-r["bad"], r["word"])) if r["bad"] >= least and plain.is_new(r["word"])}
     model = Model(dictionary(chosen, 8192), plain.ordinary)
 
@@ -192,7 +214,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 4000, least: int =
     hits, last, post = found[f"t{best}"].clip(upper=MOST), 0.0, []
     for c in range(MOST + 1):
         own = hits == c
-        last = max(last, float(((own & bad_rows).sum() + 0.5) / (own.sum() + 1)))
+        last = max(last, float(((own & bad_rows).sum() + 0.5) / (own.sum() + 1.5)))  # what no learning text has counts as ordinary
         post.append(last)
     return Model(model.toxic, model.ordinary, GRID[best], tuple(post))
 
