@@ -280,3 +280,22 @@ def test_odd_answers_take_every_shape(spark, small):
         known |= {r["id"] % 12} if r["company"] else set()
         tagged |= {r["id"] % 12} if r["tags"] else set()
     assert known == {i for i, a in enumerate(ANSWERS) if a[1]} and tagged == {i for i, a in enumerate(ANSWERS) if a[2]}
+
+
+def test_lines_of_a_file_stay_where_they_are_read(spark, tmp_path):
+    """The lines of a file aren't dealt to one task, and their cells are worked out once."""
+    (tmp_path / "a.csv").write_text('"company","title"\n' + '"A, ""x""","T"\n' * 3)
+    read = R.read_legacy_csv(spark, str(tmp_path))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "strategy=broadcast" in plan
+    assert [(r["company"], r["title"]) for r in read.collect()] == [('A, "x"', "T")] * 3
+
+
+def test_each_older_file_has_its_head(spark, tmp_path):
+    from trackwell.plans.searches import _headed
+
+    lines = spark.range(0, 90, 1, 9).where("id < 60").selectExpr("cast(id as string) line")
+    _headed(lines, "head").write.text(f"{tmp_path}/files")
+    files = [p.read_text().split() for p in (tmp_path / "files").glob("part-*")]
+    assert all(f[0] == "head" and f.count("head") == 1 for f in files if f) and sorted(int(x) for f in files for x in f[1:]) == list(range(60))
+    assert sum(map(bool, files)) == 6

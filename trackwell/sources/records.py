@@ -126,7 +126,9 @@ def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.where("value != ''")
     heads = lines.groupBy("_file").agg(F.min_by("value", F.struct("_block", "_line")).alias("_head"))  # a row a file
     names = F.transform(F.split("_head", ","), lambda n: T.stripped(F.regexp_replace(T.stripped(n), '^"|"$', "")))
-    rows = lines.join(heads.withColumn("_names", names), "_file").where("value != _head").withColumn("_cells", csv_cells(F.col("value")))
+    # The heads go to the lines, so that the lines of a file aren't one task's. A row's cells are exploded as one element:
+    # columns that are read by filters above would be worked out again in each of them.
+    rows = lines.join(F.broadcast(heads.withColumn("_names", names)), "_file").where("value != _head").select("_names", F.explode(F.array(csv_cells(F.col("value")))).alias("_cells"))
 
     def cell(name: str) -> Column:
         at = F.array_position("_names", F.lit(name)).cast("int")
