@@ -299,3 +299,21 @@ def test_each_older_file_has_its_head(spark, tmp_path):
     files = [p.read_text().split() for p in (tmp_path / "files").glob("part-*")]
     assert all(f[0] == "head" and f.count("head") == 1 for f in files if f) and sorted(int(x) for f in files for x in f[1:]) == list(range(60))
     assert sum(map(bool, files)) == 6
+
+
+def test_files_of_a_store_follow_its_size(spark, small):
+    """A store's tables go to as many files as Spark deals ranges, not to a fixed number of tasks."""
+    from trackwell.plans.stores import _store
+
+    held = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        noted = versions._manifest(spark, _store(spark, small), 1)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(noted["items"]["files"]) == len(noted["history"]["files"]) == 12
+    lows = sorted(f[1] for f in noted["items"]["files"])
+    assert all(high < low for high, low in zip(sorted(f[2] for f in noted["items"]["files"]), lows[1:]))

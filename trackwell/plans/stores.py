@@ -19,7 +19,7 @@ def _store(spark: SparkSession, sf: str) -> str:
     path = _fresh(spark, "store")
     history = I.with_from_status(V.log(spark, sf)).select("id", "job_id", "from_status", "to_status", "changed_at")
     tables = {"items": V.items(spark, sf), "history": history, "documents": V.documents(spark, sf)}
-    versions.committed(spark, path, tables, {"items": ["id"], "history": ["job_id", "changed_at"]}, files=8)
+    versions.committed(spark, path, tables, {"items": ["id"], "history": ["job_id", "changed_at"]})
     return path
 
 
@@ -37,13 +37,13 @@ def committed_changes(spark: SparkSession, sf: str) -> DataFrame:
     order = {"items": ["id"], "history": ["job_id", "changed_at"]}
     every = at("items")
     new = every.where("id % 50 = 0").withColumn("pos", F.col("id")).drop("id", "created_at", "updated_at")
-    versions.committed(spark, path, {"items": I.appended(every, new, NOW)}, order, files=8)
+    versions.committed(spark, path, {"items": I.appended(every, new, NOW)}, order)
     every = at("items")
     after, log = I.moved(every, every.where("id % 4 = 0").select("id", F.lit("Done").alias("status")), NOW)
-    versions.committed(spark, path, {"items": after, "history": I.logged(at("history"), log)}, order, files=8)
+    versions.committed(spark, path, {"items": after, "history": I.logged(at("history"), log)}, order)
     gone = at("items").where("id % 3 = 0").select("id").union(at("history").where("job_id % 3 = 0").select("job_id")).union(at("documents").where("job_id % 3 = 0").select("job_id"))
     left = I.deleted(gone, {"items:id": at("items"), "history:job_id": at("history"), "documents:job_id": at("documents")})
-    versions.committed(spark, path, {name.split(":")[0]: df for name, df in left.items()}, order, files=8)
+    versions.committed(spark, path, {name.split(":")[0]: df for name, df in left.items()}, order)
     none = F.lit(None).cast("string")
     items = at("items").select(F.lit("item").alias("kind"), "id", "status", F.col("updated_at").alias("at"), F.col("company").alias("name"))
     history = at("history").select(F.lit("history"), "job_id", "to_status", "changed_at", none)
